@@ -1,0 +1,15 @@
+"""Query registry used by the driver contract, the tests and the bench."""
+
+from __future__ import annotations
+
+import importlib
+
+MODULES = ["q_scores30"]
+
+
+def all_queries():
+    from checks.registry import ORACLES, QUERIES
+
+    for m in MODULES:
+        importlib.import_module(f"checks.{m}")
+    return dict(QUERIES), dict(ORACLES)

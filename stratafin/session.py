@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Runtime SQL settings.  AQE sizes the reducers, turns small sides into
@@ -38,18 +42,28 @@ def local_session(app: str = "stratafin", cores: str = "*", shuffle_partitions:
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names.
+def stage_folder(spark: SparkSession) -> str:
+    """Shared folder for staged tables: the one the cluster names in
+    ``spark.checkpoint.dir``.  Only a local session without that setting gets a
+    folder of its own; elsewhere the missing setting is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="stratafin-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def stage(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
+    """Write a table once to the shared folder and read it back.
 
-    ``spark.checkpoint.dir`` is read from the session; where it is unset and no
-    checkpoint folder was given to the context, the plan is returned as is, so
-    a lost executor recomputes from the sources instead of from local files.
+    Used where a derived table feeds several branches (ranks, as-of joins,
+    configuration fan-out).  The branches then scan columns of a stored table
+    instead of repeating the whole derivation, the plan stays short, and a lost
+    executor costs a re-read, not a recomputation from the raw tables.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            return df
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=False)
+    path = f"{stage_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.partitionBy(*partition_by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
