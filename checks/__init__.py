@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_scores30"]
+MODULES = ["q_scores30", "q_screens", "q_scores23"]
 
 
 def all_queries():

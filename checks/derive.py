@@ -26,7 +26,7 @@ from {supplier} join {nation} on s_nationkey = n_nationkey join {region} on n_re
 INPUTS["yearly"] = """
 select l_suppkey, cast(year(l_shipdate) as int) as year, cast(count(*) as double) as n, sum(l_quantity) as q,
        round(sum(l_extendedprice), 2) as ext, round(sum(l_extendedprice * l_discount), 4) as dis,
-       round(sum(l_extendedprice * l_tax), 4) as tax, round(avg(l_extendedprice / l_quantity), 4) as px
+       round(sum(l_extendedprice * l_tax), 4) as tax, round(avg(l_extendedprice / l_quantity), 8) as px
 from {lineitem} group by l_suppkey, year(l_shipdate)
 """
 
@@ -52,21 +52,21 @@ from yearly join uni on l_suppkey = s_suppkey
 
 INPUTS["px"] = """
 select symbol, sector, date, close from (
-  select l_suppkey, cast(l_shipdate as date) as date, round(avg(l_extendedprice / l_quantity), 4) as close
+  select l_suppkey, cast(l_shipdate as date) as date, round(avg(l_extendedprice / l_quantity), 8) as close
   from {lineitem} group by l_suppkey, cast(l_shipdate as date)) d
 join uni on l_suppkey = s_suppkey
 """
 
 # dense series: one per nation and day
 INPUTS["npx"] = """
-select industry as symbol, min(sector) as sector, date, round(avg(p), 4) as close from (
+select industry as symbol, min(sector) as sector, date, round(avg(p), 8) as close from (
   select l_suppkey, cast(l_shipdate as date) as date, l_extendedprice / l_quantity as p from {lineitem}) d
 join uni on l_suppkey = s_suppkey group by industry, date
 """
 
 # market series: all suppliers together
 INPUTS["bench"] = """
-select cast(l_shipdate as date) as date, round(avg(l_extendedprice / l_quantity), 4) as close
+select cast(l_shipdate as date) as date, round(avg(l_extendedprice / l_quantity), 8) as close
 from {lineitem} group by cast(l_shipdate as date)
 """
 

@@ -30,7 +30,7 @@ def query(name: str, sql: str | None, covers: str):
 
 
 def rnd(x: str, digits: int = 6) -> str:
-    return f"round({x}, {digits})"
+    return f"round(({x})::double, {digits})"
 
 
 def even(x: str, digits: int) -> str:
@@ -49,7 +49,7 @@ def clip(x: str, lo: float | None, hi: float | None) -> str:
 
 def steps(x: str, ladder, op: str, otherwise, missing="null") -> str:
     arms = " ".join(f"when {x} {op} {t} then {s}" for t, s in ladder)
-    return f"(case when {x} is null then {missing} {arms} else {otherwise} end)"
+    return f"(case when {x} is null then {missing} {arms} else {otherwise} end)::double"
 
 
 def pct(x: str, part: str) -> str:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratafin.functions.scalar import half_even, ladder_at_least
+from stratafin.operators.joins import with_totals
 from stratafin.operators.ranking import top_k
 from stratafin.params import TIER_FLOORS
 
@@ -60,7 +61,7 @@ def sector_distribution(df: DataFrame, by: Sequence[str] = (), key: str = "secto
     """
     counts = df.groupBy(*by, key).agg(F.count(F.lit(1)).alias("n"))
     total = counts.groupBy(*by).agg(F.sum("n").alias("_total"))
-    joined = counts.join(total, list(by)) if by else counts.join(total, F.lit(True))
+    joined = with_totals(counts, total, by, ["_total"])
     return joined.withColumn("pct", half_even(F.col("n") * 100.0 / F.col("_total"), 1)).drop("_total")
 
 
@@ -102,7 +103,7 @@ def most_held(df: DataFrame, by: Sequence[str] = (), fund: str = "fund_id", tick
     """Holders per ticker and their share of all funds."""
     holders = df.groupBy(*by, ticker).agg(F.countDistinct(fund).alias("holders"))
     funds = df.groupBy(*by).agg(F.countDistinct(fund).alias("_funds"))
-    joined = holders.join(funds, list(by)) if by else holders.join(funds, F.lit(True))
+    joined = with_totals(holders, funds, by, ["_funds"])
     return joined.withColumn("pct_of_funds", half_even(F.col("holders") * 100.0 / F.col("_funds"), 1)).drop("_funds")
 
 
@@ -110,7 +111,7 @@ def holdings_by_sector(df: DataFrame, by: Sequence[str] = (), fund: str = "fund_
     """Positions per sector as a share of (funds x positions per fund)."""
     counts = df.groupBy(*by, "sector").agg(F.count(F.lit(1)).alias("positions"))
     funds = df.groupBy(*by).agg(F.countDistinct(fund).alias("_funds"))
-    joined = counts.join(funds, list(by)) if by else counts.join(funds, F.lit(True))
+    joined = with_totals(counts, funds, by, ["_funds"])
     return joined.withColumn("pct", half_even(F.col("positions") * 100.0 / (F.col("_funds") * per_fund), 1)).drop("_funds")
 
 

@@ -116,3 +116,11 @@ def period_endpoints(prices: DataFrame, periods: DataFrame, keys: Sequence[str]
         )
         .withColumn("period_return", F.col("last_price") / F.nullif(F.col("first_price"), F.lit(0.0)) - 1)
     )
+
+
+def with_totals(df: DataFrame, totals: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Put group totals beside the rows: an equi-join per group, or scalar
+    subqueries when there is a single total."""
+    if by:
+        return df.join(totals.select(*by, *columns), list(by))
+    return df.withColumns({c: totals.select(c).scalar() for c in columns})
