@@ -148,7 +148,7 @@ Z22 = {
     "C5 W4",
 )
 def _composite22(spark, sf):
-    scored = scores_v22.quality_sector_ranked(scores_v22.signal_scores(full_table(spark, sf)))
+    scored = scores_v22.quality_sector_ranked(scores_v22.signal_scores(percent_ratios(full_table(spark, sf))))
     raw = scores_v22.composite_v22(scored, use_zscore=False).withColumnRenamed("score_composite", "score_raw")
     out = scores_v22.composite_v22(raw)
     return out.select("symbol", "year", "score_composite", "score_raw")
@@ -441,7 +441,7 @@ def _most_crowded(spark, sf):
 @query(
     "crowding_diagnosis",
     with_inputs("hold", extra={**CROWD, "q": "select as_of_date, quantile_cont(cs, 0.9) as lim, avg(cs) as ua from ct group by as_of_date",
-      "d": "select as_of_date, avg(cs) as pa, avg((cs >= lim)::int) * 100 as top, count(*) filter (where tier = 'extreme') as nx, any_value(ua) as ua from ct join q using (as_of_date) where symbol like '%5' group by as_of_date"})
+      "d": "select as_of_date, avg(cs) as pa, avg((cs >= lim)::int) * 100 as top, count(*) filter (where tier = 'extreme') as nx, any_value(ua) as ua from ct join q using (as_of_date) where symbol like '%7' group by as_of_date"})
     + f""" select as_of_date, {even('pa', 3)} as portfolio_avg_crowding, {even('ua', 3)} as universe_avg_crowding, {even('pa - ua', 3)} as crowding_vs_universe, {even('top', 1)} as pct_in_top_10_crowded,
       nx as nb_extreme_positions, top > 30 as warning from d""",
     "A13 J10",
@@ -450,7 +450,7 @@ def _crowding_diagnosis(spark, sf):
     from stratafin.session import stage
 
     universe = stage(crowded(spark, sf))
-    return overlay.crowding_diagnosis(universe.where(F.col("symbol").endswith("5")), universe)
+    return overlay.crowding_diagnosis(universe.where(F.col("symbol").endswith("7")), universe)
 
 
 # --- grid ----------------------------------------------------------------------------------------------------

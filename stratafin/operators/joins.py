@@ -124,3 +124,29 @@ def with_totals(df: DataFrame, totals: DataFrame, by: Sequence[str], columns: Se
     if by:
         return df.join(totals.select(*by, *columns), list(by))
     return df.withColumns({c: totals.select(c).scalar() for c in columns})
+
+
+def valid_at(facts: DataFrame, key: Sequence[str], fact_date: str, instants: DataFrame, instant: str = "date") -> DataFrame:
+    """The fact row of every key that is in force at each listed instant.
+
+    A fact is in force from its own date until the key's next one.  The
+    intervals are matched to the instants by month, an equi-join, so keys are
+    never crossed with instants; the output is the as-of table itself.
+    """
+    upcoming = F.lead(fact_date).over(Window.partitionBy(*key).orderBy(fact_date))
+    horizon = instants.agg(F.max(instant).alias("_h")).select("_h").scalar()
+    spans = (
+        facts.withColumns({"_from": F.col(fact_date), "_to": F.coalesce(F.date_sub(upcoming, 1), horizon)})
+        .where(F.col("_from") <= F.col("_to"))
+        .withColumn(
+            "_month",
+            F.explode(F.sequence(F.trunc("_from", "month"), F.trunc("_to", "month"), F.expr("interval 1 month"))),
+        )
+    )
+    asked = instants.select(F.col(instant).alias("_instant")).distinct().withColumn("_month", F.trunc("_instant", "month"))
+    clash = instant in facts.columns and instant != fact_date
+    out = spans.join(asked, "_month").where(F.col("_instant").between(F.col("_from"), F.col("_to")))
+    out = out.drop("_from", "_to", "_month")
+    if instant == fact_date:
+        return out.withColumnRenamed(fact_date, f"{fact_date}_of_fact").withColumnRenamed("_instant", instant)
+    return (out.drop(instant) if clash else out).withColumnRenamed("_instant", instant)
