@@ -401,8 +401,8 @@ def _stress(spark, sf):
 @query(
     "stress_summary",
     with_inputs("npx", "bench", extra=STRESS)
-    + f""" select portfolio_id, count(*) as n_windows, count(*) filter (where passed) as passed_count, count(*) filter (where not passed) as failed_count, {even('avg(portfolio_max_dd)', 2)} as avg_dd, min(portfolio_max_dd) as worst_dd,
-      {even('avg(portfolio_return)', 2)} as avg_return, {even('avg(excess_return)', 2)} as avg_excess_return, {even('avg((excess_return > 0)::int) * 100', 1)} as pct_outperform,
+    + f""" select portfolio_id, count(*) as n_windows, count(*) filter (where passed) as passed_count, count(*) filter (where not passed) as failed_count, {even('round(sum(portfolio_max_dd) * 100) / 100 / count(portfolio_max_dd)', 2)} as avg_dd, min(portfolio_max_dd) as worst_dd,
+      {even('round(sum(portfolio_return) * 100) / 100 / count(portfolio_return)', 2)} as avg_return, {even('round(sum(excess_return) * 100) / 100 / count(excess_return)', 2)} as avg_excess_return, {even('avg((excess_return > 0)::int) * 100', 1)} as pct_outperform,
       count(*) filter (where passed) / count(*)::double >= 0.7 and min(portfolio_max_dd) >= -35 as overall_passed from st group by portfolio_id""",
     "A35",
 )

@@ -46,6 +46,13 @@ def half_even(value: str | Column, digits: int) -> Column:
     return F.rint(col(value) * F.lit(scale)) / F.lit(scale)
 
 
+def settled_mean(value: str | Column, digits: int) -> Column:
+    """Mean of values that carry ``digits`` decimals: the sum is settled to those
+    decimals first, so the result does not depend on the order partial sums met."""
+    scale = F.lit(10.0**digits)
+    return F.rint(F.sum(col(value)) * scale) / scale / F.count(col(value))
+
+
 def first_nonzero(*values: str | Column) -> Column:
     """First value that is neither missing nor zero (``a or b`` over numbers)."""
     return F.coalesce(*[F.nullif(safe_double(v), F.lit(0.0)) for v in values])

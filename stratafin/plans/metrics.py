@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratafin.functions.scalar import half_even
+from stratafin.functions.scalar import half_even, settled_mean
 from stratafin.operators.series import cumulative
 
 _PER_YEAR = 252
@@ -209,6 +209,7 @@ def walk_forward_summary(periods: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.product(1 + b / 100).alias("_b"),
         F.sum(a).alias("_alpha"),
         F.avg(a).alias("_mean"),
+        settled_mean(a, 2).alias("_settled"),
         F.stddev_pop(a).alias("_std"),
         F.avg((a > 0).cast("double")).alias("_hit"),
         F.stddev_pop(p).alias("_pv"),
@@ -225,7 +226,7 @@ def walk_forward_summary(periods: DataFrame, keys: Sequence[str]) -> DataFrame:
         half_even((F.pow("_p", 1 / years) - 1) * 100, 2).alias("portfolio_cagr"),
         half_even((F.pow("_b", 1 / years) - 1) * 100, 2).alias("benchmark_cagr"),
         half_even("_alpha", 2).alias("total_alpha"),
-        half_even("_mean", 2).alias("avg_alpha_per_period"),
+        half_even("_settled", 2).alias("avg_alpha_per_period"),
         half_even(F.col("_hit") * 100, 1).alias("hit_rate"),
         half_even(F.when(te > 0, F.col("_mean") * 4 / F.nullif(te, F.lit(0.0))).otherwise(0.0), 2).alias("information_ratio"),
         half_even(F.col("_pv") * 2, 2).alias("portfolio_volatility"),

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratafin.functions.scalar import half_even, literal_rows
+from stratafin.functions.scalar import half_even, literal_rows, settled_mean
 from stratafin.params import SCENARIOS, STRESS_WINDOWS, Scenario, StressWindow
 
 
@@ -79,10 +79,10 @@ def stress_summary(results: DataFrame, keys: Sequence[str] = ("portfolio_id",),
             F.count(F.lit(1)).alias("n_windows"),
             F.count_if(F.col("passed")).alias("passed_count"),
             F.count_if(~F.col("passed")).alias("failed_count"),
-            half_even(F.avg("portfolio_max_dd"), 2).alias("avg_dd"),
+            half_even(settled_mean("portfolio_max_dd", 2), 2).alias("avg_dd"),
             F.min("portfolio_max_dd").alias("worst_dd"),
-            half_even(F.avg("portfolio_return"), 2).alias("avg_return"),
-            half_even(F.avg(e), 2).alias("avg_excess_return"),
+            half_even(settled_mean("portfolio_return", 2), 2).alias("avg_return"),
+            half_even(settled_mean(e, 2), 2).alias("avg_excess_return"),
             half_even(F.avg((e > 0).cast("double")) * 100, 1).alias("pct_outperform"),
         )
         .withColumn(
@@ -142,9 +142,9 @@ def scenario_summary(shocks: DataFrame, keys: Sequence[str]) -> DataFrame:
     r = F.col("relative_performance")
     return shocks.groupBy(*keys).agg(
         F.min("portfolio_drawdown").alias("worst_portfolio_dd"),
-        half_even(F.avg("portfolio_drawdown"), 1).alias("avg_portfolio_dd"),
+        half_even(settled_mean("portfolio_drawdown", 1), 1).alias("avg_portfolio_dd"),
         F.min(r).alias("worst_relative_perf"),
-        half_even(F.avg(r), 1).alias("avg_relative_perf"),
+        half_even(settled_mean(r, 1), 1).alias("avg_relative_perf"),
         F.count_if(r > 0).alias("scenarios_outperform"),
         F.count_if(r < 0).alias("scenarios_underperform"),
     )
