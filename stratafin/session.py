@@ -42,17 +42,23 @@ def local_session(app: str = "stratafin", cores: str = "*", shuffle_partitions:
     return builder.getOrCreate()
 
 
+#: Folder of a local session whose configuration names none, per application.
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def stage_folder(spark: SparkSession) -> str:
     """Shared folder for staged tables: the one the cluster names in
     ``spark.checkpoint.dir``.  Only a local session without that setting gets a
     folder of its own; elsewhere the missing setting is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="stratafin-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder is not None:
+        return folder
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    if context.applicationId not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="stratafin-")
+    return _LOCAL_FOLDERS[context.applicationId]
 
 
 def stage(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
