@@ -29,7 +29,7 @@ POS = {
 
 
 def positions(spark, sf):
-    scored = scores_v30.composite_v30(history_table(spark, sf))
+    scored = scores_v30.composite_v30(history_table(spark, sf), with_rank=False)
     top = scores_v30.top_holdings(scored).drop("position")
     return weights.equal_weights(top, BY)
 
@@ -308,7 +308,7 @@ def _caps(spark, sf):
 
 @query("optimised_portfolio", None, "B2 B4 B5 B6 K3")
 def _optimise(spark, sf):
-    scored = scores_v30.composite_v30(history_table(spark, sf)).withColumn("vol_30d", F.abs("roe") * 100)
+    scored = scores_v30.composite_v30(history_table(spark, sf), with_rank=False).withColumn("vol_30d", F.abs("roe") * 100)
     return allocation.optimise(
         scored.select("as_of_date", "symbol", "sector", "vol_30d", "score_composite_v30"), BY, score="score_composite_v30"
     )

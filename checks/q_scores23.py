@@ -14,6 +14,7 @@ from stratafin.functions.scalar import half_even
 from stratafin.operators import overlay, scores_v22, scores_v23, summaries
 from stratafin.operators.history import history_arrays
 from stratafin.operators.ranking import zscores
+from stratafin.session import stage
 
 # --- inputs: fundamentals with market cap, signals and vol -----------------------------------
 
@@ -447,8 +448,6 @@ def _most_crowded(spark, sf):
     "A13 J10",
 )
 def _crowding_diagnosis(spark, sf):
-    from stratafin.session import stage
-
     universe = stage(crowded(spark, sf))
     return overlay.crowding_diagnosis(universe.where(F.col("symbol").endswith("7")), universe)
 
@@ -472,7 +471,7 @@ GRID = {
 
 
 def grid(spark, sf):
-    hold = table(spark, sf, "hold").withColumnRenamed("symbol", "ticker")
+    hold = stage(table(spark, sf, "hold").withColumnRenamed("symbol", "ticker"))
     end = lambda *s: sum((F.col("ticker").endswith(x).cast("int") for x in s), F.lit(0)) > 0
     own = hold.where(~end("3")).groupBy("as_of_date", "ticker").agg(F.countDistinct("fund").cast("double").alias("value"))
     buy = hold.where(~end("4")).groupBy("as_of_date", "ticker").agg(F.sum("n_lines").cast("double").alias("value"))

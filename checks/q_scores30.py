@@ -144,7 +144,7 @@ def _composite(spark, sf):
     "K1 K2 K3 K9",
 )
 def _top(spark, sf):
-    scored = scores_v30.composite_v30(history_table(spark, sf))
+    scored = scores_v30.composite_v30(history_table(spark, sf), with_rank=False)
     return scores_v30.top_holdings(scored, columns=["symbol", "company", "sector", "score_composite_v30"])
 
 
@@ -177,3 +177,17 @@ def _tie(spark, sf):
     return scores_v30.tie_breaker(scored).select(
         "symbol", "year", F.round("score_with_tiebreaker", 6).alias("score_with_tiebreaker"), "rank_v30_final"
     )
+
+
+@query(
+    "score_gate",
+    with_inputs("fin", extra=V30)
+    + """ select as_of_date, symbol, sc as score_composite_v30 from (select *, row_number() over (partition by as_of_date order by sc desc, symbol) as rn from comp where sc >= 0.45 and price >= 1450.0) t where rn <= 10""",
+    "F10",
+)
+def _gate(spark, sf):
+    from stratafin.operators.filters import score_gate
+
+    scored = scores_v30.composite_v30(history_table(spark, sf), with_rank=False)
+    out = score_gate(scored, score="score_composite_v30", min_score=0.45, min_price=1450.0, keep=10)
+    return out.select("as_of_date", "symbol", "score_composite_v30")

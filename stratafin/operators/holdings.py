@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratafin.functions.scalar import half_even, ladder_at_least
 from stratafin.operators.joins import with_totals
 from stratafin.operators.ranking import top_k
 from stratafin.params import TIER_FLOORS
+from stratafin.session import stage
 
 
-def tier(buys) -> "F.Column":
+def tier(buys: str | Column) -> Column:
     return ladder_at_least(buys, TIER_FLOORS, "D", missing="D")
 
 
@@ -127,10 +128,12 @@ def fund_stats(funds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def consensus_from_funds(df: DataFrame, by: Sequence[str], fund: str = "fund", symbol: str = "symbol", value: str = "value") -> DataFrame:
     """Per symbol and date: number of holding funds, mean weight inside the funds, and total value.
 
-    A fund's weights need its total first; both steps are partial aggregations.
+    Rows are folded to one per fund and symbol first (map-side combined, stored
+    once); fund totals and weights then come from that table.
     """
-    totals = df.groupBy(*by, fund).agg(F.sum(value).alias("_total"))
-    weighted = df.join(totals, [*by, fund]).withColumn("_w", F.col(value) / F.nullif(F.col("_total"), F.lit(0.0)))
+    held = stage(df.groupBy(*by, fund, symbol).agg(F.sum(value).alias("_v")))
+    totals = held.groupBy(*by, fund).agg(F.sum("_v").alias("_total"))
+    weighted = held.join(totals, [*by, fund]).withColumn("_w", F.col("_v") / F.nullif(F.col("_total"), F.lit(0.0)))
     return weighted.groupBy(*by, symbol).agg(
-        F.countDistinct(fund).alias("nb_hedge_funds"), F.avg("_w").alias("avg_hf_weight"), F.sum(value).alias("total_value")
+        F.count(F.lit(1)).alias("nb_hedge_funds"), F.avg("_w").alias("avg_hf_weight"), F.sum("_v").alias("total_value")
     )

@@ -78,7 +78,9 @@ def days_in_periods(
 
     An interval join without a nested loop: periods are expanded to the months
     they touch, days carry their month, and the equality on the month does the
-    matching; the exact bounds are checked inside the matched month.
+    matching; the exact bounds are checked inside the matched month.  The
+    distinct days are bounded by the calendar (36 600 rows per century), so
+    they are broadcast and the periods are never shuffled on the month.
     """
     touched = periods.select(
         *keys,
@@ -88,23 +90,28 @@ def days_in_periods(
             F.sequence(F.trunc(F.col(start), "month"), F.trunc(F.col(end), "month"), F.expr("interval 1 month"))
         ).alias("_month"),
     )
+    listed = days.select("date").distinct().withColumn("_month", F.trunc("date", "month"))
     return (
-        days.select("date")
-        .distinct()
-        .withColumn("_month", F.trunc("date", "month"))
-        .join(touched, "_month")
+        touched.join(F.broadcast(listed), "_month")
         .where(F.col("date").between(F.col(start), F.col(end)))
         .select(*keys, "date")
     )
 
 
-def period_endpoints(prices: DataFrame, periods: DataFrame, keys: Sequence[str] = ("period_id",)) -> DataFrame:
+def period_endpoints(
+    prices: DataFrame, periods: DataFrame, keys: Sequence[str] = ("period_id",), calendar_keys: bool = False
+) -> DataFrame:
     """Per period and symbol: first price on/after the start, last on/before the end.
 
     Prices are matched to periods through the calendar day, by equality, and
-    folded with ``min_by``/``max_by`` before the shuffle.
+    folded with ``min_by``/``max_by`` before the shuffle.  ``calendar_keys``
+    states that the periods are keyed by dates alone (one list of periods for
+    everybody); the day list is then calendar-bounded and broadcast, so the
+    price panel is only shuffled once, already folded.
     """
     spans = days_in_periods(prices, periods, keys)
+    if calendar_keys:
+        spans = F.broadcast(spans)
     return (
         prices.where(F.col("close").isNotNull())
         .join(spans, "date")
@@ -131,7 +138,8 @@ def valid_at(facts: DataFrame, key: Sequence[str], fact_date: str, instants: Dat
 
     A fact is in force from its own date until the key's next one.  The
     intervals are matched to the instants by month, an equi-join, so keys are
-    never crossed with instants; the output is the as-of table itself.
+    never crossed with instants; the output is the as-of table itself.  The
+    distinct instants are calendar dates (bounded), hence broadcast.
     """
     upcoming = F.lead(fact_date).over(Window.partitionBy(*key).orderBy(fact_date))
     horizon = instants.agg(F.max(instant).alias("_h")).select("_h").scalar()
@@ -145,7 +153,7 @@ def valid_at(facts: DataFrame, key: Sequence[str], fact_date: str, instants: Dat
     )
     asked = instants.select(F.col(instant).alias("_instant")).distinct().withColumn("_month", F.trunc("_instant", "month"))
     clash = instant in facts.columns and instant != fact_date
-    out = spans.join(asked, "_month").where(F.col("_instant").between(F.col("_from"), F.col("_to")))
+    out = spans.join(F.broadcast(asked), "_month").where(F.col("_instant").between(F.col("_from"), F.col("_to")))
     out = out.drop("_from", "_to", "_month")
     if instant == fact_date:
         return out.withColumnRenamed(fact_date, f"{fact_date}_of_fact").withColumnRenamed("_instant", instant)

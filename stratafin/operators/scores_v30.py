@@ -205,8 +205,12 @@ def composite_v30(
     key: Sequence[str] = ("symbol",),
     weights: dict[str, float] | None = None,
     min_score: float = CONSTRAINTS_V30.min_score,
+    with_rank: bool = True,
 ) -> DataFrame:
-    """All three scores from one ranked pass, the composite, its rank and the minimum-score flag."""
+    """All three scores from one ranked pass, the composite, its rank and the minimum-score flag.
+
+    ``with_rank=False`` leaves the universe rank out, for callers that only
+    need the best names (a top-k needs no full ranking)."""
     w = weights or WEIGHTS_V30
     ranked = _ranked(df, by, key)
     scored = ranked.withColumns(_quality(ranked) | _value(ranked) | _risk(ranked))
@@ -217,9 +221,9 @@ def composite_v30(
         3,
     )
     scored = _drop_temporary(scored).withColumn("score_composite_v30", composite)
-    return descending_rank(scored, by, "score_composite_v30", "rank_v30").withColumn(
-        "passes_min_score_v30", F.col("score_composite_v30") >= min_score
-    )
+    if with_rank:
+        scored = descending_rank(scored, by, "score_composite_v30", "rank_v30")
+    return scored.withColumn("passes_min_score_v30", F.col("score_composite_v30") >= min_score)
 
 
 def tie_breaker(df: DataFrame, by: Sequence[str] = ("as_of_date",)) -> DataFrame:

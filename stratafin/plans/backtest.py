@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 
 from stratafin.functions.scalar import half_even, literal_rows
 from stratafin.operators.filters import leverage_filter, liquidity_filter
-from stratafin.operators.joins import days_in_periods, period_endpoints, valid_at, with_totals
+from stratafin.operators.joins import days_in_periods, period_endpoints, valid_at
 from stratafin.operators.ranking import Rank, pct_ranks, top_k
 from stratafin.operators.scores_v23 import score_pipeline
 from stratafin.operators.series import price_factor_inputs, price_features, simple_returns
-from stratafin.operators.weights import equal_weights, sector_cap_once, snapshot_changes, turnover
+from stratafin.operators.weights import equal_weights, normalise, sector_cap_once, snapshot_changes, turnover
 from stratafin.params import (
     PRICE_FACTOR_CONFIGS,
     Constraints,
@@ -139,12 +139,12 @@ def portfolio_returns(
 
 def weighted_returns(weights: DataFrame, returns: DataFrame, keys: Sequence[str] = ("portfolio_id",), benchmark: DataFrame | None = None) -> DataFrame:
     """Daily return of fixed weights (normalised), missing returns count as zero; benchmark beside it."""
-    totals = weights.groupBy(*keys).agg(F.sum("weight").alias("_total"))
-    norm = with_totals(weights, totals, list(keys), ["_total"]).withColumn("_w", F.col("weight") / F.col("_total"))
+    # one row per position: the window over a portfolio is as small as the portfolio
     daily = (
-        norm.join(returns.select("symbol", "date", "ret"), "symbol")
+        normalise(weights, keys)
+        .join(returns.select("symbol", "date", "ret"), "symbol")
         .groupBy(*keys, "date")
-        .agg(F.sum(F.col("_w") * F.coalesce("ret", F.lit(0.0))).alias("ret"))
+        .agg(F.sum(F.col("weight") * F.coalesce("ret", F.lit(0.0))).alias("ret"))
     )
     if benchmark is None:
         return daily
@@ -223,8 +223,8 @@ def period_results(weights: DataFrame, prices: DataFrame, periods: DataFrame, be
     starting at the rebalance date; ``periods``: ``start, end``.
     """
     named = periods.withColumn("rebalance_date", F.col("start"))
-    moves = period_endpoints(prices, named, ["rebalance_date"]).select("rebalance_date", "symbol", "period_return")
-    market = period_endpoints(benchmark.withColumn("symbol", F.lit("*")), named, ["rebalance_date"]).select(
+    moves = period_endpoints(prices, named, ["rebalance_date"], calendar_keys=True).select("rebalance_date", "symbol", "period_return")
+    market = period_endpoints(benchmark.withColumn("symbol", F.lit("*")), named, ["rebalance_date"], calendar_keys=True).select(
         "rebalance_date", F.when(F.col("n_prices") >= 2, F.col("period_return")).otherwise(F.lit(0.0)).alias("_b")
     )
     port = (
@@ -285,7 +285,7 @@ def snapshot_results(contributions: DataFrame, benchmark: DataFrame, keys: Seque
     largest = sectors.groupBy(*keys).agg((F.max("_s") * 100).alias("_ms"))
     date = keys[-1]
     periods = snaps.select(date).distinct().withColumns({"start": F.col(date), "end": F.date_add(date, horizon_days)})
-    market = period_endpoints(benchmark.withColumn("symbol", F.lit("*")), periods, [date]).select(
+    market = period_endpoints(benchmark.withColumn("symbol", F.lit("*")), periods, [date], calendar_keys=True).select(
         date, F.when(F.col("n_prices") >= 2, F.col("period_return") * 100).otherwise(0.0).alias("_b")
     )
     rows = snaps.join(largest, list(keys)).join(market, date, "left").withColumn("_b", F.coalesce("_b", F.lit(0.0)))
