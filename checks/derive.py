@@ -59,8 +59,9 @@ join uni on l_suppkey = s_suppkey
 
 # dense series: one per nation and day
 INPUTS["npx"] = """
-select industry as symbol, min(sector) as sector, date, round(avg(p), 8) as close from (
-  select l_suppkey, cast(l_shipdate as date) as date, l_extendedprice / l_quantity as p from {lineitem}) d
+select industry as symbol, min(sector) as sector, date, round(sum(sp) / sum(n), 8) as close from (
+  select l_suppkey, cast(l_shipdate as date) as date, sum(l_extendedprice / l_quantity) as sp, cast(count(*) as double) as n
+  from {lineitem} group by l_suppkey, cast(l_shipdate as date)) d
 join uni on l_suppkey = s_suppkey group by industry, date
 """
 

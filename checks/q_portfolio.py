@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.derive import table, with_inputs
-from checks.q_scores23 import FULL, PCT_RATIOS, full_table, percent_ratios
+from checks.q_scores23 import FULL, PCT_RATIOS, _risk_sql, full_table, percent_ratios
 from checks.q_scores30 import V30, history_table
 from checks.q_series import FACTORS, PATH, QSTARTS, SER, STRESS, W, benchmark_returns, quarter_instants, series_returns, stress_results
-from checks.registry import even, query, rnd
+from checks.registry import even, pct, query, rnd, steps
+from stratafin import params as P
 from stratafin.operators import alerts, allocation, scores_v30, weights
 from stratafin.operators.ranking import top_k
 from stratafin.operators.series import simple_returns
@@ -417,16 +418,69 @@ def strategy_returns(spark, sf):
     return backtest.walk_forward(px, fin, WF)
 
 
-@query("walk_forward_fundamental", None, "B15 B16 B18 B22")
+def _wf_sql():
+    z = lambda c: f"coalesce(({c} - avg({c}) over w) / nullif(stddev_samp({c}) over w, 0), 0)"
+    part = "rebalance_date"
+    return {
+        **PIT,
+        "u0": """select fa.symbol, fa.rd as rebalance_date, fa.ebit, fa.fcf, fa.revenue, fa.total_debt, fa.cash, fa.equity, fa.interest_expense, fv.vol_30d, fa.shares_outstanding * fv.pclose as market_cap
+          from fa asof join fv on fv.symbol = fa.symbol and fa.rd >= fv.price_date""",
+        "u1": """select *, least(greatest(fcf / nullif(market_cap, 0), -0.5), 0.5) as fy, case when ebit > 0 then least(greatest((market_cap + total_debt - cash) / ebit, 0), 100) end as ee,
+          case when equity + total_debt - cash > 0 then ebit * 0.75 / (equity + total_debt - cash) end as r, fcf / nullif(revenue, 0) as fm, case when equity > 0 then total_debt / equity else 2.0 end as de from u0""",
+        "u2": f"""select *, case when count(fy) over (partition by {part}) >= 5 then coalesce({pct('fy', part)}, 0.5) else 0.5 end as a, case when count(ee) over (partition by {part}) >= 5 then coalesce(1 - {pct('ee', part)}, 0.5) else 0.5 end as b,
+          {steps('r', P.ROIC_LADDER, '>', '0.0', '0.5')} as q1, {steps("(case when fm is not null then case when fm > 0.15 then 0.12 when fm > 0.10 then 0.08 when fm > 0.05 then 0.04 else 0.0 end end)", P.FCF_GROWTH_LADDER, '>', '0.0', '0.5')} as q3,
+          case when de < 1.0 then 0.7 when de < 1.5 then 0.5 when de < 2.0 then 0.3 else 0.0 end::double as q4 from u1""",
+        **_risk_sql("u2"),
+        "u3": f"select *, {even('0.4 * a + 0.4 * b + 0.2 * 0.5::double', 3)} as sv, {even('0.35 * q1 + 0.25 * 0.5::double + 0.20 * q3 + 0.20 * q4', 3)} as sq from rk",
+        "u4": f"select *, {z('sv')} as zv, {z('sq')} as zq, {z('sr')} as zr from u3 window w as (partition by rebalance_date)",
+        "u5": f"select *, {even('0.30 * zv + 0.25 * zq + 0.15 * zr', 4)} as sc from u4",
+        "u6": "select * from (select symbol, rebalance_date as rd, row_number() over (partition by rebalance_date order by sc desc, symbol) as rn from u5) t where rn <= 20",
+        "qw": "select rd, symbol, w0 / sum(w0) over (partition by rd) as weight from (select rd, symbol, least(1.0 / count(*) over (partition by rd), 0.12) as w0 from u6) t",
+        "dy": "select distinct date from px",
+        "ret": f"select symbol, date, close / nullif(lag(close) over ({W}), 0) - 1 as ret from px",
+        "sp": "select rd, coalesce(lead(rd) over (order by rd) - 1, (select max(date) from px)) as upto from (select distinct rd from qw) z",
+        **{k: QW[k] for k in ("hd", "gr", "cc", "net")},
+    }
+
+
+WF_SQL = _wf_sql()
+
+
+@query(
+    "walk_forward_weights",
+    with_inputs("fin", "px", extra=WF_SQL) + f" select symbol, rd as rebalance_date, {rnd('weight')} as weight from qw",
+    "B15 B22 K3",
+)
+def _walk_forward_weights(spark, sf):
+    px = stage(table(spark, sf, "px").select("symbol", "date", "close"))
+    fin = stage(table(spark, sf, "fin").drop("price", "as_of_date"))
+    return backtest.fundamental_weights(px, fin, WF).select("symbol", "rebalance_date", F.round("weight", 6).alias("weight"))
+
+
+@query(
+    "walk_forward_fundamental",
+    with_inputs("fin", "px", extra=WF_SQL) + f" select date, {rnd('gross_ret')} as gross_ret, {rnd('cost', 8)} as cost, {rnd('ret')} as ret from net",
+    "B15 B16 B18 B22",
+)
 def _walk_forward(spark, sf):
-    return strategy_returns(spark, sf)
+    out = strategy_returns(spark, sf)
+    return out.select("date", F.round("gross_ret", 6).alias("gross_ret"), F.round("cost", 8).alias("cost"), F.round("ret", 6).alias("ret"))
 
 
-@query("walk_forward_acceptance", None, "A33 B18")
+@query(
+    "walk_forward_acceptance",
+    with_inputs("fin", "px", extra={**WF_SQL, "g1": "select date, ret, product(1 + ret) over (order by date rows between unbounded preceding and current row) as g from net",
+      "g2": "select *, g / max(g) over (order by date rows between unbounded preceding and current row) - 1 as dd from g1",
+      "m": f"select count(*) as n, {even('(avg(ret) - 0.045 / 252) / stddev_samp(ret) * sqrt(252.0)', 3)} as sr, {even('min(dd) * 100', 2)} as md from g2"})
+    + """ select 'strategy' as portfolio_id, n as num_periods, sr as sharpe_ratio, md as max_drawdown, sr >= 0.55 and md >= -35 as accepted, concat_ws('; ', case when sr < 0.55 then 'sharpe below floor' else 'sharpe ok' end,
+      case when md < -35 then 'drawdown beyond hard limit' when md < -25 then 'drawdown beyond target' else 'drawdown ok' end) as notes from m""",
+    "A33 B18",
+)
 def _acceptance(spark, sf):
     daily = stage(strategy_returns(spark, sf))
     m = metrics.performance_metrics(daily, ["portfolio_id"])
-    return compare.acceptance(m).withColumn("notes", F.concat_ws("; ", "notes"))
+    out = compare.acceptance(m).withColumn("notes", F.concat_ws("; ", "notes"))
+    return out.select("portfolio_id", "num_periods", "sharpe_ratio", "max_drawdown", "accepted", "notes")
 
 
 OOS = {

@@ -459,8 +459,8 @@ GRID = {
     "buy": "select as_of_date, symbol as ticker, sum(n_lines)::double as value from hold where symbol not like '%4' group by 1, 2",
     "oz": "select distinct as_of_date, symbol as ticker from hold where symbol like '%3' or symbol like '%13'",
     "bz": "select distinct as_of_date, symbol as ticker from hold where symbol like '%24' or symbol like '%54'",
-    "orr": "select *, row_number() over (partition by as_of_date order by value desc, ticker) as r, count(*) over (partition by as_of_date) as n from own",
-    "brr": "select *, row_number() over (partition by as_of_date order by value desc, ticker) as r, count(*) over (partition by as_of_date) as n from buy",
+    "orr": "select *, row_number() over (partition by as_of_date order by value desc, md5(ticker)) as r, count(*) over (partition by as_of_date) as n from own",
+    "brr": "select *, row_number() over (partition by as_of_date order by value desc, md5(ticker)) as r, count(*) over (partition by as_of_date) as n from buy",
     "j": """select coalesce(o.as_of_date, b.as_of_date) as as_of_date, coalesce(o.ticker, b.ticker) as ticker, o.r as orank, b.r as brank,
       coalesce(floor((1 - (o.r - 1) / greatest(o.n - 1, 1)::double) * 100 + 0.5), 0) as os, coalesce(floor((1 - (b.r - 1) / greatest(b.n - 1, 1)::double) * 100 + 0.5), 0) as bs
       from orr o full join brr b on o.as_of_date = b.as_of_date and o.ticker = b.ticker""",

@@ -167,7 +167,7 @@ def grid_score(
     Inputs have one row per ``(*by, ticker)``; the lists carry ``value``.
     """
     on = [*by, "ticker"]
-    o, b = _list_score(stage(ownership), by, "ownership"), _list_score(stage(buys), by, "buys")
+    o, b = _list_score(ownership, by, "ownership"), _list_score(buys, by, "buys")
     flag = F.lit(True)
     joined = (
         o.join(b, on, "full_outer")

@@ -151,43 +151,43 @@ def descending_rank(df: DataFrame, by: Sequence[str], source: str, out: str, wit
 
 
 def ordinal_descending(df: DataFrame, by: Sequence[str], source: str, out: str, tie: str) -> DataFrame:
-    """Dense 1..n order by ``source`` descending, ties broken by ``tie``.
+    """Dense 1..n order by ``source`` descending, ties in the order of ``md5(tie)``.
 
-    The rank of the tie group comes from the distributed positions; only the
-    rows of one tied value are ordered together, spread by the leading
-    characters of ``tie`` with offsets per prefix.
+    The rank of the tied value comes from the distributed positions.  Inside one
+    tied value the digest order is arbitrary but fixed, and its leading digits
+    cut the tie into even slices with an offset each, so a value shared by most
+    rows is still numbered by many tasks.
     """
+    df = stage(df)  # read three times below
     positions = value_positions(df, by, [Rank("_r", source)]).select(
         *by, F.col("value").alias("_value"), (F.col("total") - F.col("below") - F.col("n")).alias("_above")
     )
+    digest = F.md5(F.col(tie).cast("string"))
     rows = df.withColumns(
-        {
-            "_value": F.col(source).cast("double") + F.lit(0.0),
-            "_prefix": F.substring(F.col(tie).cast("string"), 1, 6),
-        }
+        {"_value": F.col(source).cast("double") + F.lit(0.0), "_digest": digest, "_slice": F.substring(digest, 1, 3)}
     )
     group = [*by, "_value"]
-    prefixes = (
-        rows.groupBy(*group, "_prefix")
+    slices = (
+        rows.groupBy(*group, "_slice")
         .agg(F.count(F.lit(1)).alias("_rows"))
         .withColumn(
             "_before",
             F.coalesce(
                 F.sum("_rows").over(
-                    Window.partitionBy(*group).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
+                    Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
                 ),
                 F.lit(0),
             ),
         )
         .drop("_rows")
     )
-    local = F.row_number().over(Window.partitionBy(*group, "_prefix").orderBy(tie))
+    local = F.row_number().over(Window.partitionBy(*group, "_slice").orderBy("_digest", tie))
     return (
         rows.withColumn("_local", local)
-        .join(prefixes, [*group, "_prefix"])
+        .join(slices, [*group, "_slice"])
         .join(positions, group)
         .withColumn(out, (F.col("_above") + F.col("_before") + F.col("_local")).cast("int"))
-        .drop("_value", "_prefix", "_local", "_before", "_above")
+        .drop("_value", "_digest", "_slice", "_local", "_before", "_above")
     )
 
 
