@@ -106,9 +106,15 @@ def _average_rank() -> Column:
 
 
 def _attach(
-    df: DataFrame, by: Sequence[str], key: Sequence[str], ranks: Sequence[Rank], formula, counts: str | None = None
+    df: DataFrame,
+    by: Sequence[str],
+    key: Sequence[str],
+    ranks: Sequence[Rank],
+    formula,
+    counts: str | None = None,
+    stored: bool = False,
 ) -> DataFrame:
-    df = stage(df)  # read three times below
+    df = df if stored else stage(df)  # read three times below
     positions = value_positions(df, by, ranks).withColumn("_rank", formula)
     if len(ranks) == 1 and counts is None:
         only = ranks[0]
@@ -134,14 +140,21 @@ def _attach(
 
 
 def pct_ranks(
-    df: DataFrame, by: Sequence[str], key: Sequence[str], ranks: Sequence[Rank], counts: str | None = None
+    df: DataFrame,
+    by: Sequence[str],
+    key: Sequence[str],
+    ranks: Sequence[Rank],
+    counts: str | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """Average-tie percentile ranks (average rank / non-missing rows; missing stays missing).
 
     ``key`` identifies a row inside ``by``.  ``counts`` is a prefix under which
-    the number of non-missing rows per metric is kept as well.
+    the number of non-missing rows per metric is kept as well.  ``stored`` says
+    that ``df`` is a stored table with at most row-wise columns on top, so it
+    need not be written again before its three reads.
     """
-    return _attach(df, by, key, ranks, _average_rank() / F.col("total"), counts)
+    return _attach(df, by, key, ranks, _average_rank() / F.col("total"), counts, stored)
 
 
 def descending_rank(df: DataFrame, by: Sequence[str], source: str, out: str, within: str | None = None) -> DataFrame:

@@ -110,9 +110,11 @@ def _value_metrics(df: DataFrame) -> DataFrame:
     return measured.withColumnsRenamed({"fcf_yield": "_fcf_yield", "ev_ebit": "_ev_ebit", "pe_ratio": "_pe"}).drop("ev")
 
 
-def _percentile_scores(df: DataFrame, by, key, within: str | None, min_values: int, w: dict[str, float]) -> DataFrame:
+def _percentile_scores(
+    df: DataFrame, by, key, within: str | None, min_values: int, w: dict[str, float], stored: bool
+) -> DataFrame:
     ranks = [Rank("_y", "_fcf_yield", within), Rank("_e", "_ev_ebit", within), Rank("_p", "_pe", within)]
-    ranked = pct_ranks(_value_metrics(df), by, key, ranks, counts="_n")
+    ranked = pct_ranks(_value_metrics(df), by, key, ranks, counts="_n", stored=stored)
 
     def score(rank: str, inverted: bool) -> Column:
         x = 1 - F.col(rank) if inverted else F.col(rank)
@@ -131,16 +133,25 @@ def _percentile_scores(df: DataFrame, by, key, within: str | None, min_values: i
 
 
 def score_value_cross_sectional(
-    df: DataFrame, by: Sequence[str] = ("as_of_date",), key: Sequence[str] = ("symbol",), weights: dict[str, float] | None = None
+    df: DataFrame,
+    by: Sequence[str] = ("as_of_date",),
+    key: Sequence[str] = ("symbol",),
+    weights: dict[str, float] | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """Universe percentiles; a metric known for fewer than five names is neutral."""
-    return _percentile_scores(df, by, key, None, 5, weights or VALUE_WEIGHTS)
+    return _percentile_scores(df, by, key, None, 5, weights or VALUE_WEIGHTS, stored)
 
 
 def score_value_sector_neutral(
-    df: DataFrame, by: Sequence[str] = ("as_of_date",), key: Sequence[str] = ("symbol",), weights: dict[str, float] | None = None
+    df: DataFrame,
+    by: Sequence[str] = ("as_of_date",),
+    key: Sequence[str] = ("symbol",),
+    weights: dict[str, float] | None = None,
+    stored: bool = False,
 ) -> DataFrame:
-    return _percentile_scores(df, by, key, "sector" if "sector" in df.columns else None, 0, weights or VALUE_WEIGHTS)
+    within = "sector" if "sector" in df.columns else None
+    return _percentile_scores(df, by, key, within, 0, weights or VALUE_WEIGHTS, stored)
 
 
 def score_value(df: DataFrame, mode: str = "cross_sectional", by: Sequence[str] = ("as_of_date",), **kwargs) -> DataFrame:
@@ -307,9 +318,15 @@ FACTOR_COLUMNS = {
 
 
 def composite_v23(
-    df: DataFrame, by: Sequence[str] = ("as_of_date",), weights: dict[str, float] | None = None, use_zscore: bool = True
+    df: DataFrame,
+    by: Sequence[str] = ("as_of_date",),
+    weights: dict[str, float] | None = None,
+    use_zscore: bool = True,
+    with_ranks: bool = True,
 ) -> DataFrame:
-    """Composite over the available factors, weights rescaled to them; legacy quality mean; ranks."""
+    """Composite over the available factors, weights rescaled to them; legacy quality mean; ranks.
+
+    ``with_ranks=False`` leaves the two universe ranks out (a top-k needs none)."""
     w = weights or WEIGHTS_V23
     found = {f: next((c for c in FACTOR_COLUMNS[f] if c in df.columns), None) for f in w}
     found = {f: c for f, c in found.items() if c is not None}
@@ -325,12 +342,13 @@ def composite_v23(
     out = df.withColumn("score_composite", half_even(composite, 4))
     core = [found.get(f) for f in ("value", "quality", "risk")]
     if None in core:
-        return descending_rank(out, by, "score_composite", "rank_composite").withColumn(
-            "core_score", F.lit(None).cast("double")
-        )
+        out = out.withColumn("core_score", F.lit(None).cast("double"))
+        return descending_rank(out, by, "score_composite", "rank_composite") if with_ranks else out
     known = sum(F.when(F.col(c).isNotNull(), 1).otherwise(0) for c in core)
     mean = sum(F.coalesce(F.col(c), F.lit(0.0)) for c in core) / F.nullif(known, F.lit(0))
     out = out.withColumn("core_score", half_even(mean, 3))
+    if not with_ranks:
+        return out
     out = descending_rank(out, by, "score_composite", "rank_composite")
     return descending_rank(out, by, "core_score", "rank_core")
 
@@ -342,8 +360,10 @@ def score_pipeline(
     value_mode: str = "cross_sectional",
     weights: dict[str, float] | None = None,
     use_zscore: bool = True,
+    with_ranks: bool = True,
+    stored: bool = False,
 ) -> DataFrame:
     """Value, quality, risk, composite."""
-    extra = {} if value_mode == "absolute" else {"key": key}
+    extra = {} if value_mode == "absolute" else {"key": key, "stored": stored}
     scored = score_risk(score_quality(score_value(df, value_mode, by, **extra)))
-    return composite_v23(scored, by, weights, use_zscore)
+    return composite_v23(scored, by, weights, use_zscore, with_ranks)

@@ -101,14 +101,15 @@ def constraint_check(df: DataFrame, by: Sequence[str], c: Constraints = Constrai
 # --- snapshot differences -----------------------------------------------------------------------
 
 
-def snapshot_changes(weights: DataFrame, keys: Sequence[str], date: str = "date") -> DataFrame:
+def snapshot_changes(weights: DataFrame, keys: Sequence[str], date: str = "date", stored: bool = False) -> DataFrame:
     """Old and new weight per symbol between consecutive snapshots of a portfolio.
 
     The previous snapshot is shifted to the next snapshot's date and met there
     by one full outer equi-join.  Output: ``*keys, date, symbol, old_weight,
     new_weight, change`` for every snapshot but the first.
     """
-    weights = stage(weights.select(*keys, date, "symbol", "weight"))
+    weights = weights.select(*keys, date, "symbol", "weight")
+    weights = weights if stored else stage(weights)
     dates = weights.select(*keys, date).distinct()
     order = Window.partitionBy(*keys).orderBy(date) if keys else Window.partitionBy(F.lit(0)).orderBy(date)
     dates = dates.withColumns({"_next": F.lead(date).over(order), "_first": F.lag(date).over(order).isNull()})
@@ -145,7 +146,7 @@ def annual_turnover(weights: DataFrame, keys: Sequence[str], per_year: int = 252
     original does; pass the real snapshots per year for the usual figure.
     """
     weights = stage(weights.select(*keys, "date", "symbol", "weight"))
-    per_date = turnover(snapshot_changes(weights, keys), keys)
+    per_date = turnover(snapshot_changes(weights, keys, stored=True), keys)
     rows = weights.groupBy(*keys).agg(F.countDistinct("date").alias("_n"))
     total = per_date.groupBy(*keys).agg(F.sum("turnover").alias("_t"), F.sum("trades").alias("num_trades"))
     return total.join(rows, list(keys)).select(

@@ -129,7 +129,7 @@ def portfolio_returns(
         .groupBy(*keys, "date")
         .agg(F.coalesce(F.sum(F.col("weight") * F.col("ret")), F.lit(0.0)).alias("gross_ret"))
     )
-    traded = turnover(snapshot_changes(weights, keys, "rebalance_date"), keys, "rebalance_date").select(
+    traded = turnover(snapshot_changes(weights, keys, "rebalance_date", stored=True), keys, "rebalance_date").select(
         *keys, F.date_add("rebalance_date", effective_lag_days).alias("date"), (F.col("turnover") * cost_bps / 10000).alias("cost")
     )
     return gross.join(traded, [*keys, "date"], "left").withColumns(
@@ -171,7 +171,7 @@ def fundamental_weights(prices: DataFrame, fundamentals: DataFrame, p: WalkForwa
     """Weights at every successful rebalance date from the fundamental scores."""
     instants = rebalance_dates(prices, p.frequency, p.calendar)
     universe = stage(point_in_time_universe(prices, fundamentals, instants, p.publication, p.liquidity, p.leverage))
-    scored = score_pipeline(universe, by=["rebalance_date"], value_mode=p.value_mode)
+    scored = score_pipeline(universe, by=["rebalance_date"], value_mode=p.value_mode, with_ranks=False, stored=True)
     return select_positions(scored, ["rebalance_date"], p.constraints)
 
 
