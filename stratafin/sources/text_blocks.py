@@ -21,7 +21,7 @@ from stratafin.operators.joins import exists_flag
 def clean_lines(text: str | Column = "text") -> Column:
     """Trimmed, non-blank lines of a capture as an array."""
     source = F.col(text) if isinstance(text, str) else text
-    trimmed = F.transform(F.split(source, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    trimmed = F.transform(F.split(source, "\n"), lambda x: F.btrim(x, F.lit(" \t\r\f\x0b\u00a0")))
     return F.filter(trimmed, lambda x: F.length(x) > 0)
 
 
@@ -133,43 +133,38 @@ def _insider_body(docs: DataFrame) -> DataFrame:
     return rows.withColumn("row_layout", wide)
 
 
-def parse_insider_rows(body: DataFrame) -> DataFrame:
-    """One trade per line; the ticker column is found by its shape."""
-    lines = body.select("doc_id", "has_tab", F.posexplode("lines").alias("line_no", "line")).where(~F.col("line").startswith("---"))
-    rows = lines.withColumn("_c", _cells_of(F.col("line"), F.col("has_tab"), True))
-    shaped = F.transform("_c", lambda x: x.rlike(tx.INSIDER_TICKER_PATTERN))
-    at = F.greatest(F.array_position(shaped, F.lit(True)) - 1, F.lit(0))
-    rows = rows.withColumn("_at", at)
-    fields = F.struct(*[_cell("_c", F.col("_at") + i).alias(n) for i, n in enumerate(_INSIDER_FIELDS)])
-    rows = rows.withColumn("_f", fields)
-    ticker = F.col("_f.ticker")
-    error = F.when(F.size("_c") < 6, F.lit("too few columns")).when((ticker == "") | (F.length(ticker) > 6), F.lit("no ticker"))
-    rows = rows.withColumn("error", error).withColumn("line_no", F.col("line_no") + 1)
-    return _trade_columns(rows, ["doc_id", "line_no", "error"])
-
-
 _TAB_BLOCK = r"(?m)^[A-Z]{1,6}(?:[ ]*\t[^\n]*)?\n(?:[^\n]*\n){6}[^\n]*$"
 _GAP_BLOCK = r"(?m)^[A-Z]{1,6}(?:[ ]{2,}[^\n]*)?\n(?:[^\n]*\n){6}[^\n]*$"
 
 
-def parse_insider_blocks(body: DataFrame) -> DataFrame:
-    """Eight lines per trade.  The expression consumes a whole block per match, so a
-    role such as CEO inside a block is never mistaken for a ticker."""
+def parse_insider(docs: DataFrame) -> DataFrame:
+    """One trade per line, or eight lines per trade, chosen per capture.
+
+    In line layout the ticker column is found by its shape.  In block layout the
+    expression consumes a whole block per match, so a role such as CEO inside a
+    block is never mistaken for a ticker.  Both layouts are cut into pieces
+    first and share one explode, so a capture is read and split once.
+    """
+    body = _insider_body(docs)
     pattern = F.when(F.col("has_tab"), F.lit(_TAB_BLOCK)).otherwise(F.lit(_GAP_BLOCK))
-    blocks = body.select(
-        "doc_id", "has_tab", F.posexplode(F.regexp_extract_all(F.array_join("lines", "\n"), pattern, F.lit(0))).alias("block_no", "block")
-    )
-    rows = blocks.withColumn("_l", F.split("block", "\n"))
+    blocks = F.regexp_extract_all(F.array_join("lines", "\n"), pattern, F.lit(0))
+    pieces = body.select(
+        "doc_id", "has_tab", "row_layout", F.posexplode(F.when(F.col("row_layout"), F.col("lines")).otherwise(blocks)).alias("line_no", "piece")
+    ).where(~F.col("piece").startswith("---"))
+    per_line = F.col("row_layout")
+    rows = pieces.withColumn("_l", F.split("piece", "\n"))
     rows = rows.withColumns(
         {
-            "_first": _cells_of(F.col("_l")[0], F.col("has_tab"), False),
-            "_last": _cells_of(F.col("_l")[7], F.col("has_tab"), False),
+            "_c": _cells_of(F.col("_l")[0], F.col("has_tab"), True),
+            "_last": F.when(~per_line, _cells_of(F.col("_l")[F.size("_l") - 1], F.col("has_tab"), False)),
         }
     )
-    line = lambda i: F.trim(F.col("_l")[i])
-    fields = {
-        "ticker": _cell("_first", 0),
-        "cell": F.trim(F.concat_ws(" ", _cell("_first", 1), line(1))),
+    shaped = F.transform("_c", lambda x: x.rlike(tx.INSIDER_TICKER_PATTERN))
+    rows = rows.withColumn("_at", F.when(per_line, F.greatest(F.array_position(shaped, F.lit(True)) - 1, F.lit(0))).otherwise(F.lit(0)))
+    line = lambda i: F.trim(_cell("_l", i))
+    in_block = {
+        "ticker": _cell("_c", 0),
+        "cell": F.trim(F.concat_ws(" ", _cell("_c", 1), line(1))),
         "trade_type": line(2),
         "change": line(3),
         "price": line(4),
@@ -179,18 +174,14 @@ def parse_insider_blocks(body: DataFrame) -> DataFrame:
         "trade_date": _cell("_last", 1),
         "filed_date": _cell("_last", 2),
     }
-    rows = rows.withColumn("_f", F.struct(*[c.alias(n) for n, c in fields.items()]))
-    rows = rows.withColumn("line_no", F.col("block_no") + 1).withColumn("error", F.lit(None).cast("string"))
+    fields = [F.when(per_line, _cell("_c", F.col("_at") + i)).otherwise(in_block[n]).alias(n) for i, n in enumerate(_INSIDER_FIELDS)]
+    rows = rows.withColumn("_f", F.struct(*fields))
+    ticker = F.col("_f.ticker")
+    error = F.when(per_line & (F.size("_c") < 6), F.lit("too few columns")).when((ticker == "") | (F.length(ticker) > 6), F.lit("no ticker"))
+    rows = rows.withColumns({"error": error, "line_no": F.col("line_no") + 1})
     return _trade_columns(rows, ["doc_id", "line_no", "error"])
 
 
-def parse_insider(docs: DataFrame) -> DataFrame:
-    """Both layouts, chosen per capture."""
-    body = _insider_body(docs)
-    rows = parse_insider_rows(body.where(F.col("row_layout")))
-    return rows.unionByName(parse_insider_blocks(body.where(~F.col("row_layout"))))
-
-
 # --- institutional blocks -----------------------------------------------------------------------------------
 
 _COUNT = r"(\d[\d,]*)"
@@ -317,24 +308,30 @@ def parse_fund_holdings(docs: DataFrame) -> DataFrame:
     )
     is_table = F.exists(F.slice("body", 1, 20), lambda x: F.size(F.split(x, "\t")) >= 10)
     body = body.withColumn("layout", F.when(is_table, "table").otherwise("vertical"))
-    keep = ["doc_id", "fund_name", "layout", "row_no"]
-
-    table = body.where(F.col("layout") == "table").select("doc_id", "fund_name", "layout", F.posexplode("body").alias("row_no", "line"))
-    table = table.withColumn("_c", F.split("line", "\t"))
-    header = (F.lower(F.col("_c")[0]) == "stock") | F.lower(_cell("_c", 1)).startswith("company")
-    table = table.where((F.size("_c") >= 11) & ~header)
-
-    blocks = body.where(F.col("layout") == "vertical").select(
-        "doc_id", "fund_name", "layout", F.posexplode(F.regexp_extract_all(F.array_join("body", "\n"), F.lit(_HOLDING_BLOCK), F.lit(0))).alias("row_no", "block")
+    blocks = F.regexp_extract_all(F.array_join("body", "\n"), F.lit(_HOLDING_BLOCK), F.lit(0))
+    def is_holding(x: Column) -> Column:
+        cells = F.split(x, "\t")
+        return (F.size(cells) >= 11) & (F.lower(cells[0]) != "stock") & ~F.lower(cells[1]).startswith("company")
+
+    # rows are chosen inside the array and both layouts share one explode, so a
+    # capture is read and split once
+    table_rows = F.filter("body", is_holding)
+    pieces = body.select(
+        "doc_id", "fund_name", "layout", F.posexplode(F.when(F.col("layout") == "table", table_rows).otherwise(blocks)).alias("row_no", "piece")
     )
-    blocks = blocks.withColumn("_l", F.split("block", "\n"))
-    tail = F.col("_l")[9]
+    by_line = F.split("piece", "\n")
+    pieces = pieces.withColumn("_l", F.when(F.col("layout") == "table", F.split("piece", "\t")).otherwise(by_line))
+    tail = _cell("_l", 9)
     dated = r"^(.*?)(\d{4}-\d{2}-\d{2})$"
     halves = F.split(tail, "\t")
-    sector = F.when(F.size(halves) >= 2, halves[0]).when(tail.rlike(dated), F.regexp_extract(tail, dated, 1)).otherwise(tail)
-    date = F.when(F.size(halves) >= 2, halves[1]).when(tail.rlike(dated), F.regexp_extract(tail, dated, 2)).otherwise(F.lit(""))
-    blocks = blocks.withColumn("_c", F.concat(F.slice("_l", 1, 9), F.array(sector, date)))
-    return _holding_columns(table, keep).unionByName(_holding_columns(blocks, keep))
+    last_two = (
+        F.when(F.size(halves) >= 2, F.slice(halves, 1, 2))
+        .when(tail.rlike(dated), F.array(F.regexp_extract(tail, dated, 1), F.regexp_extract(tail, dated, 2)))
+        .otherwise(F.array(tail, F.lit("")))
+    )
+    cells = F.when(F.col("layout") == "table", F.col("_l")).otherwise(F.concat(F.slice("_l", 1, 9), last_two))
+    rows = pieces.withColumn("_c", cells)
+    return _holding_columns(rows, ["doc_id", "fund_name", "layout", "row_no"])
 
 
 # --- ticker and metric lists -------------------------------------------------------------------------------------
