@@ -28,7 +28,7 @@ def _cell(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "∅"
-        return f"{v + 0.0:.6g}" if v else "0"
+        return repr(v)
     if isinstance(v, int):
         return str(v)
     if isinstance(v, (datetime.date, datetime.datetime)):

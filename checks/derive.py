@@ -34,18 +34,18 @@ INPUTS["fin"] = """
 select symbol, company, sector, industry, year, make_date(year, 12, 31) as as_of_date,
        px as price, 1000.0 + q as shares_outstanding, ext as revenue,
        round(0.4 * ext - dis, 4) as gross_profit,
-       round(ext * (0.04 + 0.2 * a) - dis + 0.04 * ext, 4) as ebit,
-       round(0.7 * (ext * (0.08 + 0.2 * a) - dis) - 0.01 * ext, 4) as net_income,
-       round(0.5 * tax + 0.6 * (ext * (0.08 + 0.2 * a) - dis), 4) as operating_cash_flow,
-       round(0.0 - 0.3 * tax, 4) as capex,
-       round(0.2 * tax + 0.6 * (ext * (0.08 + 0.2 * a) - dis), 4) as fcf,
-       case when a > 0.85 then 0.0 else round(500.0 * q * (1.1 - a), 4) end as total_debt,
+       round(ext * (0.04 + 0.2 * a) - dis + 0.04 * ext, 6) as ebit,
+       round(0.7 * (ext * (0.08 + 0.2 * a) - dis) - 0.01 * ext, 6) as net_income,
+       round(0.5 * tax + 0.6 * (ext * (0.08 + 0.2 * a) - dis), 6) as operating_cash_flow,
+       round(0.0 - 0.3 * tax, 6) as capex,
+       round(0.2 * tax + 0.6 * (ext * (0.08 + 0.2 * a) - dis), 6) as fcf,
+       case when a > 0.85 then 0.0 else round(500.0 * q * (1.1 - a), 6) end as total_debt,
        dis as cash,
-       round(a * 3000000.0 * n / 85.0 + 20.0 * q, 4) as equity,
-       round(a * 3000000.0 * n / 85.0 + 500.0 * q + 0.3 * ext, 4) as total_assets,
+       round(a * 3000000.0 * n / 85.0 + 20.0 * q, 6) as equity,
+       round(a * 3000000.0 * n / 85.0 + 500.0 * q + 0.3 * ext, 6) as total_assets,
        round(dis + 0.2 * ext, 4) as current_assets,
-       round(0.1 * ext + 100.0 * q * (1.1 - a), 4) as current_liabilities,
-       case when s_suppkey % 7 = 3 then null else round(25.0 * q * (1.1 - a), 4) end as interest_expense,
+       round(0.1 * ext + 100.0 * q * (1.1 - a), 6) as current_liabilities,
+       case when s_suppkey % 7 = 3 then null else round(25.0 * q * (1.1 - a), 6) end as interest_expense,
        round(q / 250.0, 4) as avg_volume, round(n / 2.0, 4) as volume
 from yearly join uni on l_suppkey = s_suppkey
 """
@@ -71,6 +71,10 @@ select cast(l_shipdate as date) as date, round(avg(l_extendedprice / l_quantity)
 from {lineitem} group by cast(l_shipdate as date)
 """
 
+# calmer versions of both, so that compounded returns stay in a usual range
+INPUTS["cpx"] = "select symbol, sector, date, round(1500.0 + (close - 1500.0) / 20.0, 8) as close from px"
+INPUTS["cbench"] = "select date, round(1500.0 + (close - 1500.0) / 20.0, 8) as close from bench"
+
 INPUTS["trades"] = """
 select event_id, cast(ts as date) as trade_date, concat('T', cast(user_id % 37 as string)) as symbol,
        concat('U', cast(user_id as string)) as insider_name,

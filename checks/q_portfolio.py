@@ -402,14 +402,14 @@ PIT = {
 @query(
     "point_in_time_universe",
     with_inputs("fin", "px", extra=PIT)
-    + f" select symbol, rebalance_date, year, price_date, {rnd('price')} as price, vol_30d, {rnd('market_cap', 3)} as market_cap, 0.5::double as score_sm from pu",
+    + f" select symbol, rebalance_date, year, price_date, price, vol_30d, market_cap, 0.5::double as score_sm from pu",
     "B14 J4 J5 W13 P8",
 )
 def _pit_universe(spark, sf):
     px = table(spark, sf, "px").select("symbol", "date", "close")
     fin = table(spark, sf, "fin").drop("price", "as_of_date")
     out = backtest.point_in_time_universe(px, fin, calendar.rebalance_dates(px, "Q"))
-    return out.select("symbol", "rebalance_date", "year", "price_date", F.round("price", 6).alias("price"), "vol_30d", F.round("market_cap", 3).alias("market_cap"), "score_sm")
+    return out.select("symbol", "rebalance_date", "year", "price_date", "price", "vol_30d", "market_cap", "score_sm")
 
 
 def strategy_returns(spark, sf):
@@ -484,24 +484,24 @@ def _acceptance(spark, sf):
 
 
 OOS = {
-    **FACTORS,
+    **{k: v.replace("from px", "from cpx") for k, v in FACTORS.items()},
     "cfg": "select * from (values ('core', 0.40, 0.35, 0.15, 0.10, 0.00), ('core_holder', 0.30, 0.25, 0.15, 0.15, 0.15), ('holder_reduced', 0.35, 0.30, 0.15, 0.15, 0.05)) t(config_id, cv, cq, cm, cl, ch)",
     "cs": "select config_id, symbol, rebalance_date, round(value * cv + quality * cq + momentum * cm + low_vol * cl + 0.5 * ch, 9) as sc from k4 cross join cfg",
-    "ct": "select cs.*, sector from (select *, row_number() over (partition by config_id, rebalance_date order by sc desc, symbol) as rn from cs) cs join (select distinct symbol, sector from px) s using (symbol) where rn <= 20",
+    "ct": "select cs.*, sector from (select *, row_number() over (partition by config_id, rebalance_date order by sc desc, symbol) as rn from cs) cs join (select distinct symbol, sector from cpx) s using (symbol) where rn <= 20",
     "c1": "select *, least(1.0 / count(*) over w, 0.12) as w0 from ct window w as (partition by config_id, rebalance_date)",
     "c2": "select *, w0 / sum(w0) over (partition by config_id, rebalance_date) as w1 from c1",
     "c3": "select *, sum(w1) over (partition by config_id, rebalance_date, sector) as sw from c2",
     "c4": "select *, case when sw > 0.30 then w1 * 0.30 / sw else w1 end as w2 from c3",
     "c5": "select *, w2 / sum(w2) over (partition by config_id, rebalance_date) as weight from c4",
-    "pe0": 'select start as rebalance_date, symbol, arg_max(close, date) / arg_min(close, date) - 1 as r from px join per on date between start and "end" group by 1, 2',
-    "be0": 'select start as rebalance_date, arg_max(close, date) / arg_min(close, date) - 1 as b, count(*) as n from bench join per on date between start and "end" group by 1',
+    "pe0": 'select start as rebalance_date, symbol, arg_max(close, date) / arg_min(close, date) - 1 as r from cpx join per on date between start and "end" group by 1, 2',
+    "be0": 'select start as rebalance_date, arg_max(close, date) / arg_min(close, date) - 1 as b, count(*) as n from cbench join per on date between start and "end" group by 1',
     "pp0": "select config_id, rebalance_date, sum(weight * coalesce(r, 0)) as portfolio_return, count(*) as n_positions from c5 join (select start as rebalance_date from per) q using (rebalance_date) left join pe0 using (rebalance_date, symbol) group by 1, 2",
     "pr": "select config_id, rebalance_date as period_start, portfolio_return, n_positions, case when n >= 2 then b else 0 end as benchmark_return, portfolio_return - case when n >= 2 then b else 0 end as alpha from pp0 join be0 using (rebalance_date)",
 }
 
 
 def oos_periods(spark, sf):
-    px = stage(table(spark, sf, "px").select("symbol", "date", "close", "sector"))
+    px = stage(table(spark, sf, "cpx").select("symbol", "date", "close", "sector"))
     instants = stage(quarter_instants(spark, sf))
     prices = px.select("symbol", "date", "close")
     sectors = px.select("symbol", "sector").distinct()
@@ -510,12 +510,12 @@ def oos_periods(spark, sf):
     by = ["config_id", "rebalance_date"]
     top = top_k(scored, by, [F.col("score_composite").desc(), F.col("symbol")], 20).join(sectors, "symbol", "left")
     w = weights.sector_cap_once(weights.equal_weights(top, by, 0.12), by, 0.30)
-    return backtest.period_results(w, prices, calendar.periods_between(instants), table(spark, sf, "bench"), ["config_id"])
+    return backtest.period_results(w, prices, calendar.periods_between(instants), table(spark, sf, "cbench"), ["config_id"])
 
 
 @query(
     "walk_forward_configs",
-    with_inputs("px", "bench", extra=OOS)
+    with_inputs("cpx", "cbench", extra=OOS)
     + f" select config_id, period_start, n_positions, {rnd('portfolio_return')} as portfolio_return, {rnd('benchmark_return')} as benchmark_return, {rnd('alpha')} as alpha from pr",
     "B19 C24 J16 B9 J6 J7",
 )
@@ -537,14 +537,14 @@ SUMM = {
 }
 
 
-@query("config_summary", with_inputs("px", "bench", extra=SUMM) + " select * from su", "A22 A23")
+@query("config_summary", with_inputs("cpx", "cbench", extra=SUMM) + " select * from su", "A22 A23")
 def _config_summary(spark, sf):
     return metrics.config_summary(oos_periods(spark, sf), ["config_id"])
 
 
 @query(
     "config_attribution",
-    with_inputs("px", "bench", extra={**SUMM, "ba": "select * from su where config_id = 'core'"})
+    with_inputs("cpx", "cbench", extra={**SUMM, "ba": "select * from su where config_id = 'core'"})
     + f""" select su.config_id, {even('su.total_alpha - ba.total_alpha', 2)} as alpha_contribution, {even('su.sharpe - ba.sharpe', 2)} as sharpe_contribution, {even('su.information_ratio - ba.information_ratio', 2)} as ir_contribution,
       case when su.config_id = 'core' then 'base' when su.total_alpha > ba.total_alpha and su.information_ratio > ba.information_ratio then 'adds_value' when su.total_alpha > ba.total_alpha then 'mixed' else 'no_value' end as verdict from su, ba""",
     "A37",
@@ -570,14 +570,14 @@ WFS = {**PCTP, "ws": f"""select config_id, count(*) as total_periods, {even('(po
       {even('stddev_pop(b) * 2', 2)} as benchmark_volatility, {even('stddev_pop(a) * 2', 2)} as tracking_error, {even('min(dd) * 100', 2)} as max_drawdown, min(p) as worst_period_return, max(p) as best_period_return from q2 group by 1"""}
 
 
-@query("walk_forward_summary", with_inputs("px", "bench", extra=WFS) + " select * from ws", "A20")
+@query("walk_forward_summary", with_inputs("cpx", "cbench", extra=WFS) + " select * from ws", "A20")
 def _wf_summary(spark, sf):
     return metrics.walk_forward_summary(percent_periods(spark, sf), ["config_id"])
 
 
 @query(
     "strategy_verdict",
-    with_inputs("px", "bench", extra={**WFS, "v": "select config_id, total_alpha > 0 as alpha_positive, hit_rate > 50 as hit_rate_ok, max_drawdown > -40 as drawdown_ok, information_ratio > 0.3 as ir_ok from ws"})
+    with_inputs("cpx", "cbench", extra={**WFS, "v": "select config_id, total_alpha > 0 as alpha_positive, hit_rate > 50 as hit_rate_ok, max_drawdown > -40 as drawdown_ok, information_ratio > 0.3 as ir_ok from ws"})
     + " select *, alpha_positive::int + hit_rate_ok::int + drawdown_ok::int + ir_ok::int as criteria_passed, case alpha_positive::int + hit_rate_ok::int + drawdown_ok::int + ir_ok::int when 4 then 'validated' when 3 then 'acceptable' else 'rework' end as verdict from v",
     "A34",
 )
@@ -588,7 +588,7 @@ def _verdict(spark, sf):
 
 @query(
     "annual_returns",
-    with_inputs("px", "bench", extra={**PCTP, "y": "select config_id, year(period_start)::int as year, (product(1 + p / 100) - 1) * 100 as a1, (product(1 + b / 100) - 1) * 100 as b1, count(*) as n from pq group by 1, 2"})
+    with_inputs("cpx", "cbench", extra={**PCTP, "y": "select config_id, year(period_start)::int as year, (product(1 + p / 100) - 1) * 100 as a1, (product(1 + b / 100) - 1) * 100 as b1, count(*) as n from pq group by 1, 2"})
     + f" select config_id, year, {even('a1', 2)} as portfolio, {even('b1', 2)} as benchmark, {even('a1 - b1', 2)} as alpha, n as periods from y",
     "A21",
 )
@@ -598,7 +598,7 @@ def _annual(spark, sf):
 
 @query(
     "best_and_worst_periods",
-    with_inputs("px", "bench", extra={**PCTP, "o": "select *, row_number() over (partition by config_id order by p desc, period_start) as h, row_number() over (partition by config_id order by p, period_start) as l from pq"})
+    with_inputs("cpx", "cbench", extra={**PCTP, "o": "select *, row_number() over (partition by config_id order by p desc, period_start) as h, row_number() over (partition by config_id order by p, period_start) as l from pq"})
     + " select config_id, 'best' as side, h::int as place, period_start, p as portfolio_return from o where h <= 5 union all select config_id, 'worst', l::int, period_start, p from o where l <= 5",
     "K5",
 )

@@ -211,13 +211,13 @@ def _latest_year(spark, sf):
     "as_of_price",
     with_inputs("px", "hold", extra={"pr": "select distinct symbol, as_of_date as date from hold",
       "a": "select pr.symbol, pr.date, p.close, p.date as price_date from pr asof left join px p on pr.symbol = p.symbol and pr.date >= p.date"})
-    + " select symbol, date, round(close, 6) as close, price_date from a",
+    + " select symbol, date, close, price_date from a",
     "J4",
 )
 def _as_of(spark, sf):
     probes = table(spark, sf, "hold").select("symbol", F.col("as_of_date").alias("date")).distinct()
     out = joins.as_of(probes, table(spark, sf, "px").select("symbol", "date", "close"), ["symbol"], "date", "date", ["close"], fact_date_out="price_date")
-    return _round(out.select("symbol", "date", "close", "price_date"), ["close"])
+    return out.select("symbol", "date", "close", "price_date")
 
 
 PIT_SQL = {
@@ -280,9 +280,9 @@ def _bench_period(spark, sf):
 
 # nation series scaled to market-like daily moves
 SER = {
-    "rr": f"select symbol as portfolio_id, sector, date, (close / nullif(lag(close) over ({W}), 0) - 1) / 20.0 as ret from npx",
+    "rr": f"select symbol as portfolio_id, sector, date, (close / nullif(lag(close) over ({W}), 0) - 1) / 400.0 as ret from npx",
     "ser": "select * from rr where ret is not null",
-    "bb": "select date, (close / nullif(lag(close) over (order by date), 0) - 1) / 20.0 as ret from bench",
+    "bb": "select date, (close / nullif(lag(close) over (order by date), 0) - 1) / 400.0 as ret from bench",
     "ben": "select * from bb where ret is not null",
 }
 PATH = {
@@ -296,13 +296,13 @@ PATH = {
 
 def series_returns(spark, sf):
     npx = table(spark, sf, "npx")
-    out = series.simple_returns(npx).select(F.col("symbol").alias("portfolio_id"), "sector", "date", (F.col("ret") / 20.0).alias("ret"))
+    out = series.simple_returns(npx).select(F.col("symbol").alias("portfolio_id"), "sector", "date", (F.col("ret") / 400.0).alias("ret"))
     return out.where(F.col("ret").isNotNull())
 
 
 def benchmark_returns(spark, sf):
     b = series.simple_returns(table(spark, sf, "bench").withColumn("symbol", F.lit("*")))
-    return b.select("date", (F.col("ret") / 20.0).alias("ret")).where(F.col("ret").isNotNull())
+    return b.select("date", (F.col("ret") / 400.0).alias("ret")).where(F.col("ret").isNotNull())
 
 
 @query(

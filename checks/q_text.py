@@ -366,7 +366,7 @@ def _cache(spark, sf):
 
 @query(
     "price_documents",
-    with_inputs("px") + " select symbol, date, round(close, 6) as close from px",
+    with_inputs("px") + " select symbol, date, close from px",
     "S8 S4",
 )
 def _price_documents(spark, sf):
@@ -375,7 +375,7 @@ def _price_documents(spark, sf):
     # one document per symbol and year
     docs = table(spark, sf, "px").groupBy("symbol", F.year("date").alias("y")).agg(F.collect_list(value).alias("values"))
     docs.select(F.struct("symbol").alias("meta"), "values").write.json(path)
-    return readers.read_price_documents(spark, path, lines=True).withColumn("close", F.round("close", 6))
+    return readers.read_price_documents(spark, path, lines=True)
 
 
 @query(
@@ -507,7 +507,7 @@ def _wide(spark, sf):
 
 @query(
     "backtest_report_record",
-    with_inputs("px", "bench", extra=SUMM) + " select count(*)::int as n_configs, 'core,core_holder,holder_reduced' as configs from su",
+    with_inputs("cpx", "cbench", extra=SUMM) + " select count(*)::int as n_configs, 'core,core_holder,holder_reduced' as configs from su",
     "S15 S16",
 )
 def _report(spark, sf):
