@@ -496,13 +496,13 @@ def _statement_documents(spark, sf):
 
 @query(
     "wide_price_panel",
-    "with p as (select cast(l_shipdate as date) as date, l_returnflag as symbol, round(avg(l_extendedprice / l_quantity), 6) as close from lineitem group by 1, 2) select symbol, date, close from p",
+    "with p as (select cast(l_shipdate as date) as date, l_returnflag as symbol, round(avg(l_extendedprice / l_quantity), 8) as close from lineitem group by 1, 2) select symbol, date, close from p",
     "S4",
 )
 def _wide(spark, sf):
     li = raw(spark, sf, "lineitem")
     daily = li.groupBy(F.col("l_shipdate").cast("date").alias("date")).pivot("l_returnflag", ["A", "N", "R"]).agg(F.avg(F.col("l_extendedprice") / F.col("l_quantity")))
-    return readers.long_prices(daily).withColumn("close", F.round("close", 6))
+    return readers.long_prices(daily).withColumn("close", F.round("close", 8))
 
 
 @query(
