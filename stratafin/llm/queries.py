@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratafin.llm import common, simhash_dedup
+from stratafin.llm import common, decontaminate, language_svm, quality_fm, secret_scan, simhash_dedup
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +15,49 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash_dedup.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op2_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    scored = quality_fm.score(docs, quality_fm.train(docs, common.labels(spark, sf_dir)))
+    return scored.select("doc_id", (common.fold("doc_id", 5) == 0).alias("held_out"), "score", quality_fm.predicted().alias("predicted"))
+
+
+def op4_language_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    found = language_svm.predict(docs, language_svm.train(docs))
+    return found.select("doc_id", (common.fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(common.documents(spark, sf_dir))
+    base = F.filter("spans", lambda s: s["ord"] < 3)
+    live = F.size(F.filter("spans", lambda s: s["live"])).cast("long")
+    return found.select(
+        "doc_id",
+        *[secret_scan.count_of(i).alias(f"n_{k}") for i, k in enumerate(secret_scan.KINDS[:3])],
+        F.sha2(secret_scan.listing(base), 256).alias("base_sha256"),
+        secret_scan.listing(F.col("spans")).alias("spans"),
+        live.alias("n_live"),
+        (F.size("spans") - live).cast("long").alias("n_example"),
+    )
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(common.documents(spark, sf_dir), common.benchmark(spark, sf_dir))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
+    "op2_quality_fm": op2_quality_fm,
+    "op4_language_svm": op4_language_svm,
+    "op5_secret_scan": op5_secret_scan,
+    "op10_decontaminate": op10_decontaminate,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_secret_scan": secret_scan.ORACLE, "op10_decontaminate": decontaminate.ORACLE}

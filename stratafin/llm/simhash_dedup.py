@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratafin.llm.common import LOWER_BYTES, pack_bits, vote_counts
+from stratafin.llm.common import LOWER_BYTES, map_batches, pack_bits, vote_counts
 from stratafin.llm.graph import components
 from stratafin.session import stage
 
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], [id_col, "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, f"`{id_col}` {kind}, fp long")
+    return map_batches(docs.select(id_col, F.col(text_col).cast("string").alias("__text")), run, f"`{id_col}` {kind}, fp long")
 
 
 def signed(value: int) -> int:
