@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratafin.llm import common, decontaminate, language_svm, quality_fm, secret_scan, simhash_dedup
+from stratafin.llm import backoff_lm, bpe_codec, common, decontaminate, doc_fingerprints, language_svm, quality_fm, secret_scan, simhash_dedup, token_files
+
+
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,11 +57,38 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.index(token_files.write(common.documents(spark, sf_dir), public_tokenizers.path(TOKENIZER)))
+
+
+def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe_codec.encode(common.documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
+    return coded.select("doc_id", *bpe_digests())
+
+
+def bpe_digests() -> list:
+    ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return [F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")]
+
+
+def op7_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = backoff_lm.score(common.documents(spark, sf_dir), common.fold("doc_id", 5) != 1)
+    return scored.withColumn("held_out", common.fold("doc_id", 5) == 1)
+
+
+def op8_doc_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doc_fingerprints.fingerprinted(common.documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_quality_fm": op2_quality_fm,
+    "op3_token_files": op3_token_files,
     "op4_language_svm": op4_language_svm,
     "op5_secret_scan": op5_secret_scan,
+    "op6_bpe_codec": op6_bpe_codec,
+    "op7_backoff_lm": op7_backoff_lm,
+    "op8_doc_fingerprints": op8_doc_fingerprints,
     "op10_decontaminate": op10_decontaminate,
 }
 ORACLES: dict[str, str] = {"op5_secret_scan": secret_scan.ORACLE, "op10_decontaminate": decontaminate.ORACLE}
