@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratafin.llm import backoff_lm, bpe_codec, common, decontaminate, doc_fingerprints, language_svm, quality_fm, secret_scan, simhash_dedup, token_files
+from stratafin.llm import backoff_lm, bpe_codec, common, decontaminate, doc_fingerprints, language_svm, license_scan, quality_fm, secret_scan, simhash_dedup, token_files
 
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -80,6 +80,20 @@ def op8_doc_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doc_fingerprints.fingerprinted(common.documents(spark, sf_dir))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no paths: 16 neighbours by id share a directory, 16 directories a package of
+    their source, and the first document of each stands for its licence file."""
+    package, directory = F.floor(F.col("doc_id") / 256), F.floor(F.col("doc_id") / 16)
+    path = F.when(F.col("doc_id") % 256 == 0, F.concat_ws("/", "source", package, F.lit("LICENSE")))
+    path = path.when(F.col("doc_id") % 16 == 0, F.concat_ws("/", "source", package, directory, F.lit("LICENSE")))
+    path = path.otherwise(F.concat_ws("/", "source", package, directory, F.concat("doc_id", F.lit(".txt"))))
+    return license_scan.scan(common.documents(spark, sf_dir).withColumn("path", path))
+
+
+_PATH_SQL = """case when doc_id % 256 = 0 then concat_ws('/', source, doc_id // 256, 'LICENSE')
+  when doc_id % 16 = 0 then concat_ws('/', source, doc_id // 256, doc_id // 16, 'LICENSE')
+  else concat_ws('/', source, doc_id // 256, doc_id // 16, doc_id || '.txt') end"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_quality_fm": op2_quality_fm,
@@ -89,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bpe_codec": op6_bpe_codec,
     "op7_backoff_lm": op7_backoff_lm,
     "op8_doc_fingerprints": op8_doc_fingerprints,
+    "op9_license_scan": op9_license_scan,
     "op10_decontaminate": op10_decontaminate,
 }
-ORACLES: dict[str, str] = {"op5_secret_scan": secret_scan.ORACLE, "op10_decontaminate": decontaminate.ORACLE}
+ORACLES: dict[str, str] = {"op5_secret_scan": secret_scan.ORACLE, "op9_license_scan": license_scan.ORACLE.replace("{path}", _PATH_SQL), "op10_decontaminate": decontaminate.ORACLE}
