@@ -69,22 +69,22 @@ def lower_ascii(text: Column) -> Column:
 
 
 def vote_counts(hashes: np.ndarray) -> np.ndarray:
-    """How many of the 64-bit hashes have each bit set, lowest bit first.
+    """How many 64-bit hashes have each bit set, lowest bit first, along the last axis.
 
-    Eight masked adds per hash: each byte lane of a sum of at most 255 rows holds one count.
+    Eight masked adds per hash: each byte lane of a sum of at most 255 hashes holds one count.
     """
-    n = len(hashes)
+    lead, n = hashes.shape[:-1], hashes.shape[-1]
     if n == 0:
-        return np.zeros(64, dtype=np.int64)
+        return np.zeros((*lead, 64), dtype=np.int64)
     rows = -(-n // 255)
-    padded = np.zeros(rows * 255, dtype="<u8")
-    padded[:n] = hashes
-    padded = padded.reshape(rows, 255)
-    counts = np.empty((8, 8), dtype=np.int64)
+    padded = np.zeros((*lead, rows * 255), dtype="<u8")
+    padded[..., :n] = hashes
+    padded = padded.reshape(*lead, rows, 255)
+    counts = np.empty((*lead, 8, 8), dtype=np.int64)
     for shift in range(8):
-        sums = ((padded >> np.uint64(shift)) & _LANES).sum(axis=1, dtype=np.uint64)
-        counts[shift] = sums.astype("<u8").view(np.uint8).reshape(rows, 8).sum(axis=0)
-    return counts.T.reshape(64)
+        sums = ((padded >> np.uint64(shift)) & _LANES).sum(axis=-1, dtype=np.uint64)
+        counts[..., shift] = sums.astype("<u8").view(np.uint8).reshape(*lead, rows, 8).sum(axis=-2)
+    return counts.reshape(*lead, 64)
 
 
 def pack_bits(bits: np.ndarray) -> np.ndarray:
@@ -92,10 +92,11 @@ def pack_bits(bits: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8), axis=-1, bitorder="little").view("<i8")
 
 
-def mixed(hashes: np.ndarray, lane: int) -> np.ndarray:
-    """The ``lane``-th independent 64-bit hash derived from 64-bit hashes (splitmix finaliser)."""
+def mixed(hashes: np.ndarray, lane: int | np.ndarray) -> np.ndarray:
+    """The ``lane``-th independent 64-bit hash derived from 64-bit hashes (splitmix finaliser);
+    an array of lanes gives one row for each."""
     with np.errstate(over="ignore"):
-        z = hashes.astype(np.uint64) + np.uint64((0x9E3779B97F4A7C15 * (lane + 1)) & 0xFFFFFFFFFFFFFFFF)
+        z = hashes.astype(np.uint64) + np.multiply(np.uint64(0x9E3779B97F4A7C15), np.asarray(lane, np.uint64)[..., None] + np.uint64(1))
         z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return z ^ (z >> np.uint64(31))
