@@ -194,8 +194,8 @@ class Shard:
         }
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), window: int = WINDOW, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row per input row: the kept columns, ``n_words``, ``n_hit``, ``items`` (ids of items with
+def contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), window: int = WINDOW, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS, prefix: str = "") -> DataFrame:
+    """One row per input row (new names begin with ``prefix``): the kept columns, ``n_words``, ``n_hit``, ``items`` (ids of items with
     an occurring window, sorted), and the longest verbatim match with its item and first word.
 
     Null and empty texts have no words and no hits.  Items without words never match; a null item
@@ -216,7 +216,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] =
             part = {k: v[at : at + batch.num_rows] for k, v in found.items()}
             at += batch.num_rows
             kinds = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.int64(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(v, k) for v, k in zip(part.values(), kinds, strict=True)]], [*keep, *part])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(v, k) for v, k in zip(part.values(), kinds, strict=True)]], [*keep, *[prefix + k for k in part]])
 
     def run(batches):
         held, words, size = [], [], 0
@@ -235,15 +235,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] =
 
     schema = T.StructType(
         [T.StructField(c, docs.schema[c].dataType) for c in keep]
-        + [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType()))]
-        + [T.StructField("longest_match", T.LongType()), T.StructField("longest_item", T.StringType()), T.StructField("longest_at", T.LongType())]
+        + [T.StructField(prefix + n, T.LongType()) for n in ("n_words", "n_hit")]
+        + [T.StructField(prefix + "items", T.ArrayType(T.StringType())), T.StructField(prefix + "longest_match", T.LongType())]
+        + [T.StructField(prefix + "longest_item", T.StringType()), T.StructField(prefix + "longest_at", T.LongType())]
     )
     return map_batches(docs.select(*keep, F.col("text").cast("string").cast("binary").alias("__bytes")), run, schema)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows and columns of ``docs`` without the documents that hold a window of a test item."""
-    return contamination(docs, benchmark, tuple(docs.columns), window).where("n_hit = 0").select(*docs.columns)
+    return contamination(docs, benchmark, tuple(docs.columns), window, prefix="__").where("__n_hit = 0").select(*docs.columns)
 
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -180,8 +180,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, me
     return fit(rows, np.array(table.column("quality").to_pylist(), np.float32), len(STATS) + len(meta))
 
 
-def score(docs: DataFrame, model: Model, meta: tuple[str, ...] = ("n_chars",), keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per input row: the kept columns and ``score``.  Null and empty texts are scored too."""
+def score(docs: DataFrame, model: Model, meta: tuple[str, ...] = ("n_chars",), keep: tuple[str, ...] = ("doc_id",), out: str = "score") -> DataFrame:
+    """One row per input row: the kept columns and the score, named ``out``.  Null and empty texts are scored too."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     columns = [*keep, F.col("text").cast("string").alias("__text"), *[F.col(m).cast("double").alias(f"__m{i}") for i, m in enumerate(meta)]]
 
@@ -193,11 +193,11 @@ def score(docs: DataFrame, model: Model, meta: tuple[str, ...] = ("n_chars",), k
             for at in range(0, batch.num_rows, 256):
                 rows = [features(t.as_py(), [e[at + k] for e in extra]) for k, t in enumerate(texts.slice(at, 256))]
                 parts.append(shared.value.scores(rows))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())], [*keep, out])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return map_batches(docs.select(*columns), run, f"{schema}, score double")
+    return map_batches(docs.select(*columns), run, f"{schema}, `{out}` double")
 
 
-def predicted(threshold: float = THRESHOLD):
-    return (F.col("score") >= threshold).cast("int")
+def predicted(threshold: float = THRESHOLD, score: str = "score"):
+    return (F.col(score) >= threshold).cast("int")

@@ -98,7 +98,7 @@ def redact(docs: DataFrame, owner_col: str = "source", text_col: str = "text", m
     some = text.rlike(ASSIGN) | text.rlike(ACCESS) | text.rlike(HEX) | text.rlike(GENERIC)
     dirty = stage(docs.where(some).withColumn("__found", candidates(text)).withColumn("__rid", F.monotonically_increasing_id()))
     found = dirty.where(F.size("__found") > 0).select(F.col("__rid").alias("rid"), F.col(owner_col).alias("owner"), F.col("__found").alias("found"))
-    dirty = dirty.join(ownership(found, min_owners).withColumnRenamed("rid", "__rid"), "__rid", "left")
+    dirty = dirty.join(ownership(found, min_owners).withColumnsRenamed({"rid": "__rid", "spans": "__spans"}), "__rid", "left")
     raw = F.col(text_col)
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
@@ -107,11 +107,11 @@ def redact(docs: DataFrame, owner_col: str = "source", text_col: str = "text", m
         new = F.concat(done["out"], F.substring(raw, done["at"] + 1, s["start"] - done["at"]), mark)
         return F.struct(F.when(s["start"] >= done["at"], new).otherwise(done["out"]).alias("out"), F.greatest(done["at"], s["end"]).alias("at"))
 
-    clean = F.aggregate("spans", start, step, lambda done: F.concat(done["out"], F.substring(raw, done["at"] + 1, F.length(raw))))
-    dirty = dirty.withColumn(text_col, F.when(F.size("spans") > 0, clean).otherwise(raw))
+    clean = F.aggregate("__spans", start, step, lambda done: F.concat(done["out"], F.substring(raw, done["at"] + 1, F.length(raw))))
+    dirty = dirty.withColumn(text_col, F.when(F.size("__spans") > 0, clean).otherwise(raw))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        dirty = dirty.withColumn("n_chars", F.when(F.size("spans") > 0, F.length(text_col)).otherwise(F.col("n_chars")).cast(kind))
+        dirty = dirty.withColumn("n_chars", F.when(F.size("__spans") > 0, F.length(text_col)).otherwise(F.col("n_chars")).cast(kind))
     return docs.where(~some).select(*docs.columns).unionByName(dirty.select(*docs.columns))
 
 

@@ -209,7 +209,7 @@ def read(files: DataFrame) -> DataFrame:
                 crcs = [zlib.crc32(raw[a:b]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
                 k = len(doc_ids)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(k, batch.column(0)[i].as_py()), pa.int32()), pa.array(np.full(k, batch.column(1)[i].as_py()), pa.int32()), pa.array(np.cumsum(lengths.astype(np.int64)) - lengths, pa.int64()), pa.array(doc_ids, pa.int64()), pa.array(lengths.astype(np.int64), pa.int64()), pa.array(crcs, pa.int64())],
+                    [pa.array(np.full(k, batch.column(0)[i].as_py()), pa.int32()), pa.array(np.full(k, batch.column(1)[i].as_py()), pa.int32()), pa.array(np.cumsum(lengths.astype(np.int64)) - lengths, pa.int64()), pa.array(doc_ids, pa.int64(), mask=doc_ids == -(2**63)), pa.array(lengths.astype(np.int64), pa.int64()), pa.array(crcs, pa.int64())],
                     ["part", "seq", "pos", "doc_id", "n_tokens", "ids_crc32"],
                 )
 
