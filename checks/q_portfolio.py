@@ -302,9 +302,33 @@ def _hrp_sample(spark, sf):
     return allocation.hrp_weights(c, ["g"], r)
 
 
-@query("iterative_caps", None, "B6")
+# one step at a time: position cap, each named sector, rescaling
+CAPS = {
+    **RAWW,
+    "lst": """select as_of_date, list(symbol order by symbol) as syms, list(coalesce(sector, 'Unknown') order by symbol) as secs, list(weight0 order by symbol) as w,
+      list_sort(list_distinct(list(sector) filter (sector <> 'Unknown'))) as names from sw group by 1""",
+    "it": """select *, 0 as k, w as before, false as done from lst union all
+      select as_of_date, syms, secs,
+        case when ph = 0 then list_transform(cut, lambda x: case when x < 0.06 and surplus > 0 and room > 0 then x * (1 + surplus / room) else x end)
+          when ph > len(names) then list_transform(w, lambda x: x / tot)
+          when held > 0.25 then list_transform(range(1, len(w) + 1), lambda i: w[i] * case when secs[i] = names[ph] then 0.25 / held when tot > held then 1 + (held - 0.25) / (tot - held) else 1 end)
+          else w end as w, names, k + 1, case when ph = 0 then w else before end,
+        ph > len(names) and list_max(list_transform(range(1, len(w) + 1), lambda i: abs(w[i] / tot - before[i]))) < 0.001
+      from (select *, list_sum(w) as tot, list_sum(w) - list_sum(cut) as surplus, coalesce(list_sum(list_filter(cut, lambda x: x < 0.06)), 0) as room,
+          list_sum(list_transform(range(1, len(w) + 1), lambda i: case when secs[i] = names[ph] then w[i] else 0 end)) as held
+        from (select *, k % (len(names) + 2) as ph, list_transform(w, lambda x: least(x, 0.06)) as cut from it where not done and k < 20 * (len(names) + 2)) a) b""",
+    "fin_caps": "select as_of_date, any_value(syms) as syms, arg_max(w, k) as w from it group by 1",
+}
+
+
+@query(
+    "iterative_caps",
+    with_inputs("fin", extra=CAPS).replace("with ", "with recursive ", 1) + f" select as_of_date, symbol, {rnd('weight', 9)} as weight from (select as_of_date, unnest(syms) as symbol, unnest(w) as weight from fin_caps) z",
+    "B6",
+)
 def _caps(spark, sf):
-    return allocation.iterative_caps(raw_weights(spark, sf).select("as_of_date", "symbol", "sector", "weight"), BY, Constraints(max_weight=0.06, max_sector=0.25))
+    out = allocation.iterative_caps(raw_weights(spark, sf).select("as_of_date", "symbol", "sector", "weight"), BY, Constraints(max_weight=0.06, max_sector=0.25))
+    return out.select("as_of_date", "symbol", F.round("weight", 9).alias("weight"))
 
 
 @query("optimised_portfolio", None, "B2 B4 B5 B6 K3")
@@ -683,14 +707,14 @@ EST = {
     "e1": "select *, sqrt(greatest(0.5 * a * a + 0.5 * b, 0)) * 100 as v from e",
     "e2": "select *, (r * 4 - 4.5) / v as s from e1",
     "bm": f"""select symbol as benchmark, {even('t', 2)} as rp, {even('v', 2)} as vp, {even('(t * 252 / n - 4.5) / v', 2)} as sp from (select symbol, count(*) as n, (arg_max(close, date) / arg_min(close, date) - 1) * 100 as t, stddev_samp(ret) * sqrt(252.0) * 100 as v
-       from (select *, close / nullif(lag(close) over ({W}), 0) - 1 as ret from npx) q where symbol in ('NATION_1', 'NATION_2', 'NATION_3') group by 1) z""",
+       from (select *, close / nullif(lag(close) over ({W}), 0) - 1 as ret from npx) q group by 1) z""",
     "cmp": f"""select as_of_date, benchmark, {even('r - rp', 2)} as alpha_pct, r - rp > 0 as outperformance, {even('s - sp', 2)} as sharpe_diff, {even('v - vp', 2)} as vol_diff, {even('r', 2)} > rp as beats from e2 cross join bm""",
 }
 
 
 def comparison(spark, sf):
     est = compare.portfolio_estimate(metric_positions(spark, sf), BY)
-    npx = table(spark, sf, "npx").where(F.col("symbol").isin("NATION_1", "NATION_2", "NATION_3")).select("symbol", "date", "close")
+    npx = table(spark, sf, "npx").select("symbol", "date", "close")
     bench = metrics.benchmark_metrics(npx, ["symbol"]).withColumnRenamed("symbol", "benchmark")
     return compare.against_benchmarks(est, bench, BY)
 
