@@ -411,7 +411,7 @@ CROWD = {
 def crowded(spark, sf):
     from pyspark.sql import Window
 
-    c = consensus(spark, sf).withColumns({"avg_hf_weight": F.round("avg_hf_weight", 8), "year": F.year("as_of_date"), "smart_money_score": F.lit(0.8)})
+    c = consensus(spark, sf).withColumns({"avg_hf_weight": F.round("avg_hf_weight", 8), "year": F.year("as_of_date"), "holder_score": F.lit(0.8)})
     w = Window.partitionBy("symbol").orderBy("year")
     change = F.when(F.lag("year").over(w) == F.col("year") - 1, F.col("nb_hedge_funds") - F.lag("nb_hedge_funds").over(w))
     return overlay.crowding(c.withColumn("hf_change_3m", change))
@@ -420,12 +420,12 @@ def crowded(spark, sf):
 @query(
     "crowding_score",
     with_inputs("hold", extra=CROWD)
-    + f" select as_of_date, symbol, {rnd('cs')} as crowding_score, {rnd('cpct')} as crowding_percentile, tier as crowding_tier, {rnd('0.8 * (1 - 0.5 * cs)')} as smart_money_adjusted from ct",
+    + f" select as_of_date, symbol, {rnd('cs')} as crowding_score, {rnd('cpct')} as crowding_percentile, tier as crowding_tier, {rnd('0.8 * (1 - 0.5 * cs)')} as holder_adjusted from ct",
     "C22 P20 W1",
 )
 def _crowding(spark, sf):
     out = crowded(spark, sf)
-    cols = ["crowding_score", "crowding_percentile", "smart_money_adjusted"]
+    cols = ["crowding_score", "crowding_percentile", "holder_adjusted"]
     return out.select("as_of_date", "symbol", "crowding_tier", *[F.round(c, 6).alias(c) for c in cols])
 
 

@@ -485,14 +485,14 @@ def _consensus(spark, sf):
 
 
 SIG = {
-    "g": "select symbol, count(*)::int as gp_buys, max(company) as company from hold where year = 1998 group by symbol having count(*) % 3 <> 0",
+    "g": "select symbol, count(*)::int as gp_buys, max(company) as company from hold group by symbol having count(*) % 3 <> 0",
     "i": "select 'S' || lpad(cast(user_id % 150 as varchar), 6, '0') as symbol, count(*)::int as insider_buys, 'ins' as company from events where event_type = 'purchase' group by 1",
     "m": "select coalesce(g.symbol, i.symbol) as symbol, gp_buys, insider_buys, coalesce(i.company, g.company) as company from g full join i on g.symbol = i.symbol",
 }
 
 
 def merged_signals(spark, sf):
-    g = table(spark, sf, "hold").where("year = 1998").groupBy("symbol").agg(F.count(F.lit(1)).cast("int").alias("gp_buys"), F.max("company").alias("company"))
+    g = table(spark, sf, "hold").groupBy("symbol").agg(F.count(F.lit(1)).cast("int").alias("gp_buys"), F.max("company").alias("company"))
     g = g.where(F.col("gp_buys") % 3 != 0)
     i = raw(spark, sf, "events").where("event_type = 'purchase'").groupBy(
         F.concat(F.lit("S"), F.lpad((F.col("user_id") % 150).cast("string"), 6, "0")).alias("symbol")
@@ -528,7 +528,7 @@ def _index(spark, sf):
     "F2",
 )
 def _candidates(spark, sf):
-    u = signals.build_universe(merged_signals(spark, sf)).withColumn("as_of_date", F.lit("1998"))
+    u = signals.build_universe(merged_signals(spark, sf)).withColumn("as_of_date", F.lit("all"))
     return filters.candidates(u, 40, 40).select("symbol", "gp_buys", "insider_buys")
 
 
@@ -538,7 +538,7 @@ def _candidates(spark, sf):
     "J11 F21 J10",
 )
 def _flag(spark, sf):
-    g = table(spark, sf, "hold").where("year = 1998").groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") % 3 != 0)
+    g = table(spark, sf, "hold").groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") % 3 != 0)
     return exists_flag(table(spark, sf, "uni"), g, ["symbol"], "held").select("symbol", "held")
 
 

@@ -156,11 +156,11 @@ def quarter_instants(spark, sf):
     )
     return span.select(
         F.explode(F.sequence(F.trunc("a", "quarter"), F.col("b"), F.expr("interval 3 months"))).alias("date")
-    ).where(F.col("date") >= F.lit("1996-01-01").cast("date"))
+    )
 
 
 QI = "select unnest(generate_series(date_trunc('quarter', min(l_shipdate)), max(l_shipdate), interval 3 month))::date as date from lineitem"
-QSTARTS = {"qa": QI, "qi": "select date from qa where date >= date '1996-01-01'",
+QSTARTS = {"qa": QI, "qi": "select date from qa",
            "per": "select * from (select date as start, lead(date) over (order by date) as \"end\" from qi) z where \"end\" is not null"}
 
 

@@ -224,13 +224,13 @@ def _institutional(spark, sf):
 # --- fund captures --------------------------------------------------------------------------------------------
 
 FUND_SQL = {
-    "f": f"select fund, year, cast(substr(symbol, 2) as bigint) as k, {LETTERS.format('substr(symbol, 3)')} as ticker, company, sector, round(value / 1000.0, 5) as v, n_lines from hold where year >= 1999",
+    "f": f"select fund, year, cast(substr(symbol, 2) as bigint) as k, {LETTERS.format('substr(symbol, 3)')} as ticker, company, sector, round(value / 1000.0, 5) as v, n_lines from hold",
 }
 
 
 def fund_docs(spark, sf):
     """One capture per fund, year and block of forty securities; odd years as blocks of lines."""
-    h = table(spark, sf, "hold").where("year >= 1999").withColumn("k", F.substring("symbol", 2, 10).cast("bigint"))
+    h = table(spark, sf, "hold").withColumn("k", F.substring("symbol", 2, 10).cast("bigint"))
     v = F.round(F.col("value") / 1000.0, 5).cast("string")
     cells = [
         letters(F.substring("symbol", 3, 10)), F.col("company"), F.concat(F.col("n_lines").cast("string"), F.lit(".25%")), F.lit("-0.39%"), F.lit("8.57M"), F.concat(F.lit("$ "), v, F.lit("M")), F.concat(F.lit("$ "), v, F.lit("K")),
@@ -396,7 +396,7 @@ def _symbol_csvs(spark, sf):
 
 @query(
     "consensus_json",
-    with_inputs("fin", extra={"c": "select *, cast(floor(cash) as bigint) % 11 as b from fin where year = 2000"})
+    with_inputs("fin", extra={"c": "select *, cast(floor(cash) as bigint) % 11 as b from fin where year = (select max(year) from fin)"})
     + " select symbol, (b / 100.0)::double as gp_weight, b::int as gp_buys, 'D' as gp_tier, company, price as current_price, 0.0::double as low_52w from c",
     "S1",
 )
@@ -404,7 +404,7 @@ def _consensus_json(spark, sf):
     path = folder(spark, "consensus")
     b = F.floor("cash").cast("bigint") % 11
     stock = F.struct("symbol", F.col("company").alias("company_name"), (b / 100.0).alias("portfolio_weight"), b.cast("int").alias("buys_6m"), F.col("price").alias("current_price"))
-    fin = table(spark, sf, "fin").where("year in (1999, 2000)")
+    fin = table(spark, sf, "fin")
     docs = fin.groupBy("as_of_date", F.floor(F.substring("symbol", 2, 10).cast("bigint") / 100)).agg(F.collect_list(stock).alias("stocks"))
     docs.select("as_of_date", "stocks").write.partitionBy("as_of_date").json(path)
     marked = readers._json(spark, path, readers.CONSENSUS_SCHEMA, True)
@@ -443,16 +443,21 @@ def _members_json(spark, sf):
     return readers.read_members(spark, path, lines=True)
 
 
+def yearly_documents(spark, sf):
+    """Fundamentals with one document key per symbol and year, and the symbol's number."""
+    fin = table(spark, sf, "fin").withColumn("symbol", F.concat_ws(".", "symbol", "year"))
+    return fin, F.substring_index(F.substring("symbol", 2, 20), ".", 1).cast("bigint")
+
+
 @query(
     "market_documents",
-    with_inputs("fin", extra={"m": "select *, cast(substr(symbol, 2) as bigint) as k from fin where year = 2000"})
+    with_inputs("fin", extra={"m": "select * replace (symbol || '.' || year as symbol), cast(substr(symbol, 2) as bigint) as k from fin"})
     + """ select symbol, price, volume, avg_volume, case when k % 3 = 0 then 'Unknown' else sector end as sector, industry, company, case when k % 4 = 0 then 50.0 else k % 100 + 0.5 end::double as rsi, price * 2 as high_52w from m""",
     "S9 P1",
 )
 def _market_documents(spark, sf):
     base = folder(spark, "market")
-    k = F.substring("symbol", 2, 10).cast("bigint")
-    fin = table(spark, sf, "fin").where("year = 2000")
+    fin, k = yearly_documents(spark, sf)
     s = lambda c: F.col(c).cast("string")
     fin.select(
         "symbol", s("price").alias("close"), F.lit("n/a").alias("percent_change"), s("volume").alias("volume"), s("avg_volume").alias("average_volume"),
@@ -466,16 +471,16 @@ def _market_documents(spark, sf):
 
 @query(
     "statement_documents",
-    with_inputs("fin", extra={"m": "select *, cast(substr(symbol, 2) as bigint) as k from fin where year = 2000"})
+    with_inputs("fin", extra={"m": "select * replace (symbol || '.' || year as symbol), cast(substr(symbol, 2) as bigint) as k from fin"})
     + """ select symbol, revenue, net_income, total_assets, equity, cash, case when k % 2 = 0 then total_debt end as short_term_debt, operating_cash_flow, capex, fcf as free_cash_flow, shares_outstanding from m""",
     "P3 P2 S9",
 )
 def _statement_documents(spark, sf):
     path = folder(spark, "statements")
-    k = F.substring("symbol", 2, 10).cast("bigint")
+    fin, k = yearly_documents(spark, sf)
     s = lambda c, n: F.col(c).cast("string").alias(n)
     zero = lambda n: F.lit("0").alias(n)
-    table(spark, sf, "fin").where("year = 2000").select(
+    fin.select(
         "symbol",
         F.struct(zero("sales"), s("revenue", "revenue"), s("net_income", "net_income_common_stockholders")).alias("income"),
         F.struct(

@@ -95,8 +95,8 @@ def crowding(
     scored = scored.withColumn(
         "crowding_tier", F.when(F.col("crowding_percentile").isNotNull(), band("crowding_percentile", CROWDING_BANDS, "extreme"))
     )
-    if "smart_money_score" in have:
-        scored = scored.withColumn("smart_money_adjusted", F.col("smart_money_score") * (1 - penalty * F.col("crowding_score")))
+    if "holder_score" in have:
+        scored = scored.withColumn("holder_adjusted", F.col("holder_score") * (1 - penalty * F.col("crowding_score")))
     return scored
 
 

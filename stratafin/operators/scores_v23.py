@@ -308,7 +308,7 @@ def score_risk(df: DataFrame, weights: dict[str, float] | None = None) -> DataFr
 
 #: fixed values: columns accepted per factor, first present wins
 FACTOR_COLUMNS = {
-    "holder": ["score_sm", "score_smart_money"],
+    "holder": ["score_sm", "score_holders"],
     "insider": ["score_insider"],
     "momentum": ["score_momentum"],
     "value": ["score_value"],

@@ -49,9 +49,15 @@ def periods_between(instants: DataFrame) -> DataFrame:
     )
 
 
+def fiscal_end(year: Column, p: Publication = Publication()) -> Column:
+    """Last day of a fiscal year: ``fiscal_day`` of its month, or the month's last day if that is earlier."""
+    first = F.make_date(year.cast("int"), F.lit(p.fiscal_month), F.lit(1))
+    return F.least(F.date_add(first, p.fiscal_day - 1), F.last_day(first))
+
+
 def publication_date(year: str | Column = "year", p: Publication = Publication()) -> Column:
     y = F.col(year) if isinstance(year, str) else year
-    return F.date_add(F.make_date(y.cast("int"), F.lit(p.fiscal_month), F.lit(p.fiscal_day)), p.lag_days)
+    return F.date_add(fiscal_end(y, p), p.lag_days)
 
 
 def available_from(year: str | Column = "year", p: Publication = Publication()) -> Column:
@@ -70,7 +76,7 @@ def look_ahead_check(fundamentals: DataFrame, as_of: str, p: Publication = Publi
     """Latest fiscal year in the data, its publication date, and whether it was public at ``as_of``."""
     latest = fundamentals.agg(F.max("year").alias("last_year"))
     cutoff = F.date_sub(F.lit(as_of).cast("date"), p.lag_days)
-    published = F.date_add(F.make_date(F.col("last_year").cast("int"), F.lit(12), F.lit(31)), p.lag_days)
+    published = publication_date("last_year", p)
     return latest.select("last_year", published.alias("published"), (published <= cutoff).alias("no_look_ahead"))
 
 
@@ -78,8 +84,5 @@ def latest_available_year(as_of: str | Column, p: Publication = Publication()) -
     """Latest fiscal year published at the date (single lag; two years back when none of five fits)."""
     at = F.col(as_of) if isinstance(as_of, str) else as_of
     years = F.sequence(F.year(at) - 4, F.year(at))
-    public = F.filter(
-        years,
-        lambda y: F.date_add(F.make_date(y, F.lit(p.fiscal_month), F.lit(31)), p.lag_days) <= at,
-    )
+    public = F.filter(years, lambda y: publication_date(y, p) <= at)
     return F.coalesce(F.array_max(public), F.year(at) - 2)

@@ -15,13 +15,13 @@ def crowd(spark):
         ("AAPL", 150, 5.0, 20, 0.85), ("MSFT", 140, 4.5, 15, 0.82), ("V", 120, 4.0, 10, 0.78), ("JPM", 100, 3.5, 5, 0.65),
         ("XOM", 80, 2.5, -5, 0.55), ("PG", 60, 2.0, -10, 0.50), ("KO", 40, 1.5, -2, 0.45), ("WMT", 30, 1.6, -3, 0.40),
     ]
-    return spark.createDataFrame(rows, "symbol string, nb_hedge_funds int, avg_hf_weight double, hf_change_3m int, smart_money_score double").withColumn("as_of_date", F.lit("d"))
+    return spark.createDataFrame(rows, "symbol string, nb_hedge_funds int, avg_hf_weight double, hf_change_3m int, holder_score double").withColumn("as_of_date", F.lit("d"))
 
 
 def test_crowding_bands_and_penalty(spark):
     got = {r.symbol: r for r in overlay.crowding(crowd(spark)).collect()}
     assert got["AAPL"].crowding_score == pytest.approx(1.0)
-    assert got["AAPL"].crowding_tier == "extreme" and got["AAPL"].smart_money_adjusted == pytest.approx(0.425)
+    assert got["AAPL"].crowding_tier == "extreme" and got["AAPL"].holder_adjusted == pytest.approx(0.425)
     assert got["MSFT"].crowding_score == pytest.approx(0.875) and got["MSFT"].crowding_tier == "high"
     assert got["V"].crowding_tier == "medium" and got["XOM"].crowding_tier == "low"
     # the four non-positive changes are tied at zero
