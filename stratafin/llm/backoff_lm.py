@@ -28,7 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratafin.llm import blocks as B
-from stratafin.llm.common import LOWER_BYTES, map_batches, mixed, ship
+from stratafin.llm.common import LOWER_BYTES, mixed, ship
+from stratafin.session import stage
 
 PRIOR = 300.0
 #: The start state and the end token; no word holds white space.
@@ -144,7 +145,7 @@ def score(docs: DataFrame, trained: Column, prior: float = PRIOR) -> DataFrame:
     stored = B.blocks(docs, tokens, buckets, trained)
     columns = ["sizes", "codes", "words", "marks"]
     counted = B.asked(stored, partial(_ask_words, buckets), columns).groupBy("bucket").applyInArrow(_count_words, "block long, bucket int, counts binary, n long, v long")
-    counted = B.stage(counted)
+    counted = stage(counted)
     totals = counted.where("block is null").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     n, v = int(totals[0]), int(totals[1])
     pairs = B.asked(stored, partial(_ask_pairs, buckets), columns).groupBy("bucket").applyInArrow(_count_pairs, "block long, bucket int, counts binary")
@@ -158,8 +159,7 @@ def score(docs: DataFrame, trained: Column, prior: float = PRIOR) -> DataFrame:
         word = np.concatenate([c for c, k in zip(counts, kinds, strict=True) if k == 0])
         arcs = np.concatenate([np.zeros(0, np.int64), *[c for c, k in zip(counts, kinds, strict=True) if k == 1]])
         codes, offsets, _ = _positions(row)
-        bounds = np.frombuffer(row["bounds"], "<i8")
-        at, local, which, _ = _pairs(codes, offsets, bounds)
+        at, local, which, _ = _pairs(codes, offsets, B.bucket_bounds(B.unpack_words(row["words"]), buckets))
         root = (word + 0.5) / (n + 0.5 * (v + 1))
         state, target = local // len(word), local % len(word)
         weight = np.log10((arcs + prior * root[target]) / (word[state] + prior))  # an arc, or failure and root arc
@@ -172,10 +172,5 @@ def score(docs: DataFrame, trained: Column, prior: float = PRIOR) -> DataFrame:
             ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
-    def bounded(batches):
-        for r in B.rows_of(batches):
-            bounds = B.bucket_bounds(B.unpack_words(r["words"]), buckets).astype("<i8").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([r["block"]], pa.int64()), *[pa.array([x], pa.binary()) for x in (r["ids"], r["sizes"], r["codes"], r["marks"], bounds)]], ["block", "ids", "sizes", "codes", "marks", "bounds"])
-
-    documents = map_batches(stored, bounded, "block long, ids binary, sizes binary, codes binary, marks binary, bounds binary")
+    documents = stored.select("block", "ids", *columns)
     return documents.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(traverse, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")

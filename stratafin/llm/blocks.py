@@ -9,6 +9,7 @@ bucket's size follows the number of buckets, which follows the size of the corpu
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,12 +22,14 @@ from pyspark.sql import functions as F
 
 from stratafin.llm.common import map_batches
 from stratafin.llm.token_files import slices
-from stratafin.session import stage
+from stratafin.session import stage_folder
 
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 16 << 20
 #: Bytes of text for each bucket.
 BUCKET_BYTES = 16 << 20
 LEAST_BUCKETS = 8
+#: Largest number of hash buckets of files of a table of blocks (a limit of the table format).
+MOST_FILES = 50_000
 BLOCK_SCHEMA = "block long, ids binary, sizes binary, codes binary, words binary, marks binary"
 
 
@@ -59,8 +62,19 @@ def bucket_count(docs: DataFrame) -> int:
     return max(LEAST_BUCKETS, -(-total // BUCKET_BYTES))
 
 
+def stored(table: DataFrame, buckets: int) -> DataFrame:
+    """Write a table of blocks to the shared folder, bucketed by block, and read it back."""
+    spark = table.sparkSession
+    name = f"blocks_{uuid.uuid4().hex}"
+    path = f"{stage_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{name}"
+    table.write.bucketBy(min(buckets, MOST_FILES), "block").option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def blocks(docs: DataFrame, coder: Callable[[pa.Array], tuple[np.ndarray, np.ndarray, list[bytes]]], buckets: int, mark=None) -> DataFrame:
-    """Written table of blocks.  ``coder`` gives codes, offsets and words of an array of texts;
+    """Written table of blocks, bucketed by block so that answers meet it without moving it.
+
+    ``coder`` gives codes, offsets and words of an array of texts;
     a block's words are sorted by bucket and then by word, and its codes follow that order.
 
     ``mark`` is a boolean column kept for each document.
@@ -101,7 +115,7 @@ def blocks(docs: DataFrame, coder: Callable[[pa.Array], tuple[np.ndarray, np.nda
             yield block()
 
     kept = docs.select(F.col("doc_id").cast("long"), (F.lit(False) if mark is None else F.coalesce(mark, F.lit(False))).alias("mark"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return stage(map_batches(kept, run, BLOCK_SCHEMA))
+    return stored(map_batches(kept, run, BLOCK_SCHEMA), buckets)
 
 
 def bucket_bounds(words: list[bytes], buckets: int) -> np.ndarray:

@@ -19,6 +19,9 @@ from stratafin.llm import blocks as B
 from stratafin.llm.common import ship
 from stratafin.llm.wordcut import cut, encoder, spread
 
+#: Words that are put back at once.
+SLICE_WORDS = 200_000
+
 
 def _coder(texts: pa.Array):
     codes, offsets, words = cut(texts)
@@ -60,7 +63,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     def distinct_words(table: pa.Table) -> pa.Table:
         asked = [B.unpack_words(k.as_py()) for k in table.column("keys")]
         distinct = sorted({w for words in asked for w in words})
-        ids = dict(zip(distinct, encoder(path).packed([w.decode("utf-8", "surrogatepass") for w in distinct]), strict=True))
+        ids = dict(zip(distinct, map(encoder(path).ids, [w.decode("utf-8", "surrogatepass") for w in distinct]), strict=True))
         sizes, values = [], []
         for words in asked:
             found = [ids[w] for w in words]
@@ -79,11 +82,16 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         texts = [b"".join([piece[i] for i in ids[a : a + n].tolist()]) for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
         row = documents.slice(0, 1).to_pylist()[0]
         codes, offsets = B.unpack_ints(row["codes"]), np.concatenate(([0], np.cumsum(B.unpack_ints(row["sizes"]))))
-        ends = np.concatenate(([0], np.cumsum(sizes[codes])))[offsets]
-        values = ids[spread(starts[codes], sizes[codes])]
-        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.astype(np.int32)))
-        decoded = [b"".join([texts[c] for c in codes[a:b].tolist()]).decode("utf-8", "replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        return pa.table([B.document_ids(row["ids"]), lists, pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
+        doc_ids, parts, at = B.document_ids(row["ids"]), [], 0
+        while at < len(doc_ids):  # a few documents, or a long one, at a time
+            stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_WORDS, side="right")) - 1)
+            own = codes[offsets[at] : offsets[stop]]
+            ends = np.concatenate(([0], np.cumsum(sizes[own])))[offsets[at : stop + 1] - offsets[at]]
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids[spread(starts[own], sizes[own])].astype(np.int32)))
+            decoded = [b"".join([texts[c] for c in codes[a:b].tolist()]).decode("utf-8", "replace") for a, b in zip(offsets[at:stop].tolist(), offsets[at + 1 : stop + 1].tolist(), strict=True)]
+            parts.append(pa.table([doc_ids[at:stop], lists, pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"]))
+            at = stop
+        return pa.concat_tables(parts)
 
     documents = stored.select("block", "ids", "sizes", "codes")
     return documents.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(put_back, "doc_id long, ids array<int>, decoded string")

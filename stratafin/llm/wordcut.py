@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ import regex
 PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 CUT = re.compile(r"(?<=\S)(?= \S)")
 #: Words that a worker remembers between batches.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 
 
 def stands_alone(word: str) -> bool:
@@ -83,31 +84,32 @@ class WordEncoder:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
 
-    def ids(self, word: str) -> list[int]:
+    def ids(self, word: str) -> bytes:
+        """Ids of a word as little-endian unsigned 32-bit integers."""
         if any(a in word for a in self.added):
-            return self.tokenizer.encode(word, add_special_tokens=False).ids
-        out: list[int] = []
+            return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        out = []
         for piece in PIECES.findall(word):
             found = self.pieces.get(piece)
             if found is None:
                 shown = piece.encode("utf-8").decode("latin-1").translate(self.letters)
-                found = [t.id for t in self.tokenizer.model.tokenize(shown)]
+                found = array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
                 if len(self.pieces) >= REMEMBERED:
                     self.pieces.clear()
                 self.pieces[piece] = found
-            out += found
-        return out
+            out.append(found)
+        return b"".join(out)
 
     def packed(self, words: list[str]) -> list[bytes]:
-        """Ids of each word as little-endian unsigned 32-bit integers."""
+        """Ids of each word, remembered for the next call."""
         known, out = self.known, []
         for w in words:
             b = known.get(w)
             if b is None:
-                b = np.array(self.ids(w), "<u4").tobytes()
+                b = self.ids(w)
                 if len(known) >= REMEMBERED:
                     known.clear()
                 known[w] = b
