@@ -115,16 +115,29 @@ def _latest(spark, sf):
     return out.select("symbol", "date", "n_prices", "perf_3m", "vol_30d", "rsi")
 
 
+DRAW = {
+    "ao": "select distinct last_day(make_date(year(date), 12, 1)) as as_of_date from npx",
+    "dw": "select symbol, as_of_date, date, close, max(close) over (partition by symbol, as_of_date order by date) as pk from npx join ao on date <= as_of_date and date > as_of_date - interval 60 month",
+    "dd": "select *, close / nullif(pk, 0) - 1 as dd, case when close = pk then date end as top from dw",
+    "d5": """select *, last_value(top ignore nulls) over (partition by symbol, as_of_date order by date rows between unbounded preceding and current row) as fr,
+      first_value(top ignore nulls) over (partition by symbol, as_of_date order by date rows between current row and unbounded following) as too, max(date) over (partition by symbol, as_of_date) as ld from dd where dd is not null""",
+    "d6": "select *, row_number() over (partition by symbol, as_of_date order by dd, date) as rn from d5",
+    "draw": "select symbol, as_of_date, dd as max_dd, case when dd < 0 then date_diff('day', fr, coalesce(too, ld)) / 30.4375 else 0.0 end as recovery from d6 where rn = 1",
+}
+
+
+def yearly_drawdowns(spark, sf):
+    npx = table(spark, sf, "npx")
+    return series.five_year_drawdown(npx, npx.select(F.last_day(F.make_date(F.year("date"), F.lit(12), F.lit(1))).alias("as_of_date")))
+
+
 @query(
     "five_year_drawdown",
-    with_inputs("npx", extra={"a": """select symbol, date, close, close / nullif(max(close) over (partition by symbol order by date range between interval 1825 days preceding and current row), 0) - 1 as dd from npx""",
-      "b": f"select *, last_value(case when dd = 0 then date end ignore nulls) over ({W} rows between unbounded preceding and current row) as fr, first_value(case when dd = 0 then date end ignore nulls) over ({W} rows between current row and unbounded following) as t, max(date) over (partition by symbol) as ld from a"})
-    + f" select symbol, {rnd('min(dd)')} as max_drawdown_5y, {rnd('max(case when dd < 0 then date_diff(' + chr(39) + 'day' + chr(39) + ', fr, coalesce(t, ld)) / 30.4375 end)', 4)} as dd_recovery_months from b group by symbol",
+    with_inputs("npx", extra=DRAW) + f" select symbol, as_of_date, {rnd('max_dd')} as max_drawdown_5y, {rnd('recovery', 4)} as dd_recovery_months from draw",
     "W20",
 )
 def _five(spark, sf):
-    out = series.five_year_drawdown(table(spark, sf, "npx"))
-    return out.withColumns({"max_drawdown_5y": F.round("max_drawdown_5y", 6), "dd_recovery_months": F.round("dd_recovery_months", 4)})
+    return yearly_drawdowns(spark, sf).withColumns({"max_drawdown_5y": F.round("max_drawdown_5y", 6), "dd_recovery_months": F.round("dd_recovery_months", 4)})
 
 
 # --- calendars ----------------------------------------------------------------------------------

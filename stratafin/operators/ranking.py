@@ -6,8 +6,9 @@ in four bounded steps instead:
 
 1. rows are folded to distinct ``(group, metric, value)`` with a count; the
    map-side combine removes repeated values before the shuffle;
-2. distinct values are spread over ordered magnitude buckets (a monotone
-   function of the value), and ranked inside ``(group, metric, bucket)``;
+2. distinct values are spread over ordered buckets that a quantile sketch of
+   the group cuts, so a narrow range is split as evenly as a wide one, and
+   ranked inside ``(group, metric, bucket)``; infinities take the end buckets;
 3. the bucket totals, a short list per group, give each bucket its offset;
 4. the finished rank per distinct value is joined back on an equality key; the
    right side has one row per key, so AQE can split a hot left key freely.
@@ -26,10 +27,10 @@ from pyspark.sql import functions as F
 from stratafin.functions.scalar import half_even
 from stratafin.session import stage
 
-# Buckets per factor e of magnitude: about 1.6 % relative width.
-_BUCKETS_PER_E = 64
-# ln of the smallest positive double is about -745, so this keeps buckets signed by value.
-_BUCKET_SHIFT = 750 * _BUCKETS_PER_E
+#: Buckets that the distinct values of a group are cut into.
+BUCKETS = 128
+#: Relative accuracy of the cut points is one over this; they only balance the buckets.
+SKETCH = 2000
 
 
 @dataclass(frozen=True)
@@ -41,11 +42,6 @@ class Rank:
     within: str | None = None
 
 
-def _bucket(value: Column) -> Column:
-    magnitude = F.floor(F.ln(F.abs(value)) * F.lit(_BUCKETS_PER_E)) + F.lit(_BUCKET_SHIFT)
-    return F.when(value == 0, F.lit(0)).when(value > 0, magnitude).otherwise(-magnitude).cast("int")
-
-
 def _scope(within: str | None) -> Column:
     return F.lit("*") if within is None else F.concat(F.lit("="), F.col(within).cast("string"))
 
@@ -74,12 +70,11 @@ def value_positions(df: DataFrame, by: Sequence[str], ranks: Sequence[Rank]) ->
     smaller) and ``total`` (non-missing rows in the group).
     """
     group = [*by, "metric", "scope"]
-    distinct = (
-        _long(df, by, ranks)
-        .groupBy(*group, "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("bucket", _bucket(F.col("value")))
-    )
+    values = _long(df, by, ranks).groupBy(*group, "value").agg(F.count(F.lit(1)).alias("n"))
+    share = [i / BUCKETS for i in range(1, BUCKETS)]
+    cuts = values.groupBy(*group).agg(F.array_distinct(F.percentile_approx("value", share, SKETCH)).alias("cuts"))
+    place = F.size(F.filter("cuts", lambda c: c <= F.col("value")))
+    distinct = values.join(cuts, group).withColumn("bucket", place).drop("cuts")
     inside = Window.partitionBy(*group, "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     placed = distinct.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
     ordered = Window.partitionBy(*group).orderBy("bucket")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stratafin.functions.scalar import clip, half_even, ratio, with_missing
 from stratafin.operators.ranking import Rank, descending_rank, pct_ranks, quantiles, top_k
 from stratafin.params import CONSTRAINTS_V30, WEIGHTS_V30
+from stratafin.session import stage
 
 
 def _neutral(c: str | Column) -> Column:
@@ -57,6 +58,19 @@ def _coverage_score(x: Column) -> Column:
     return _neutral(clip(x, 0, 10) / 10)
 
 
+def _against_history(df: DataFrame, by: Sequence[str], now: str, past: str | None, out: str, median: str) -> DataFrame:
+    """The history column, whether the cross-section has any history, and the cross-section's median
+    of the current values, which stands in where there is none at all."""
+    df = df.withColumn(out, F.lit(None).cast("double") if past is None else F.col(past).cast("double"))
+    if past is None:
+        df = df.withColumns({f"{out}_known": F.lit(False), "_open": F.col(now)})
+    else:
+        known = df.groupBy(*by).agg((F.count(out) > 0).alias(f"{out}_known"))
+        df = df.join(known, list(by), "left").withColumn("_open", F.when(~F.col(f"{out}_known"), F.col(now)))
+    medians = quantiles(df, by, "_open", {median: 0.5}).drop("n_values")
+    return df.join(medians, list(by), "left").drop("_open")
+
+
 def _ranked(df: DataFrame, by: Sequence[str], key: Sequence[str]) -> DataFrame:
     """All ranks of the value and quality scores in one pass over the universe."""
     pe_now, fcf_now = _present(df, "pe_ratio", "pe"), _present(df, "fcf_yield")
@@ -70,20 +84,17 @@ def _ranked(df: DataFrame, by: Sequence[str], key: Sequence[str]) -> DataFrame:
             "_pe": pe_now,
         }
     )
+    df = stage(df)  # the medians and the ranks read it
     have = set(df.columns)
     pe_past = next((c for c in ("pe_5y_avg", "pe_avg") if c in have), None)
     fcf_past = next((c for c in ("fcf_yield_5y_avg", "fcf_yield_avg") if c in have), None)
-    if pe_past:
-        discount = (F.nullif(F.col(pe_past), F.lit(0.0)) - F.col("_pe")) / F.abs(F.nullif(F.col(pe_past), F.lit(0.0)))
-    else:
-        df = df.join(quantiles(df, by, "_pe", {"_pe_median": 0.5}).drop("n_values"), list(by), "left")
-        discount = ratio(F.col("_pe_median") - F.col("_pe"), "_pe_median")
-    if fcf_past:
-        past = F.nullif(F.col(fcf_past), F.lit(0.0))
-        premium = (F.col("_fcf_yield") - past) / F.abs(past)
-    else:
-        df = df.join(quantiles(df, by, "_fcf_yield", {"_fcf_median": 0.5}).drop("n_values"), list(by), "left")
-        premium = ratio(F.col("_fcf_yield") - F.col("_fcf_median"), "_fcf_median")
+    df = _against_history(df, by, "_pe", pe_past, "_pe_past", "_pe_median")
+    df = _against_history(df, by, "_fcf_yield", fcf_past, "_fcf_past", "_fcf_median")
+    own_pe, own_fcf = F.nullif("_pe_past", F.lit(0.0)), F.nullif("_fcf_past", F.lit(0.0))
+    discount = F.when(F.col("_pe_past_known"), (own_pe - F.col("_pe")) / F.abs(own_pe)).otherwise(ratio(F.col("_pe_median") - F.col("_pe"), "_pe_median"))
+    premium = F.when(F.col("_fcf_past_known"), (F.col("_fcf_yield") - own_fcf) / F.abs(own_fcf)).otherwise(
+        ratio(F.col("_fcf_yield") - F.col("_fcf_median"), "_fcf_median")
+    )
     df = df.withColumns(
         {"_discount": F.coalesce(discount, F.lit(0.0)), "_premium": F.coalesce(premium, F.lit(0.0))}
     )
@@ -102,6 +113,7 @@ def _ranked(df: DataFrame, by: Sequence[str], key: Sequence[str]) -> DataFrame:
             Rank("_discount_r", "_discount"),
             Rank("_premium_r", "_premium"),
         ],
+        stored=True,
     )
 
 

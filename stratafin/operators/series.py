@@ -143,29 +143,35 @@ def latest_features(prices: DataFrame, as_of=None, keys: Sequence[str] = ("symbo
     return features.groupBy(*keys).agg(F.max_by(F.struct(*payload), "date").alias("_last")).select(*keys, "_last.*")
 
 
-def five_year_drawdown(prices: DataFrame, keys: Sequence[str] = ("symbol",), years: int = 5) -> DataFrame:
-    """Worst drawdown over the trailing ``years`` and months needed to recover from it.
+def five_year_drawdown(prices: DataFrame, as_of: DataFrame, keys: Sequence[str] = ("symbol",), years: int = 5) -> DataFrame:
+    """Worst drawdown over the ``years`` up to each as-of date, and the months its recovery took.
 
-    The running peak looks back ``years`` by date; recovery is the time from the
-    trough's peak until the close regains it (to the last date when it has not).
+    ``as_of`` holds ``as_of_date`` (dates).  Only prices of the trailing window count: the peak is
+    the highest close since the window began, and recovery runs from the peak before the worst
+    close to the first day that regains it, or to the last price in the window.  A price takes part
+    in as many windows as as-of dates follow within ``years``; they meet by year.
     """
-    days = F.unix_date("date")
-    by_day = Window.partitionBy(*keys).orderBy(days).rangeBetween(-365 * years, 0)
-    ordered = _by(keys)
-    base = prices.withColumn("_peak", F.max("close").over(by_day))
-    base = base.withColumn("drawdown", F.col("close") / F.nullif("_peak", F.lit(0.0)) - 1)
-    at_peak = F.last(F.when(F.col("drawdown") == 0, F.col("date")), ignorenulls=True).over(
-        ordered.rowsBetween(Window.unboundedPreceding, 0)
-    )
-    regained = F.first(F.when(F.col("drawdown") == 0, F.col("date")), ignorenulls=True).over(
-        ordered.rowsBetween(0, Window.unboundedFollowing)
-    )
-    last = F.max("date").over(Window.partitionBy(*keys))
-    spans = base.withColumns({"_from": at_peak, "_to": F.coalesce(regained, last)})
-    months = F.datediff("_to", "_from") / 30.4375
-    return spans.groupBy(*keys).agg(
-        F.min("drawdown").alias("max_drawdown_5y"), F.max(F.when(F.col("drawdown") < 0, months)).alias("dd_recovery_months")
+    dates = as_of.select(F.col("as_of_date").cast("date").alias("as_of_date")).distinct()
+    begins = F.add_months("as_of_date", -12 * years)
+    spans = dates.withColumn("_begin", begins).withColumn("_year", F.explode(F.sequence(F.year("_begin"), F.year("as_of_date"))))
+    rows = prices.select(*keys, F.col("date").cast("date").alias("date"), "close").withColumn("_year", F.year("date"))
+    rows = rows.join(spans, "_year").where((F.col("date") > F.col("_begin")) & (F.col("date") <= F.col("as_of_date")))
+    group = [*keys, "as_of_date"]
+    ordered = Window.partitionBy(*group).orderBy("date")
+    so_far = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_peak", F.max("close").over(so_far))
+    rows = rows.withColumn("drawdown", F.col("close") / F.nullif("_peak", F.lit(0.0)) - 1)
+    at_peak = F.when(F.col("close") == F.col("_peak"), F.col("date"))
+    rows = rows.withColumns(
+        {
+            "_from": F.last(at_peak, ignorenulls=True).over(so_far),
+            "_to": F.first(at_peak, ignorenulls=True).over(ordered.rowsBetween(0, Window.unboundedFollowing)),
+        }
     )
+    worst = F.min_by(F.struct("_from", "_to"), F.struct("drawdown", "date"))
+    out = rows.where(F.col("drawdown").isNotNull()).groupBy(*group).agg(F.min("drawdown").alias("max_drawdown_5y"), worst.alias("_worst"), F.max("date").alias("_last"))
+    months = F.datediff(F.coalesce("_worst._to", "_last"), F.col("_worst._from")) / 30.4375
+    return out.select(*group, "max_drawdown_5y", F.when(F.col("max_drawdown_5y") < 0, months).otherwise(0.0).alias("dd_recovery_months"))
 
 
 def price_factor_inputs(prices: DataFrame, keys: Sequence[str] = ("symbol",), lookback: int = 252, skip: int = 20, min_rows: int = 60) -> DataFrame:
