@@ -70,7 +70,7 @@ def value_positions(df: DataFrame, by: Sequence[str], ranks: Sequence[Rank]) ->
     smaller) and ``total`` (non-missing rows in the group).
     """
     group = [*by, "metric", "scope"]
-    values = _long(df, by, ranks).groupBy(*group, "value").agg(F.count(F.lit(1)).alias("n"))
+    values = stage(_long(df, by, ranks).groupBy(*group, "value").agg(F.count(F.lit(1)).alias("n")))  # narrow; read three times
     share = [i / BUCKETS for i in range(1, BUCKETS)]
     cuts = values.groupBy(*group).agg(F.array_distinct(F.percentile_approx("value", share, SKETCH)).alias("cuts"))
     place = F.size(F.filter("cuts", lambda c: c <= F.col("value")))

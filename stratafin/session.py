@@ -74,3 +74,11 @@ def stage(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     path = f"{stage_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_stages(spark: SparkSession) -> None:
+    """Delete what this application has staged.  Call it when no result that reads a staged table is
+    still to be computed."""
+    jvm, folder = spark._jvm, f"{stage_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}"
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
