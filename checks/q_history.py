@@ -82,3 +82,14 @@ def _fiscal_months(spark, sf):
         p = Publication(fiscal_month=m, fiscal_day=31, lag_days=60)
         days = days.withColumns({f"fiscal_year_{m}": calendar.latest_available_year("date", p), f"published_{m}": calendar.publication_date(F.year("date"), p)})
     return days
+
+
+@query(
+    "quarter_calendar",
+    """with q as (select unnest(generate_series(date_trunc('quarter', min(l_shipdate)), max(l_shipdate), interval 3 month))::date as date, min(l_shipdate)::date as lo from lineitem),
+      s as (select date from q where date >= lo) select * from (select date as start, lead(date) over (order by date) as "end" from s) z where "end" is not null""",
+    "B13",
+)
+def _quarter_calendar(spark, sf):
+    low, high = raw(spark, sf, "lineitem").agg(F.min("l_shipdate").cast("date").cast("string"), F.max("l_shipdate").cast("date").cast("string")).first()
+    return calendar.periods_between(calendar.quarter_starts(spark, low, high))

@@ -427,7 +427,7 @@ PIT = {
     "point_in_time_universe",
     with_inputs("fin", "px", extra=PIT)
     + f" select symbol, rebalance_date, year, price_date, price, vol_30d, market_cap, 0.5::double as score_sm from pu",
-    "B14 J4 J5 W13 P8",
+    "B14 J4 J5 W13 P8 J3",
 )
 def _pit_universe(spark, sf):
     px = table(spark, sf, "px").select("symbol", "date", "close")

@@ -50,7 +50,7 @@ def history_table(spark, sf):
     + f""" select symbol, year, {rnd('roe')} as roe, {rnd('roic')} as roic, {rnd('operating_margin')} as operating_margin,
     {rnd('debt_equity')} as debt_equity, {rnd('debt_ebitda')} as debt_ebitda, {rnd('interest_coverage')} as interest_coverage,
     {rnd('fcf_yield')} as fcf_yield, {rnd('ev_ebit')} as ev_ebit, {rnd('pe_ratio')} as pe_ratio from rat""",
-    "S5 P8 P10 P11 J3",
+    "P8 P10 P11",
 )
 def _ratios(spark, sf):
     cols = "roe roic operating_margin debt_equity debt_ebitda interest_coverage fcf_yield ev_ebit pe_ratio".split()

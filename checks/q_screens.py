@@ -535,13 +535,24 @@ def _candidates(spark, sf):
 @query(
     "membership_flag",
     with_inputs("hold", extra=SIG) + " select u.symbol, exists(select 1 from g where g.symbol = u.symbol) as held from uni u",
-    "J11 F21 J10",
+    "J11 J10",
 )
 def _flag(spark, sf):
     g = table(spark, sf, "hold").groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") % 3 != 0)
     return exists_flag(table(spark, sf, "uni"), g, ["symbol"], "held").select("symbol", "held")
 
 
+@query(
+    "eligible_members",
+    with_inputs("hold", extra=SIG) + " select u.symbol, u.company from uni u where exists(select 1 from g where g.symbol = u.symbol)",
+    "F21",
+)
+def _eligible_members(spark, sf):
+    g = table(spark, sf, "hold").groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") % 3 != 0)
+    flagged = exists_flag(table(spark, sf, "uni"), g, ["symbol"], "eligible")
+    return filters.only_eligible(flagged).select("symbol", "company")
+
+
 # --- holdings summaries ----------------------------------------------------------------------
 
 CONSENSUS_ROWS = {
@@ -651,7 +662,7 @@ def _most_held(spark, sf):
 @query(
     "holdings_by_sector",
     with_inputs("hold") + f""" select sector, count(*) as positions, {even('count(*) * 100.0 / ((select count(distinct fund) from hold) * 30)', 1)} as pct from hold group by sector""",
-    "A6 K10",
+    "A6",
 )
 def _by_sector(spark, sf):
     return holdings.holdings_by_sector(table(spark, sf, "hold").withColumnRenamed("fund", "fund_id"))

@@ -21,7 +21,7 @@ def _round(df, cols, d=6):
 @query(
     "simple_returns",
     with_inputs("px") + f" select symbol, date, {rnd(f'close / nullif(lag(close) over ({W}), 0) - 1')} as ret from px",
-    "W5 S4",
+    "W5",
 )
 def _returns(spark, sf):
     return _round(series.simple_returns(table(spark, sf, "px")).select("symbol", "date", "ret"), ["ret"])
@@ -369,7 +369,7 @@ def _sub(spark, sf):
       "d": f"select *, gr / max(gr) over ({W} rows between unbounded preceding and current row) - 1 as dd from g",
       "m": "select symbol, count(*) as n, (arg_max(close, date) / arg_min(close, date) - 1) * 100 as t, stddev_samp(ret) * sqrt(252.0) * 100 as v, min(dd) * 100 as md from d group by 1"})
     + f" select symbol, {even('t', 2)} as return_pct, {even('v', 2)} as volatility_pct, {even('(t * 252 / n - 4.5) / v', 2)} as sharpe, {even('md', 2)} as max_drawdown_pct, n as days from m",
-    "A30 S6",
+    "A30",
 )
 def _bench_metrics(spark, sf):
     return metrics.benchmark_metrics(table(spark, sf, "npx").select("symbol", "date", "close"), ["symbol"])

@@ -343,7 +343,7 @@ def _documents(spark, sf):
 @query(
     "portfolio_csv_roundtrip",
     with_inputs("fin", extra=POS) + f" select as_of_date, symbol, company, {rnd('weight')} as weight from pw",
-    "S12 S4",
+    "S12 S6",
 )
 def _csv(spark, sf):
     path = folder(spark, "portfolio-csv")
@@ -367,7 +367,7 @@ def _cache(spark, sf):
 @query(
     "price_documents",
     with_inputs("px") + " select symbol, date, close from px",
-    "S8 S4",
+    "S8",
 )
 def _price_documents(spark, sf):
     path = folder(spark, "prices")
@@ -388,9 +388,7 @@ def _symbol_csvs(spark, sf):
     path = folder(spark, "csv")
     npx = table(spark, sf, "npx").select("symbol", F.col("date").cast("string").alias("date"), "close")
     npx.write.partitionBy("symbol").option("header", True).csv(path)
-    # partition folders carry the symbol here; a flat folder of <symbol>.csv files is covered by the unit tests
-    rows = spark.read.schema("date string, close double, symbol string").option("header", True).csv(path)
-    rows = rows.select("symbol", F.to_date("date").alias("date"), "close")
+    rows = readers.read_symbol_csvs(spark, path)
     return readers.range_coverage(rows, "1995-01-03", "2001-11-04")
 
 

@@ -154,10 +154,13 @@ def long_prices(wide: DataFrame, date: str = "date") -> DataFrame:
 
 
 def read_symbol_csvs(spark: SparkSession, folder: str) -> DataFrame:
-    """A folder of ``<symbol>.csv`` files with date and close: one scan, symbol from the file name."""
-    rows = spark.read.schema("date string, close string").option("header", True).csv(f"{folder}/*.csv")
+    """A folder of ``<symbol>.csv`` files, or of ``symbol=<symbol>`` folders, with date and close: one
+    scan, symbol from the path."""
+    rows = spark.read.schema("date string, close string").options(header=True, recursiveFileLookup=True, pathGlobFilter="*.csv").csv(folder)
+    path = F.input_file_name()
+    named = F.nullif(F.regexp_extract(path, r"/symbol=([^/]+)/", 1), F.lit(""))
     return rows.select(
-        F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv$", 1).alias("symbol"),
+        F.coalesce(named, F.regexp_extract(path, r"([^/]+)\.csv$", 1)).alias("symbol"),
         F.to_date(F.substring("date", 1, 10)).alias("date"),
         safe_double("close").alias("close"),
     ).where(F.col("close").isNotNull())
