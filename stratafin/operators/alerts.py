@@ -45,10 +45,6 @@ def portfolio_alerts(metrics: DataFrame, by: Sequence[str], limit: float = 25.0)
     return metrics.where(fires).select(*by, F.lit("PORTFOLIO").alias("ticker"), one.alias("a")).select(*by, "ticker", "a.*")
 
 
-def all_alerts(positions: DataFrame, metrics: DataFrame, by: Sequence[str]) -> DataFrame:
-    return position_alerts(positions, by).unionByName(portfolio_alerts(metrics, by))
-
-
 def severity_counts(alerts: DataFrame, by: Sequence[str]) -> DataFrame:
     s = F.col("severity")
     return alerts.groupBy(*by).agg(

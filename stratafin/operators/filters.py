@@ -169,10 +169,6 @@ def mark_eligibility(df: DataFrame, p: Eligibility = Eligibility()) -> DataFrame
     return df.withColumn("rejected_for", reason)
 
 
-def eligibility_filter(df: DataFrame, p: Eligibility = Eligibility()) -> DataFrame:
-    return mark_eligibility(df, p).where(F.col("rejected_for").isNull()).drop("rejected_for")
-
-
 def explain_eligibility(df: DataFrame, p: Eligibility = Eligibility()) -> DataFrame:
     """All failed checks per row; unknown history or loss counts pass here."""
     reasons = F.array_compact(

@@ -59,18 +59,6 @@ def exists_flag(df: DataFrame, members: DataFrame, on: Sequence[str], out: str)
     return df.join(marked, list(on), "left").withColumn(out, F.coalesce(F.col(out), F.lit(False)))
 
 
-def lookup(df: DataFrame, table: DataFrame, on: Sequence[str], defaults: dict[str, object] | None = None) -> DataFrame:
-    """Left join to a table with one row per key.
-
-    No broadcast hint: AQE broadcasts the right side only when its measured
-    shuffle size is below the session threshold, and splits a hot left key.
-    """
-    out = df.join(table, list(on), "left")
-    for name, value in (defaults or {}).items():
-        out = out.withColumn(name, F.coalesce(F.col(name), F.lit(value)))
-    return out
-
-
 def days_in_periods(
     days: DataFrame, periods: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end"
 ) -> DataFrame:
@@ -92,26 +80,22 @@ def days_in_periods(
     )
     listed = days.select("date").distinct().withColumn("_month", F.trunc("date", "month"))
     return (
-        touched.join(F.broadcast(listed), "_month")
+        touched.join(listed, "_month")
         .where(F.col("date").between(F.col(start), F.col(end)))
         .select(*keys, "date")
     )
 
 
 def period_endpoints(
-    prices: DataFrame, periods: DataFrame, keys: Sequence[str] = ("period_id",), calendar_keys: bool = False
+    prices: DataFrame, periods: DataFrame, keys: Sequence[str] = ("period_id",)
 ) -> DataFrame:
     """Per period and symbol: first price on/after the start, last on/before the end.
 
     Prices are matched to periods through the calendar day, by equality, and
-    folded with ``min_by``/``max_by`` before the shuffle.  ``calendar_keys``
-    states that the periods are keyed by dates alone (one list of periods for
-    everybody); the day list is then calendar-bounded and broadcast, so the
-    price panel is only shuffled once, already folded.
+    folded with ``min_by``/``max_by`` before the shuffle.  The list of days is
+    sent to all tasks where its measured size allows.
     """
     spans = days_in_periods(prices, periods, keys)
-    if calendar_keys:
-        spans = F.broadcast(spans)
     return (
         prices.where(F.col("close").isNotNull())
         .join(spans, "date")
@@ -153,7 +137,7 @@ def valid_at(facts: DataFrame, key: Sequence[str], fact_date: str, instants: Dat
     )
     asked = instants.select(F.col(instant).alias("_instant")).distinct().withColumn("_month", F.trunc("_instant", "month"))
     clash = instant in facts.columns and instant != fact_date
-    out = spans.join(F.broadcast(asked), "_month").where(F.col("_instant").between(F.col("_from"), F.col("_to")))
+    out = spans.join(asked, "_month").where(F.col("_instant").between(F.col("_from"), F.col("_to")))
     out = out.drop("_from", "_to", "_month")
     if instant == fact_date:
         return out.withColumnRenamed(fact_date, f"{fact_date}_of_fact").withColumnRenamed("_instant", instant)

@@ -24,7 +24,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratafin.functions.scalar import half_even
 from stratafin.session import stage
 
 #: Buckets that the distinct values of a group are cut into.
@@ -252,8 +251,3 @@ def top_k(
     name = rank or "_row"
     out = df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(name) <= k)
     return out if rank else out.drop(name)
-
-
-def rounded_desc(df: DataFrame, by: Sequence[str], score: str, digits: int, rank: str) -> DataFrame:
-    """Round a score, then rank it descending."""
-    return descending_rank(df.withColumn(score, half_even(score, digits)), by, score, rank)

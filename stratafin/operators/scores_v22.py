@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratafin.functions.scalar import clip, half_even, ladder_above, with_missing
-from stratafin.operators.ranking import Rank, descending_rank, pct_ranks, zscores
+from stratafin.operators.ranking import Rank, pct_ranks, zscores
 from stratafin.params import CAPEX_HEAVY_SECTORS, PERF_ADDON_LADDER, TIER_SCORES, WEIGHTS_V22
 from stratafin.session import stage
 
@@ -139,11 +139,6 @@ def quality_absolute(df: DataFrame) -> DataFrame:
     return df.withColumn("score_quality", _quality_total(points, _FUNDAMENTALS))
 
 
-def quality_roe_only(rank: str = "roe_rank") -> Column:
-    """Reduced form: sector rank of return on equity only."""
-    return half_even(clip(0.5 + _steps(F.col(rank), 0.20, 0.10, -0.15), 0, 1), 3)
-
-
 def holder_rank(df: DataFrame, by: Sequence[str] = ("as_of_date",)) -> DataFrame:
     return pct_ranks(df, by, ("symbol",), [Rank("gp_buys_rank", "gp_buys")])
 
@@ -171,7 +166,3 @@ def composite_v22(
         term = F.lit(w[factor]) * F.col(f"{c}_z" if use_zscore else c)
         total = term if total is None else total + term
     return df.withColumn("score_composite", half_even(total, 3))
-
-
-def ranked_v22(df: DataFrame, by: Sequence[str] = ("as_of_date",), **kwargs) -> DataFrame:
-    return descending_rank(composite_v22(df, by, **kwargs), by, "score_composite", "rank_composite")

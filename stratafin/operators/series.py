@@ -1,8 +1,7 @@
 """Ordered-series operators on long panels ``(symbol, date, close)``.
 
-The panel holds one row per symbol and day (``daily_panel`` folds duplicates
-with map-side aggregation), so a window partition is bounded by the trading
-calendar whatever share of the raw rows a symbol holds.  All features share
+The panel holds one row per symbol and day, so a window partition is bounded by
+the trading calendar whatever share of the raw rows a symbol holds.  All features share
 one ``(symbol, date)`` ordering: one shuffle, one sort.
 """
 
@@ -18,15 +17,6 @@ from stratafin.functions.scalar import half_even
 ANNUAL = 252
 
 
-def daily_panel(rows: DataFrame, symbol: str = "symbol", date: str = "date", close: str = "close") -> DataFrame:
-    """One close per symbol and day (the mean of several quotes), non-positive and missing dropped."""
-    return (
-        rows.where(F.col(close) > 0)
-        .groupBy(F.col(symbol).alias("symbol"), F.col(date).cast("date").alias("date"))
-        .agg(F.avg(close).alias("close"))
-    )
-
-
 def _by(keys: Sequence[str]):
     return Window.partitionBy(*keys).orderBy("date")
 

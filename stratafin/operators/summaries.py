@@ -69,13 +69,6 @@ def coverage(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ("as_of_
     )
 
 
-def uncovered(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    missing = F.lit(True)
-    for c in columns:
-        missing = missing & F.col(c).isNull()
-    return df.where(missing)
-
-
 def run_summary(df: DataFrame, scores: Sequence[str], by: Sequence[str] = ("as_of_date",), eligible: str | None = None) -> DataFrame:
     """Universe size, sectors and mean scores per run, with the eligible share."""
     aggs = [F.count(F.lit(1)).alias("universe_size"), F.countDistinct("sector").alias("n_sectors")]

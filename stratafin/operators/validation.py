@@ -49,11 +49,6 @@ def validate_rows(
     return cleaned.withColumn("warnings", warnings).drop("_early")
 
 
-def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Valid rows and quarantine."""
-    return df.where(F.col("is_valid")), df.where(~F.col("is_valid"))
-
-
 def validate_history(df: DataFrame, key: Sequence[str] = ("symbol",), min_rows: int = 5, **kwargs) -> DataFrame:
     """Valid annual rows of symbols with at least ``min_rows`` of them.
 

@@ -129,10 +129,6 @@ def read_members(spark: SparkSession, path, lines: bool = False) -> DataFrame:
     return _json(spark, path, MEMBERS_SCHEMA, lines).select(F.explode(F.coalesce("tickers", "symbols")).alias("symbol")).distinct()
 
 
-def read_institutional(spark: SparkSession, path, lines: bool = False) -> DataFrame:
-    return newest_file(_json(spark, path, INSTITUTIONAL_SCHEMA, lines)).select(F.explode("top_stocks").alias("s")).select("s.*")
-
-
 def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """Parquet, or CSV with a header and an explicit schema."""
     if path.rstrip("/").endswith(".csv") or schema is not None:
@@ -274,10 +270,3 @@ def read_fundamentals_cache(spark: SparkSession, path: str, as_of: str | None =
     """Fundamentals stored per date; a given date prunes to its partition."""
     df = spark.read.parquet(path)
     return df if as_of is None else df.where(F.col("as_of_date") == F.lit(as_of).cast("date"))
-
-
-def latest_per_symbol(df: DataFrame, date: str = "date") -> DataFrame:
-    payload = [c for c in df.columns if c != "symbol"]
-    return df.groupBy("symbol").agg(F.max_by(F.struct(*payload), date).alias("r")).select("symbol", "r.*")
-
-

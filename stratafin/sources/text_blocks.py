@@ -271,7 +271,7 @@ def parse_fund_headers(docs: DataFrame) -> DataFrame:
         F.coalesce("_manager", F.nullif(_cell("_p", 1), F.lit(""))).alias("portfolio_manager"),
         last_number(F.slice("_p", 1, 4), r"(\d+\.?\d*)%", lambda v: (v > 0) & (v < 100)).alias("performance_3y"),
         F.when(unit == "T", aum * 1000).otherwise(aum).alias("aum_billions"),
-        last_number(F.col("_p"), r"^(\d+)$", lambda v: v < 10_000).cast("int").alias("total_holdings"),
+        last_number(F.col("_p"), r"^(\d+)$", lambda v: v >= 0).cast("int").alias("total_holdings"),
         "header_lines",
         "lines",
     )
