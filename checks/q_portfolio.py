@@ -811,12 +811,14 @@ def _severity(spark, sf):
 @query(
     "concentration_alerts",
     with_inputs("fin", extra={**RAWW, "v": "select *, cast(floor(cash) as bigint) % 100 + 0.5 as rsi, count(*) over (partition by as_of_date, sector) as cr from sw"})
-    + f""" select as_of_date, symbol as ticker, 'concentration' as rule, {rnd('weight0')} as value from v where weight0 > 0.055 union all select as_of_date, symbol, 'low_score', sc from v where sc < 0.5 - 0.1
+    + f""" select as_of_date, symbol as ticker, 'concentration' as rule, {rnd('weight0')} as value from v where weight0 > 0.055 union all select as_of_date, symbol, 'low_score', {rnd('sc - 0.1')} from v where sc - 0.1 < 0.4
       union all select as_of_date, symbol, 'extreme_momentum', rsi from v where rsi > 70 or rsi < 30 union all select as_of_date, symbol, 'sector_crowding', cr from v where cr > 3""",
     "C30",
 )
 def _concentration(spark, sf):
-    rows = raw_weights(spark, sf).withColumn("rsi", F.floor("cash").cast("bigint") % 100 + 0.5)
+    rows = raw_weights(spark, sf).withColumns(
+        {"rsi": F.floor("cash").cast("bigint") % 100 + 0.5, "score_composite_v30": F.col("score_composite_v30") - 0.1}
+    )
     out = alerts.concentration_alerts(rows, BY, "score_composite_v30")
     return out.select("as_of_date", "ticker", "rule", F.round("value", 6).alias("value"))
 

@@ -361,13 +361,24 @@ def _owner(spark, sf):
 
 @query(
     "eligible_universe_stats",
-    with_inputs("fin", extra={"e": """select as_of_date, least(greatest((net_income - operating_cash_flow) / nullif(total_assets, 0), -0.5), 0.5) as ac, case when net_income <> 0 then least(greatest(fcf / nullif(net_income, 0), -2), 3) end as fn from fin where total_assets <> 0"""})
+    with_inputs("fin", extra={"e": ""X - operating_cash_flow) / nullif(total_assets, 0), -0.5), 0.5) as ac, case when net_income <> 0 then least(greatest(fcf / nullif(net_income, 0), -2), 3) end as fn from fin"""})
     + f""" select as_of_date, count(*) as total_tickers, count(ac) as with_accruals, count(fn) as with_fcf_ni, {even('avg(ac)', 4)} as accruals_mean, {even('avg((ac < 0.05)::int) * 100', 1)} as accruals_low_pct,
      {even('avg(fn)', 2)} as fcf_ni_mean, {even('avg((fn > 1)::int) * 100', 1)} as fcf_ni_above_1_pct, {even('median(ac)', 4)} as accruals_median from e group by as_of_date""",
     "A14",
 )
 def _eligible_stats(spark, sf):
-    return summaries.eligible_universe_stats(ratios.earnings_features(table(spark, sf, "fin").where("total_assets <> 0")))
+    return summaries.eligible_universe_stats(ratios.earnings_features(table(spark, sf, "fin")))
+
+
+@query(
+    "eligible_sector_counts",
+    with_inputs("fin", extra={"e": "select as_of_date, case when year = 1996 then null else sector end as sector from fin where total_debt < equity"})
+    + " select as_of_date, coalesce(sector, 'Unknown') as sector, count(*) as tickers from e group by 1, 2",
+    "A14",
+)
+def _eligible_sectors(spark, sf):
+    rows = table(spark, sf, "fin").where("total_debt < equity")
+    return summaries.eligible_sector_counts(rows.withColumn("sector", F.when(F.col("year") != 1996, F.col("sector"))))
 
 
 @query(

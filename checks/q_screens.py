@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.derive import raw, table, with_inputs
 from checks.q_scores30 import RATIO_SQL, ratio_table
-from checks.registry import even, query, rnd
+from checks.registry import clip, even, query, rnd
 from stratafin.functions import ratios
 from stratafin.functions.scalar import default_columns, half_even, safe_double, winsorise
 from stratafin.operators import filters, holdings, signals, validation
@@ -112,12 +112,12 @@ def _safe(spark, sf):
 @query(
     "earnings_features",
     FIN
-    + f""" select symbol, year, {rnd('least(greatest((net_income - operating_cash_flow) / nullif(total_assets, 0), -0.5), 0.5)')} as accruals,
-      {rnd('least(greatest(fcf / nullif(net_income, 0), -2), 3)')} as fcf_ni_ratio from fin where total_assets <> 0 and net_income <> 0""",
+    + f""" select symbol, year, {rnd(clip('((net_income - operating_cash_flow) / nullif(total_assets, 0))', -0.5, 0.5))} as accruals,
+      {rnd(clip('(fcf / nullif(net_income, 0))', -2, 3))} as fcf_ni_ratio from fin""",
     "P12 P13",
 )
 def _earnings(spark, sf):
-    df = ratios.earnings_features(table(spark, sf, "fin").where("total_assets <> 0 and net_income <> 0"))
+    df = ratios.earnings_features(table(spark, sf, "fin"))
     return df.select("symbol", "year", F.round("accruals", 6).alias("accruals"), F.round("fcf_ni_ratio", 6).alias("fcf_ni_ratio"))
 
 

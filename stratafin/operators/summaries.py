@@ -56,6 +56,11 @@ def eligible_universe_stats(df: DataFrame, by: Sequence[str] = ("as_of_date",))
     return stats.join(median, list(by), "left").withColumn("accruals_median", half_even("_m", 4)).drop("_m")
 
 
+def eligible_sector_counts(df: DataFrame, by: Sequence[str] = ("as_of_date",)) -> DataFrame:
+    """Names per sector of the eligible universe; a missing sector counts as ``Unknown``."""
+    return df.groupBy(*by, F.coalesce("sector", F.lit("Unknown")).alias("sector")).agg(F.count(F.lit(1)).alias("tickers"))
+
+
 def coverage(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ("as_of_date",), low: float = 0.5) -> DataFrame:
     """Share of rows with at least one known ratio."""
     known = F.lit(False)

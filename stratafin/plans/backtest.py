@@ -165,6 +165,8 @@ class WalkForward:
     constraints: Constraints = field(default_factory=Constraints)
     value_mode: str = "cross_sectional"
     effective_lag_days: int = 0
+    #: names below this composite are never held (None: no floor)
+    min_score: float | None = None
 
 
 def fundamental_weights(prices: DataFrame, fundamentals: DataFrame, p: WalkForward = WalkForward()) -> DataFrame:
@@ -172,7 +174,7 @@ def fundamental_weights(prices: DataFrame, fundamentals: DataFrame, p: WalkForwa
     instants = rebalance_dates(prices, p.frequency, p.calendar)
     universe = stage(point_in_time_universe(prices, fundamentals, instants, p.publication, p.liquidity, p.leverage))
     scored = score_pipeline(universe, by=["rebalance_date"], value_mode=p.value_mode, with_ranks=False, stored=True)
-    return select_positions(scored, ["rebalance_date"], p.constraints)
+    return select_positions(scored, ["rebalance_date"], p.constraints, min_score=p.min_score)
 
 
 def walk_forward(prices: DataFrame, fundamentals: DataFrame, p: WalkForward = WalkForward(), portfolio_id: str = "strategy") -> DataFrame:
