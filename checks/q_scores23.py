@@ -361,7 +361,7 @@ def _owner(spark, sf):
 
 @query(
     "eligible_universe_stats",
-    with_inputs("fin", extra={"e": ""X - operating_cash_flow) / nullif(total_assets, 0), -0.5), 0.5) as ac, case when net_income <> 0 then least(greatest(fcf / nullif(net_income, 0), -2), 3) end as fn from fin"""})
+    with_inputs("fin", extra={"e": """select as_of_date, case when total_assets <> 0 then least(greatest((net_income - operating_cash_flow) / nullif(total_assets, 0), -0.5), 0.5) end as ac, case when net_income <> 0 then least(greatest(fcf / nullif(net_income, 0), -2), 3) end as fn from fin"""})
     + f""" select as_of_date, count(*) as total_tickers, count(ac) as with_accruals, count(fn) as with_fcf_ni, {even('avg(ac)', 4)} as accruals_mean, {even('avg((ac < 0.05)::int) * 100', 1)} as accruals_low_pct,
      {even('avg(fn)', 2)} as fcf_ni_mean, {even('avg((fn > 1)::int) * 100', 1)} as fcf_ni_above_1_pct, {even('median(ac)', 4)} as accruals_median from e group by as_of_date""",
     "A14",
