@@ -32,6 +32,8 @@ from stratafin.llm.common import LOWER_BYTES, mixed, ship
 from stratafin.session import stage
 
 PRIOR = 300.0
+#: Text of a block: its word pairs and their arcs are in one task's memory.
+BLOCK_BYTES = 8 << 20
 #: The start state and the end token; no word holds white space.
 START, END = b" <s>", b" </s>"
 
@@ -142,7 +144,7 @@ def score(docs: DataFrame, trained: Column, prior: float = PRIOR) -> DataFrame:
     """
     ship(docs.sparkSession)
     buckets = B.bucket_count(docs)
-    stored = B.blocks(docs, tokens, buckets, trained)
+    stored = B.blocks(docs, tokens, buckets, trained, BLOCK_BYTES)
     columns = ["sizes", "codes", "words", "marks"]
     counted = B.asked(stored, partial(_ask_words, buckets), columns).groupBy("bucket").applyInArrow(_count_words, "block long, bucket int, counts binary, n long, v long")
     counted = stage(counted)

@@ -1,6 +1,6 @@
 """Texts as blocks of word codes, and questions about their words answered once per distinct key.
 
-A block is a run of documents (about ``BLOCK_BYTES`` of text) with its own dictionary.  A question
+A block is a run of documents (about ``block_bytes`` of text) with its own dictionary.  A question
 about a key (a word, a pair of words) is dealt to buckets by the key's hash: a block sends each
 bucket one packed row, the bucket answers every distinct key once, and the answers return to the
 block in the order asked.  A frequent word thus travels once per block, not once per use, and a
@@ -71,7 +71,7 @@ def stored(table: DataFrame, buckets: int) -> DataFrame:
     return spark.table(name)
 
 
-def blocks(docs: DataFrame, coder: Callable[[pa.Array], tuple[np.ndarray, np.ndarray, list[bytes]]], buckets: int, mark=None) -> DataFrame:
+def blocks(docs: DataFrame, coder: Callable[[pa.Array], tuple[np.ndarray, np.ndarray, list[bytes]]], buckets: int, mark=None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Written table of blocks, bucketed by block so that answers meet it without moving it.
 
     ``coder`` gives codes, offsets and words of an array of texts;
@@ -108,7 +108,7 @@ def blocks(docs: DataFrame, coder: Callable[[pa.Array], tuple[np.ndarray, np.nda
                 sizes.append(np.diff(offsets))
                 codes.append(local[found])
                 size += batch.column(2).nbytes
-                if size >= BLOCK_BYTES:
+                if size >= block_bytes:
                     yield block()
                     serial, ids, sizes, codes, marks, number, size = serial + 1, [], [], [], [], {}, 0
         if ids:
