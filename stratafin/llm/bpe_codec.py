@@ -62,13 +62,12 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def distinct_words(table: pa.Table) -> pa.Table:
         asked = [B.unpack_words(k.as_py()) for k in table.column("keys")]
-        distinct = sorted({w for words in asked for w in words})
-        ids = dict(zip(distinct, map(encoder(path).ids, [w.decode("utf-8", "surrogatepass") for w in distinct]), strict=True))
-        sizes, values = [], []
-        for words in asked:
-            found = [ids[w] for w in words]
-            sizes.append(B.pack_ints(np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4))
-            values.append(B.pack_ints(np.frombuffer(b"".join(found), "<u4")))
+        number: dict[bytes, int] = {}
+        places = [np.fromiter((number.setdefault(w, len(number)) for w in words), dtype=np.int64, count=len(words)) for words in asked]
+        n, ids = encoder(path).encode([w.decode("utf-8", "surrogatepass") for w in number])
+        starts = np.cumsum(n) - n
+        sizes = [B.pack_ints(n[at]) for at in places]
+        values = [B.pack_ints(ids[spread(starts[at], n[at])]) for at in places]
         return pa.table([table.column("block"), table.column("bucket"), pa.array(sizes, pa.binary()), pa.array(values, pa.binary())], ["block", "bucket", "sizes", "ids"])
 
     answers = questions.groupBy("bucket").applyInArrow(distinct_words, "block long, bucket int, sizes binary, ids binary")

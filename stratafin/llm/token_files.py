@@ -130,9 +130,7 @@ def unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def encoded(texts: pa.Array, path: str, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Token counts and token ids of texts, each followed by the end id if there is one."""
     codes, offsets, words = cut(texts)
-    found = encoder(path).packed(words)
-    sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
-    flat = np.frombuffer(b"".join(found), "<u4")
+    sizes, flat = encoder(path).encode(words)
     each = sizes[codes]
     tokens = flat[spread((np.cumsum(sizes) - sizes)[codes], each)]
     counts = np.add.reduceat(each, offsets[:-1]) if len(texts) else np.zeros(0, np.int64)

@@ -20,13 +20,19 @@ import regex
 #: Fixed value: the splitting pattern of the byte-level pre-tokenizer.
 PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 CUT = re.compile(r"(?<=\S)(?= \S)")
-#: Words that a worker remembers between batches.
+#: Pieces of words that a worker remembers between batches.
 REMEMBERED = 400_000
 
 
-def stands_alone(word: str) -> bool:
-    """Whether the spaces at the ends of a word cut at every space are good places to cut."""
-    return not word or not (word[-1].isspace() or word[0] == " " and word[1].isspace())
+def joinable(words: pa.Array, least: int = 0) -> np.ndarray:
+    """Whether words (cut at spaces) begin and end at good places to cut: no white space at the end,
+    and at most one space, with no other white space after it, at the beginning.  Words that begin
+    otherwise count if ``least`` is 0."""
+    size = pc.utf8_length(words)
+    lead = pc.subtract(size, pc.utf8_length(pc.utf8_ltrim_whitespace(words))).to_numpy(zero_copy_only=False)
+    ends = pc.equal(pc.utf8_length(pc.utf8_rtrim_whitespace(words)), size).to_numpy(zero_copy_only=False)
+    spaced = pc.starts_with(words, " ").to_numpy(zero_copy_only=False)
+    return ends & np.where(spaced, lead == 1, least == 0)
 
 
 def cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -39,12 +45,12 @@ def cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     encoded = parts.flatten().dictionary_encode()
     if isinstance(encoded, pa.ChunkedArray):
         encoded = encoded.combine_chunks()
+    good = joinable(encoded.dictionary)
     words, codes = encoded.dictionary.to_pylist(), encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     sizes = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
     offsets = np.concatenate(([0], np.cumsum(sizes)))
     if not len(sizes):
         return codes, offsets, words
-    good = np.fromiter(map(stands_alone, words), dtype=bool, count=len(words))
     bad = pc.match_substring(texts, "\x00").to_numpy(zero_copy_only=False).astype(bool)
     if not good.all():
         bad |= np.logical_or.reduceat(~good[codes], offsets[:-1])
@@ -65,7 +71,7 @@ def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class WordEncoder:
-    """Ids of words, by the tokenizers library; whole-word results are remembered, within a bound."""
+    """Ids of words, by the tokenizers library; ids of pieces are remembered, within a bound."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -84,37 +90,49 @@ class WordEncoder:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self.pieces: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
 
-    def ids(self, word: str) -> bytes:
-        """Ids of a word as little-endian unsigned 32-bit integers."""
-        if any(a in word for a in self.added):
-            return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        out = []
-        for piece in PIECES.findall(word):
-            found = self.pieces.get(piece)
-            if found is None:
-                shown = piece.encode("utf-8").decode("latin-1").translate(self.letters)
-                found = array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
-                if len(self.pieces) >= REMEMBERED:
-                    self.pieces.clear()
-                self.pieces[piece] = found
-            out.append(found)
-        return b"".join(out)
-
-    def packed(self, words: list[str]) -> list[bytes]:
-        """Ids of each word, remembered for the next call."""
-        known, out = self.known, []
-        for w in words:
-            b = known.get(w)
-            if b is None:
-                b = self.ids(w)
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                known[w] = b
-            out.append(b)
-        return out
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids, and ids, of distinct pieces; what was encoded before is remembered."""
+        names, known = pieces.to_pylist(), self.known
+        fresh = [p for p in names if p not in known]
+        if len(known) + len(fresh) > REMEMBERED:
+            known.clear()
+            fresh = names
+        raw = [p.encode("utf-8") for p in fresh]
+        shown, tokenize, at = b"".join(raw).decode("latin-1").translate(self.letters), self.tokenizer.model.tokenize, 0
+        for p, r in zip(fresh, raw, strict=True):
+            known[p] = array("I", [t.id for t in tokenize(shown[at : at + len(r)])]).tobytes()
+            at += len(r)
+        found = [known[p] for p in names]
+        return np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4, np.frombuffer(b"".join(found), "<u4")
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each word, and the ids of all words, one after the other.
+
+        Words with good ends are split into pieces in one run over their joined text.
+        """
+        table = pa.array(words, pa.string())
+        plain = joinable(table, 1)
+        for text in self.added:
+            plain &= ~pc.match_substring(table, text).to_numpy(zero_copy_only=False)
+        at, rest = np.flatnonzero(plain), np.flatnonzero(~plain)
+        sizes, parts = np.zeros(len(words), np.int64), []
+        if len(at):
+            pieces = pa.array(PIECES.findall("".join([words[i] for i in at.tolist()])), pa.string()).dictionary_encode()
+            codes, (n, ids) = pieces.indices.to_numpy(zero_copy_only=False), self._pieces(pieces.dictionary)
+            ends = np.cumsum(pc.utf8_length(pieces.dictionary).to_numpy(zero_copy_only=False)[codes])
+            word_ends = np.cumsum(pc.utf8_length(table.take(pa.array(at))).to_numpy(zero_copy_only=False))
+            sizes[at] = np.bincount(np.searchsorted(word_ends, ends), weights=n[codes], minlength=len(at)).astype(np.int64)
+            parts.append((at, ids[spread((np.cumsum(n) - n)[codes], n[codes])]))
+        if len(rest):
+            each = [self.tokenizer.encode(words[i], add_special_tokens=False).ids if words[i] else [] for i in rest.tolist()]
+            sizes[rest] = [len(x) for x in each]
+            parts.append((rest, np.array([i for x in each for i in x], np.uint32)))
+        out, starts = np.empty(int(sizes.sum()), np.uint32), np.cumsum(sizes) - sizes
+        for where, ids in parts:
+            out[spread(starts[where], sizes[where])] = ids
+        return sizes, out
 
 
 _encoders: dict[str, WordEncoder] = {}

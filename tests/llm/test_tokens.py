@@ -41,7 +41,8 @@ def test_cut_words_encode_like_whole_texts():
     rng = random.Random(4)
     texts = ["".join(rng.choices(PIECES, k=rng.randrange(0, 14))) for _ in range(4000)] + [None]
     codes, offsets, words = wordcut.cut(pa.array(texts, pa.string()))
-    ids = [np.frombuffer(b, "<u4").tolist() for b in wordcut.encoder(PATH).packed(words)]
+    sizes, flat = wordcut.encoder(PATH).encode(words)
+    ids = [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])]
     for i, t in enumerate(texts):
         own = codes[offsets[i] : offsets[i + 1]]
         assert "".join(words[c] for c in own) == (t or "")
