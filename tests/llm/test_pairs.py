@@ -125,6 +125,33 @@ def test_groups_against_exact_similarity(spark):
     assert kept == set(found.values())
 
 
+@pytest.mark.parametrize("chunk", [G.CHUNK, 8])
+def test_block_edits_against_exact_similarity(spark, monkeypatch, chunk):
+    """Replaced tails, other headers and appended sections on either side of 0.8: a pair is grouped
+    exactly if its similarity is 0.8 or more."""
+    monkeypatch.setattr(G, "CHUNK", chunk)
+    rng = random.Random(8)
+    frequent = [f"w{i}" for i in range(4000)]
+    # Words of a text follow a few topics, so that a foreign block brings other words.
+    topic = lambda n: rng.choices(rng.sample(frequent, 300), k=n)
+    texts, pairs = {}, []
+    for i in range(300):
+        n = rng.choice([40, 80, 200, 400, 900])
+        base, j = topic(n), rng.uniform(0.74, 0.92)
+        cut = round(n * (1 - j) / (1 + j))
+        other = [base[:-cut] + topic(cut), topic(cut) + base[cut:], base + topic(round(n / j) - n)][i % 3]
+        texts[2 * i], texts[2 * i + 1] = " ".join(base), " ".join(other)
+        pairs.append((2 * i, 2 * i + 1))
+    crowd = topic(300)
+    for i in range(24):  # every pair of these is a little under or over the limit
+        texts[1000 + i] = " ".join(crowd[: 270 - i % 3] + [f"x{i}y{k}" for k in range(30)])
+    sets = {i: shingles(t) for i, t in texts.items()}
+    assert min(sum(lo <= jaccard(sets[a], sets[b]) < hi for a, b in pairs) for lo, hi in [(0.75, 0.8), (0.8, 0.82), (0.82, 0.85), (0.85, 0.9)]) >= 10
+    want = roots(texts, [(a, b) for a, b in combinations(texts, 2) if jaccard(sets[a], sets[b]) >= 0.8])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"]: r["least"]["doc_id"] for r in G.groups(docs).collect()} == want
+
+
 def test_crowded_buckets_meet_in_tiles(spark, monkeypatch):
     monkeypatch.setattr(G, "CHUNK", 8)
     rng = random.Random(6)
