@@ -5,8 +5,10 @@ A term is a word (A-Z lower-cased); its weight is log(1 + frequency) times its l
 it sets and takes it from those it clears; a fingerprint bit is the sign of its sum.  256 bits keep
 the likeness of two texts (the share of equal bits) within a few hundredths.
 
-Fingerprints within a radius are found with permuted block tables: ``radius + 1`` blocks, one table
-led by each; two fingerprints within the radius agree on one block at least.
+Fingerprints within a radius are found with block tables, one led by each of ``BLOCKS`` blocks.  Two
+fingerprints that differ in fewer than twice as many bits as there are blocks differ in one bit at
+most of some block, so a query asks each table for its own block and for that with each bit turned:
+no pair within the radius is lost.
 """
 
 from __future__ import annotations
@@ -28,9 +30,10 @@ LANES = 4
 BITS = 64 * LANES
 LONGEST = 12
 SEED = 42
-#: With 8 blocks of 32 bits, 8 hexadecimal digits each.
-RADIUS = 7
-BLOCKS = RADIUS + 1
+#: Blocks of 16 bits, 4 hexadecimal digits each.
+BLOCKS = 16
+WIDTH = BITS // BLOCKS
+RADIUS = 2 * BLOCKS - 1
 #: Fingerprints and queries of a bucket that meet in one task at a time.
 CHUNK, QUERY_CHUNK = 2048, 512
 
@@ -97,9 +100,13 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return map_batches(rows, run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def _tables(name: str):
-    width = BITS // 4 // BLOCKS
-    return F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.substring(name, t * width + 1, width).alias("k")) for t in range(BLOCKS)])).alias("e")
+def _tables(name: str, masks: list[int]):
+    """(t, k) for each table: the block that leads it, under each of the masks."""
+    digits = WIDTH // 4
+    blocks = [F.conv(F.substring(name, t * digits + 1, digits), 16, 10).cast("int") for t in range(BLOCKS)]
+    each = F.array(*[F.struct(F.lit(t).alias("t"), k.alias("k")) for t, k in enumerate(blocks)])
+    turned = F.transform(each, lambda e: F.transform(F.array(*map(F.lit, masks)), lambda m: F.struct(e["t"].alias("t"), e["k"].bitwiseXOR(m).alias("k"))))
+    return F.explode(F.flatten(turned)).alias("e")
 
 
 def _tile(batches):
@@ -107,16 +114,24 @@ def _tile(batches):
     tables counts in the first."""
 
     def words(column) -> np.ndarray:
-        return np.frombuffer(bytes.fromhex("".join(column)), ">u4").reshape(-1, BLOCKS)
+        return np.frombuffer(b"".join(column), "<u8").reshape(-1, LANES)
 
     for batch in batches:
         names, counts = [], []
         for t, queries, fps, n in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            apart = words(queries)[:, None, :] ^ words(fps)[None, :, :]
-            near = (np.bitwise_count(apart).sum(axis=2) <= RADIUS) & ((apart == 0).argmax(axis=2) == t)
-            names += queries
-            counts += (near @ np.array(n, np.int64)).tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.int64())], ["fingerprint", "near"])
+            asked, held, n = words(queries), words(fps), np.array(n, np.int64)
+            apart = sum(np.bitwise_count(asked[:, None, lane] ^ held[None, :, lane]).astype(np.uint16) for lane in range(LANES))
+            q, d = np.nonzero(apart <= RADIUS)
+            if not len(q):
+                continue
+            blocks = np.bitwise_count((asked[q] ^ held[d]).view("<u2"))
+            first = (blocks <= 1).argmax(axis=1) == t
+            near = np.zeros(len(asked), np.int64)
+            np.add.at(near, q[first], n[d[first]])
+            found = np.flatnonzero(near)
+            names += [queries[i] for i in found.tolist()]
+            counts += near[found].tolist()
+        yield pa.RecordBatch.from_arrays([pa.array([x.hex() for x in names], pa.string()), pa.array(counts, pa.int64())], ["fingerprint", "near"])
 
 
 def within_radius(fps: DataFrame, queries: DataFrame) -> DataFrame:
@@ -127,8 +142,10 @@ def within_radius(fps: DataFrame, queries: DataFrame) -> DataFrame:
     added; no pair becomes a row and no bucket meets in one task.
     """
     classes = fps.groupBy("fingerprint").agg(F.count("*").alias("n"))
-    asked = queries.select("fingerprint").distinct().select("fingerprint", _tables("fingerprint")).select("fingerprint", "e.t", "e.k")
-    rows = classes.select("fingerprint", "n", _tables("fingerprint")).select("fingerprint", "n", "e.t", "e.k")
+    packed = F.unhex("fingerprint").alias("fingerprint")
+    probes = _tables("fingerprint", [0, *(1 << i for i in range(WIDTH))])
+    asked = queries.select("fingerprint").distinct().select(packed, probes).select("fingerprint", "e.t", "e.k")
+    rows = classes.select(packed, "n", _tables("fingerprint", [0])).select("fingerprint", "n", "e.t", "e.k")
 
     def dealt(table: DataFrame, most: int) -> DataFrame:
         sizes = table.groupBy("t", "k").agg(F.ceil(F.count("*") / most).alias("chunks"))

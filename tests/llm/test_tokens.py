@@ -186,6 +186,23 @@ def test_fingerprints(spark, odd, empty, monkeypatch):
     check_fingerprints([tuple(r) for r in docs.select("doc_id", "text").collect()], doc_fingerprints.fingerprinted(docs).collect())
 
 
+def test_near_copies_are_counted(spark):
+    """Copies with 2 % of their words replaced count as near; other texts do not."""
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), rng.integers(3, 10)))
+    rows, copies = [], []
+    for i in range(30):
+        base = [word() for _ in range(600)]
+        copy = list(base)
+        for j in rng.choice(600, 12, replace=False):
+            copy[j] = word()
+        rows += [(20 * i, " ".join(base)), (20 * i + 1, " ".join(copy))]
+        copies.append(int(np.bitwise_count(doc_fingerprints.fingerprint(rows[-1][1]) ^ doc_fingerprints.fingerprint(rows[-2][1])).sum()))
+    assert sum(c > 7 for c in copies) > 20 and max(copies) <= 31
+    got = doc_fingerprints.fingerprinted(spark.createDataFrame(rows, "doc_id long, text string")).where("n_near is not null").collect()
+    assert [r["n_near"] for r in got] == [1] * 30
+
+
 def test_edit_keeps_code_points():
     assert doc_fingerprints.edited("ab\U0001f600cd", "é1234") == "ab\U0001f600é1"
     assert doc_fingerprints.edited("abcd", "x") == "abx"
