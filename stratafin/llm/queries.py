@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratafin.llm import backoff_lm, bpe_codec, common, decontaminate, doc_fingerprints, language_svm, license_scan, quality_fm, secret_scan, simhash_dedup, token_files
+from stratafin.llm import backoff_lm, bpe_codec, common, decontaminate, doc_fingerprints, language_svm, license_scan, quality_fm, secret_scan, simhash_dedup, spelling_groups, token_files, url_filter, whitening
 
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -90,6 +90,19 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(common.documents(spark, sf_dir).withColumn("path", path))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return url_filter.judge(pages, url_filter.mine(url_filter.labelled(pages, common.labels(spark, sf_dir))))
+
+
+def op13_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups.spelling_groups(common.documents(spark, sf_dir))
+
+
 _PATH_SQL = """case when doc_id % 256 = 0 then concat_ws('/', source, doc_id // 256, 'LICENSE')
   when doc_id % 16 = 0 then concat_ws('/', source, doc_id // 256, doc_id // 16, 'LICENSE')
   else concat_ws('/', source, doc_id // 256, doc_id // 16, doc_id || '.txt') end"""
@@ -105,5 +118,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_doc_fingerprints": op8_doc_fingerprints,
     "op9_license_scan": op9_license_scan,
     "op10_decontaminate": op10_decontaminate,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_url_filter": op12_url_filter,
+    "op13_spelling_groups": op13_spelling_groups,
+}
+ORACLES: dict[str, str] = {
+    "op5_secret_scan": secret_scan.ORACLE,
+    "op9_license_scan": license_scan.ORACLE.replace("{path}", _PATH_SQL),
+    "op10_decontaminate": decontaminate.ORACLE,
+    "op12_url_filter": url_filter.ORACLE,
+    "op13_spelling_groups": spelling_groups.ORACLE,
 }
-ORACLES: dict[str, str] = {"op5_secret_scan": secret_scan.ORACLE, "op9_license_scan": license_scan.ORACLE.replace("{path}", _PATH_SQL), "op10_decontaminate": decontaminate.ORACLE}
