@@ -8,8 +8,8 @@
   ``SIGMAS`` standard deviations.  All others, and all short texts, are settled by the exact
   Jaccard similarity of their sets, which only they travel with.
 
-Texts of one set are folded first.  A crowded bucket is dealt out in chunks that meet in pairs, each
-pair of chunks in a task of its own, and a pair of chunks yields a spanning forest of its links and
+Texts of one set are folded first.  A crowded bucket is dealt out in chunks, bounded in
+members and in bytes of their sets, that meet in pairs, each pair of chunks in a row of its own, and a pair of chunks yields a spanning forest of its links and
 the members that are in doubt, never all pairs.
 """
 
@@ -35,7 +35,8 @@ LANES, WORD_LANES = 16, 12
 BITS = 64 * LANES
 #: Tables, and minima that lead each.
 TABLES, LEAD = 24, 4
-CHUNK = 1024
+#: Members of a chunk, and bytes of the sets that its members are expected to hold.
+CHUNK, CHUNK_BYTES = 1024, 4 << 20
 #: Hashes that vote at once, a bound on memory for very long texts.
 CHUNK_HASHES = 1 << 14
 SEED = 42
@@ -234,15 +235,17 @@ def links(classes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, w
     """Classes (c, digest, h, n, fp, keys) to links (a, b) whose components are those of all
     candidates with sets of this Jaccard similarity."""
     rows = classes.select("c", F.explode("keys").alias("k"))
-    sizes = rows.groupBy("k").agg(F.count("*").alias("m")).where("m > 1")
+    weights = classes.select("n", F.explode("keys").alias("k"))
+    parts = F.ceil(F.greatest(F.count("*") / CHUNK, F.sum(F.col("n").cast("long")) * 8 / CHUNK_BYTES))
+    sizes = weights.groupBy("k").agg(F.count("*").alias("members"), parts.alias("m")).where("members > 1").select("k", "m")
     rows = rows.join(sizes, "k").join(classes.select("c", "fp", "n"), "c")
-    chunk = F.pmod(F.xxhash64("c"), F.ceil(F.col("m") / CHUNK)).alias("chunk")
+    chunk = F.pmod(F.xxhash64("c"), F.col("m")).alias("chunk")
     lists = [F.collect_list(F.struct("c", "fp", "n")).alias("all"), F.max("m").alias("m")]
     chunks = rows.select("k", "c", "fp", "n", "m", chunk).groupBy("k", "chunk").agg(*lists)
     chunks = stage(chunks.select("k", "chunk", "m", F.col("all.c").alias("ids"), F.col("all.fp").alias("fps"), F.col("all.n").alias("n")))
     none = [F.lit(None).cast("array<bigint>").alias("ids2"), F.lit(None).cast("array<binary>").alias("fps2"), F.lit(None).cast("array<int>").alias("n2")]
     alone = chunks.select(F.xxhash64("k", "chunk").alias("tile"), "ids", "fps", "n", *none)
-    large = chunks.where(F.col("m") > CHUNK)
+    large = chunks.where("m > 1")
     other = large.select("k", F.col("chunk").alias("chunk2"), F.col("ids").alias("ids2"), F.col("fps").alias("fps2"), F.col("n").alias("n2"))
     met = large.join(other, "k").where("chunk < chunk2").select(F.xxhash64("k", "chunk", "chunk2").alias("tile"), "ids", "fps", "n", "ids2", "fps2", "n2")
     judged = stage(map_batches(alone.unionByName(met).where("size(ids) + coalesce(size(ids2), 0) > 1"), _tiles(similarity), "a long, b long, tile long"))
@@ -273,10 +276,10 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH,
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows and columns of ``docs`` that stay when one document of each group does: the one with
-    the smallest id.  Of rows that repeat an id and a text one stays."""
+    the smallest id.  Of rows that repeat an id and a text the one stays whose columns, as JSON, come first."""
     kept = groups(docs, similarity, width, id_col, text_col).where((F.col(f"least.{id_col}").eqNullSafe(F.col(id_col))) & (F.col("least.h") == F.col("h")))
     kept = kept.select(F.col(id_col).alias("__id"), F.col("h").alias("__h"))
     rows = docs.withColumn("__own", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
     rows = rows.join(kept, (F.col(id_col).eqNullSafe(F.col("__id"))) & (F.col("__own") == F.col("__h")), "left_semi")
-    once = F.row_number().over(Window.partitionBy(id_col, "__own").orderBy(F.lit(0)))
+    once = F.row_number().over(Window.partitionBy(id_col, "__own").orderBy(F.to_json(F.struct(*docs.columns))))
     return rows.withColumn("__once", once).where("__once = 1").select(*docs.columns)

@@ -91,5 +91,5 @@ def test_registered():
     import __spark_entry__
 
     names = __spark_entry__.queries()
-    assert "pipeline" in names and sum(bool(re.match(r"op\d+_", n)) for n in names) == 10
+    assert "pipeline" in names and sum(bool(re.match(r"op\d+_", n)) for n in names) == 13
     assert os.path.exists(os.path.join(os.path.dirname(P.__file__), "__spark_entry__.py"))

@@ -108,7 +108,7 @@ def plain_contamination(docs, items, window):
     words = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
     out = []
     for d, t in docs:
-        w, hit, names, longest = words(t), set(), set(), 0
+        w, hit, names, longest = words(t), set(), set(), (0, "", 0)
         for name, text in items:
             x = words(text)
             k = min(window, len(x))
@@ -120,13 +120,13 @@ def plain_contamination(docs, items, window):
                         n = k
                         while i + n < len(x) and j + n < len(w) and x[i + n] == w[j + n]:
                             n += 1
-                        longest = max(longest, n)
-        out.append((d, len(w), len(hit), sorted(names), longest))
+                        longest = max(longest, (n, name or "", -j))
+        out.append((d, len(w), len(hit), sorted(names), longest[0], longest[1] if longest[0] else None, -longest[2] if longest[0] else None))
     return sorted(out, key=str)
 
 
 def found_in(rows):
-    return sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["items"], r["longest_match"]) for r in rows), key=str)
+    return sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["items"], r["longest_match"], r["longest_item"], r["longest_at"]) for r in rows), key=str)
 
 
 @pytest.mark.parametrize("seed,shard,block", [(0, 10**6, 10**6), (1, 40, 10**6), (2, 60, 25)])
@@ -139,6 +139,16 @@ def test_contamination_beside_brute_force(spark, seed, shard, block):
     assert found_in(got.collect()) == plain_contamination(docs, items, 4)
 
 
+def test_items_longer_than_a_block_are_cut(spark):
+    words = [f"w{i % 37}{i % 11}" for i in range(300)]
+    docs = [(1, " ".join(words[100:190])), (2, " ".join(words[3:6])), (3, "x " + " ".join(words))]
+    args = (spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([("long", " ".join(words))], "item_id string, text string"))
+    cut = {r["doc_id"]: r for r in decontaminate.contamination(*args, window=4, block_words=50).collect()}
+    whole = {r["doc_id"]: r for r in decontaminate.contamination(*args, window=4).collect()}
+    assert all((cut[k]["n_hit"], cut[k]["items"]) == (whole[k]["n_hit"], whole[k]["items"]) for k in whole)
+    assert (whole[3]["longest_match"], whole[3]["longest_at"], whole[1]["longest_match"], cut[3]["longest_match"]) == (300, 1, 90, 50)
+
+
 def test_contamination_of_odd_rows(spark, odd, empty, benchmark):
     got = decontaminate.contamination(odd, benchmark).collect()
     items = [tuple(r) for r in benchmark.collect()]
