@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zipfile
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,10 +39,25 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def release_memory() -> None:
+    """Return what a finished task has freed to the system: workers live on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_batches(df: DataFrame, run, schema) -> DataFrame:
     """Arrow batches of a partition through a Python function of this package."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def released(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return df.mapInArrow(released, schema)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
