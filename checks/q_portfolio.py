@@ -287,43 +287,86 @@ def _covariance(spark, sf):
     return out.select("symbol", "other", F.round("covariance", 6).alias("covariance"))
 
 
-@query("hrp_weights", None, "B2 B4")
+def parity_sql(known: str = "null", joined: str = "") -> dict[str, str]:
+    """Risk parity of the rows ``cand`` (g, symbol, sector, vol): Ward merges one at a time, then halves."""
+    same = "case when a.i = b.i then 1 when a.sector = b.sector and a.sector <> 'Unknown' then 0.7 else 0.4 end"
+    every = "list_transform(range(1, n + 1), lambda x: {})"
+    return {
+        "pos": "select *, row_number() over (partition by g order by symbol) as i from cand",
+        "ids": "select g, count(*)::int as n, list(symbol order by symbol) as syms, list(coalesce(vol, 25) / 100 order by symbol) as v from cand group by g",
+        "cells": f"select a.g, a.i, b.i as j, coalesce({known}, {same})::double as rho from pos a join pos b on a.g = b.g {joined}",
+        "dm": "select g, list(r order by i) as d from (select g, i, list(sqrt(greatest((1 - rho) / 2, 0)) order by j) as r from cells group by 1, 2) z group by g",
+        "prs": "select g, list({'i': a.i, 'j': b.i}) as prs from pos a join pos b using (g) where a.i < b.i group by g",
+        "it": f"""select g, n, d, list_transform(range(n), lambda x: 1.0::double) as size, range(n) as label, list_transform(range(1, n + 1), lambda x: [x]) as members, 0 as k from ids join dm using (g)
+          union all select g, n, {every.format("case when x = bi then u else list_transform(range(1, n + 1), lambda y: case when y = bi then u[x] else d[x][y] end) end")},
+            {every.format("case when x = bi then size[bi] + size[bj] when x = bj then 0 else size[x] end")}, {every.format("case when x = bi then n + k else label[x] end")},
+            {every.format("case when x <> bi then members[x] when label[bi] < label[bj] then members[bi] || members[bj] else members[bj] || members[bi] end")}, k + 1
+          from (select *, {every.format("sqrt(greatest(((size[x] + size[bi]) * (d[bi][x] * d[bi][x]) + (size[x] + size[bj]) * (d[bj][x] * d[bj][x]) - size[x] * (dij * dij)) / (size[x] + size[bi] + size[bj]), 0))")} as u
+            from (select *, best.i as bi, best.j as bj, best.d as dij from (select it.*, list_sort(list_transform(list_filter(prs, lambda q: size[q.i] > 0 and size[q.j] > 0), lambda q: {{'d': d[q.i][q.j], 'i': q.i, 'j': q.j}}))[1] as best
+              from it join prs using (g) where k < n - 1) s1) s2) s3""",
+        "lv": "select it.g, members[1] as o, list_transform(members[1], lambda x: v[x] * v[x]) as vv from it join ids using (g) where k = it.n - 1",
+        "ps": "select g, o, list_transform(range(len(vv) + 1), lambda x: coalesce(list_sum(vv[1:x]), 0)) as ps from lv",
+        "sg": """select g, 0 as lo, n as hi, 1.0::double as w from ids union all
+          select g, unnest([lo, mid])::int, unnest([mid, hi])::int, unnest([w * t, w * (1 - t)]) from (select *, case when l + r > 0 then r / (l + r) else 0.5 end as t
+            from (select sg.*, (lo + hi) // 2 as mid, (ps[mid + 1] - ps[lo + 1]) / (mid - lo) as l, (ps[hi + 1] - ps[mid + 1]) / (hi - mid) as r from sg join ps using (g) where hi - lo > 1) s1) s2""",
+        "parity": "select sg.g, syms[o[lo + 1]] as symbol, w / sum(w) over (partition by sg.g) as weight from sg join ps using (g) join ids using (g) where hi - lo = 1",
+    }
+
+
+def recursive(sql: str) -> str:
+    return sql.replace("with ", "with recursive ", 1)
+
+
+CAND = {"full_": FULL, "cand": "select as_of_date as g, symbol, coalesce(sector, 'Unknown') as sector, vol_30d as vol from (select *, row_number() over (partition by as_of_date order by cash desc, symbol) as rn from full_) z where rn <= 40"}
+SAMPLE = {
+    **MON,
+    "kn": "select a.symbol, b.symbol as other, 0.8 * corr(a.ret, b.ret) + case when a.symbol = b.symbol then 0.2 else 0 end as c from mr a join mr b on a.date = b.date and a.symbol <= b.symbol join fulld f on f.date = a.date group by 1, 2 having count(*) > 1",
+    "cand": "select 'all' as g, symbol, 'Unknown' as sector, stddev_samp(ret) * 100 as vol from mr group by symbol",
+}
+
+
+@query("hrp_weights", recursive(with_inputs("fin", extra=CAND | parity_sql())) + f" select g as as_of_date, symbol, {rnd('weight', 9)} as weight from parity", "B2 B4")
 def _hrp(spark, sf):
     rows = full_table(spark, sf).select("as_of_date", "symbol", "sector", "vol_30d", "cash")
-    gated = top_k(rows, BY, [F.col("cash").desc(), F.col("symbol")], 40)
-    return allocation.hrp_weights(gated, BY)
+    out = allocation.hrp_weights(rows, BY, gate=[F.col("cash").desc(), F.col("symbol")])
+    return out.select("as_of_date", "symbol", F.round("weight", 9).alias("weight"))
 
 
-@query("hrp_weights_sample_correlation", None, "B1 B4")
+@query(
+    "hrp_weights_sample_correlation",
+    recursive(with_inputs("npx", extra=SAMPLE | parity_sql("case when not isnan(kn.c) then kn.c end", "left join kn on kn.symbol = least(a.symbol, b.symbol) and kn.other = greatest(a.symbol, b.symbol)")))
+    + f" select symbol, {rnd('weight', 9)} as weight from parity",
+    "B1 B4",
+)
 def _hrp_sample(spark, sf):
-    r = monthly_returns(spark, sf).withColumn("g", F.lit("all"))
-    r = stage(r)
+    r = stage(monthly_returns(spark, sf).withColumn("g", F.lit("all")))
     c = r.groupBy("g", "symbol").agg((F.stddev_samp("ret") * 100).alias("vol_30d")).withColumn("sector", F.lit("Unknown"))
-    return allocation.hrp_weights(c, ["g"], r)
+    return allocation.hrp_weights(c, ["g"], r).select("symbol", F.round("weight", 9).alias("weight"))
 
 
-# one step at a time: position cap, each named sector, rescaling
-CAPS = {
-    **RAWW,
-    "lst": """select as_of_date, list(symbol order by symbol) as syms, list(coalesce(sector, 'Unknown') order by symbol) as secs, list(weight0 order by symbol) as w,
-      list_sort(list_distinct(list(sector) filter (sector <> 'Unknown'))) as names from sw group by 1""",
-    "it": """select *, 0 as k, w as before, false as done from lst union all
-      select as_of_date, syms, secs,
-        case when ph = 0 then list_transform(cut, lambda x: case when x < 0.06 and surplus > 0 and room > 0 then x * (1 + surplus / room) else x end)
-          when ph > len(names) then list_transform(w, lambda x: x / tot)
-          when held > 0.25 then list_transform(range(1, len(w) + 1), lambda i: w[i] * case when secs[i] = names[ph] then 0.25 / held when tot > held then 1 + (held - 0.25) / (tot - held) else 1 end)
-          else w end as w, names, k + 1, case when ph = 0 then w else before end,
-        ph > len(names) and list_max(list_transform(range(1, len(w) + 1), lambda i: abs(w[i] / tot - before[i]))) < 0.001
-      from (select *, list_sum(w) as tot, list_sum(w) - list_sum(cut) as surplus, coalesce(list_sum(list_filter(cut, lambda x: x < 0.06)), 0) as room,
-          list_sum(list_transform(range(1, len(w) + 1), lambda i: case when secs[i] = names[ph] then w[i] else 0 end)) as held
-        from (select *, k % (len(names) + 2) as ph, list_transform(w, lambda x: least(x, 0.06)) as cut from it where not done and k < 20 * (len(names) + 2)) a) b""",
-    "fin_caps": "select as_of_date, any_value(syms) as syms, arg_max(w, k) as w from it group by 1",
-}
+def caps_sql(source: str, weight: str, cap: float, sector_cap: float, out: str) -> dict[str, str]:
+    """Iterative caps of the rows ``source`` one step at a time: position cap, each named sector, rescaling."""
+    return {
+        f"{out}_l": f"""select as_of_date, list(symbol order by symbol) as syms, list(coalesce(sector, 'Unknown') order by symbol) as secs, list({weight} order by symbol) as w,
+          list_sort(list_distinct(list(sector) filter (sector <> 'Unknown'))) as names from {source} group by 1""",
+        f"{out}_i": f"""select *, 0 as k, w as before, false as done from {out}_l union all
+          select as_of_date, syms, secs,
+            case when ph = 0 then list_transform(cut, lambda x: case when x < {cap} and surplus > 0 and room > 0 then x * (1 + surplus / room) else x end)
+              when ph > len(names) then list_transform(w, lambda x: x / tot)
+              when held > {sector_cap} then list_transform(range(1, len(w) + 1), lambda i: w[i] * case when secs[i] = names[ph] then {sector_cap} / held when tot > held then 1 + (held - {sector_cap}) / (tot - held) else 1 end)
+              else w end as w, names, k + 1, case when ph = 0 then w else before end,
+            ph > len(names) and list_max(list_transform(range(1, len(w) + 1), lambda i: abs(w[i] / tot - before[i]))) < 0.001
+          from (select *, list_sum(w) as tot, list_sum(w) - list_sum(cut) as surplus, coalesce(list_sum(list_filter(cut, lambda x: x < {cap})), 0) as room,
+              list_sum(list_transform(range(1, len(w) + 1), lambda i: case when secs[i] = names[ph] then w[i] else 0 end)) as held
+            from (select *, k % (len(names) + 2) as ph, list_transform(w, lambda x: least(x, {cap})) as cut from {out}_i where not done and k < 20 * (len(names) + 2)) a) b""",
+        f"{out}_f": f"select as_of_date, any_value(syms) as syms, any_value(secs) as secs, arg_max(w, k) as w from {out}_i group by 1",
+        out: f"select as_of_date, unnest(syms) as symbol, unnest(secs) as sector, unnest(w) as weight from {out}_f",
+    }
 
 
 @query(
     "iterative_caps",
-    with_inputs("fin", extra=CAPS).replace("with ", "with recursive ", 1) + f" select as_of_date, symbol, {rnd('weight', 9)} as weight from (select as_of_date, unnest(syms) as symbol, unnest(w) as weight from fin_caps) z",
+    recursive(with_inputs("fin", extra=RAWW | caps_sql("sw", "weight0", 0.06, 0.25, "cp"))) + f" select as_of_date, symbol, {rnd('weight', 9)} as weight from cp",
     "B6",
 )
 def _caps(spark, sf):
@@ -331,12 +374,25 @@ def _caps(spark, sf):
     return out.select("as_of_date", "symbol", F.round("weight", 9).alias("weight"))
 
 
-@query("optimised_portfolio", None, "B2 B4 B5 B6 K3")
+OPT = {
+    **V30,
+    "cand": """select as_of_date as g, symbol, coalesce(sector, 'Unknown') as sector, abs(roe) * 100 as vol, sc
+      from (select *, row_number() over (partition by as_of_date order by sc desc nulls last, symbol) as rn from comp) z where rn <= 40""",
+    **parity_sql(),
+    "tilted": "select g, symbol, sector, weight * exp(0.5 * (sc - avg(sc) over w) / coalesce(nullif(stddev_pop(sc) over w, 0), 1)) as t from parity join cand using (g, symbol) window w as (partition by g)",
+    "t1": "select g as as_of_date, symbol, sector, t / sum(t) over (partition by g) as weight from tilted",
+    **caps_sql("t1", "weight", Constraints().max_weight, Constraints().max_sector, "c1"),
+    "t2": """select as_of_date, symbol, sector, weight / sum(weight) over (partition by as_of_date) as weight
+      from (select *, row_number() over (partition by as_of_date order by weight desc, symbol) as rn from c1) z where rn <= 20""",
+    **caps_sql("t2", "weight", Constraints().max_weight, Constraints().max_sector, "c2"),
+}
+
+
+@query("optimised_portfolio", recursive(with_inputs("fin", extra=OPT)) + f" select as_of_date, symbol, {even('weight', 4)} as weight from c2", "B2 B4 B5 B6 K3")
 def _optimise(spark, sf):
     scored = scores_v30.composite_v30(history_table(spark, sf), with_rank=False).withColumn("vol_30d", F.abs("roe") * 100)
-    return allocation.optimise(
-        scored.select("as_of_date", "symbol", "sector", "vol_30d", "score_composite_v30"), BY, score="score_composite_v30"
-    )
+    out = allocation.optimise(scored.select("as_of_date", "symbol", "sector", "vol_30d", "score_composite_v30"), BY, score="score_composite_v30")
+    return out.select("as_of_date", "symbol", "weight")
 
 
 # --- backtest ----------------------------------------------------------------------------------------------------

@@ -9,8 +9,6 @@ from checks.compare import check, duck
 
 SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 QUERIES, ORACLES = all_queries()
-#: The leaf order of a risk-parity tree has no SQL; test_portfolio.py checks it by brute force.
-NO_SQL = {"hrp_weights", "hrp_weights_sample_correlation", "optimised_portfolio"}
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +19,7 @@ def con():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     result = check(spark, con, name, QUERIES[name], ORACLES.get(name), SF)
-    assert result["status"] == ("rows-only" if name in NO_SQL else "ok"), result
+    assert result["status"] == "ok", result
 
 
 def test_every_operator_is_covered():

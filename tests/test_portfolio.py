@@ -62,18 +62,50 @@ def brute_ward(d):
 
 
 @pytest.mark.parametrize("seed", range(6))
-def test_leaf_order_against_brute_force(seed):
+def test_leaf_order_against_brute_force(spark, seed):
     rng = np.random.default_rng(seed)
     points = rng.normal(size=(9, 4))
     d = np.sqrt(((points[:, None] - points[None]) ** 2).sum(-1))
-    assert allocation.ward_leaf_order(d) == brute_ward(d)
+    rows = spark.createDataFrame([(d.tolist(),), ([[0.0]],)], "d array<array<double>>")
+    got = [r[0] for r in rows.select(allocation.ward_leaf_order(F.col("d"), F.size("d"))).collect()]
+    assert got == [brute_ward(d), [0]]
 
 
-def test_risk_parity_favours_low_variance():
-    rho = np.eye(4)
-    vol = np.array([0.1, 0.1, 0.4, 0.4])
-    w = allocation.risk_parity(np.outer(vol, vol) * rho, rho)
-    assert w.sum() == pytest.approx(1.0) and (w > 0).all()
+def brute_halves(variances):
+    if len(variances) == 1:
+        return [1.0]
+    mid = len(variances) // 2
+    left, right = np.mean(variances[:mid]), np.mean(variances[mid:])
+    share = right / (left + right) if left + right > 0 else 0.5
+    return [w * share for w in brute_halves(variances[:mid])] + [w * (1 - share) for w in brute_halves(variances[mid:])]
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 40])
+def test_halved_weights_against_brute_force(spark, n):
+    v = np.random.default_rng(n).uniform(0, 1, n).tolist()
+    got = spark.createDataFrame([(v,)], "v array<double>").select(allocation.halved_weights(F.col("v"), F.size("v"))).first()[0]
+    assert got == pytest.approx(brute_halves(v))
+
+
+def test_risk_parity_gates_its_candidates_and_keeps_rows(spark):
+    rows = [(k, f"s{i:02d}", None if i % 3 else "A", None if i == 4 else 10.0 + i, float(i)) for k in (1, 2) for i in range(50)]
+    df = spark.createDataFrame(rows, "p int, symbol string, sector string, vol_30d double, score double")
+    out = allocation.hrp_weights(df, ["p"], gate=[F.col("score").desc()], most=12).toPandas()
+    assert out.columns.tolist() == [*df.columns, "weight"] and sorted(set(out.symbol)) == [f"s{i}" for i in range(38, 50)]
+    assert out.groupby("p").weight.sum().to_numpy() == pytest.approx(np.ones(2)) and (out.weight > 0).all()
+    assert (out.vol_30d == 10.0 + out.score).all()
+    assert allocation.hrp_weights(df.where("false"), ["p"]).count() == 0
+
+
+def test_sample_correlation_moves_twins_together(spark):
+    rng = np.random.default_rng(2)
+    a, b = rng.normal(size=60), rng.normal(size=60)
+    series = {"a1": a, "a2": a + 0.01 * rng.normal(size=60), "b": b}
+    returns = [(1, s, i, float(x)) for s, v in series.items() for i, x in enumerate(v)]
+    names = spark.createDataFrame([(1, s, "X", 20.0) for s in series], "p int, symbol string, sector string, vol_30d double")
+    out = allocation.hrp_weights(names, ["p"], spark.createDataFrame(returns, "p int, symbol string, date int, ret double"))
+    w = {r["symbol"]: r["weight"] for r in out.collect()}
+    assert w["b"] == pytest.approx(0.5) and w["a1"] == pytest.approx(0.25)
 
 
 def test_caps_invariants(spark):
