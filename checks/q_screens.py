@@ -327,15 +327,27 @@ def _validate_universe(spark, sf):
     return validation.universe_warnings(validation.validate_rows(_to_validate(spark, sf), bounds=BOUNDS))
 
 
+@query(
+    "symbol_warnings",
+    with_inputs("fin", extra={"v": VALID_SQL, "w1": WARN_SQL}) + " select as_of_date, symbol, w as warnings from w1 where total_debt is not null",
+    "F18",
+)
+def _symbol_warnings(spark, sf):
+    out = validation.warnings_per_symbol(validation.validate_rows(_to_validate(spark, sf), bounds=BOUNDS))
+    return out.select("as_of_date", "symbol", F.concat_ws("|", "warnings").alias("warnings"))
+
+
 @query(
     "price_anomalies",
-    with_inputs("px", extra={"c": "select *, close / nullif(lag(close) over (partition by symbol order by date), 0) - 1 as ch from px"})
+    with_inputs("px", extra={"c": "select *, close / nullif(lag(close) over (partition by symbol order by date), 0) - 1 as ch, case when symbol not like '%3' then floor(close * 7) % 50 end as volume, floor(close * 13) % 90 * close as cap from px"})
     + f""" select symbol, date, {rnd('ch')} as daily_change, concat_ws('|', case when not (close between 1000.0 and 2000.0) then 'price_range' end,
-      case when abs(ch) > 0.5 then 'daily_change' end) as anomalies from c""",
+      case when abs(ch) > 0.5 then 'daily_change' end, case when volume < 20 then 'low_volume' end, case when cap < 50000 then 'low_market_cap' end) as anomalies from c""",
     "B25",
 )
 def _anomalies(spark, sf):
-    out = validation.price_anomalies(table(spark, sf, "px"), 1000.0, 2000.0)
+    volume, cap = F.floor(F.col("close") * 7) % 50, F.floor(F.col("close") * 13) % 90 * F.col("close")
+    px = table(spark, sf, "px").withColumns({"volume": F.when(~F.col("symbol").endswith("3"), volume), "market_cap": cap})
+    out = validation.price_anomalies(px, 1000.0, 2000.0, min_volume=20, min_market_cap=50000)
     return out.select("symbol", "date", F.round("daily_change", 6).alias("daily_change"), F.concat_ws("|", "anomalies").alias("anomalies"))
 
 

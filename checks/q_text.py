@@ -7,14 +7,15 @@ import uuid
 from pyspark.sql import functions as F
 
 from checks.derive import raw, table, with_inputs
-from checks.q_portfolio import BY, POS, metric_positions, oos_periods, positions, SUMM
+from checks.q_portfolio import AL, POS, SUMM, WF_SQL, _walk_forward_weights, oos_periods, portfolio_alert_rows, positions
 from checks.q_screens import DIRECTION_SQL
+from checks.q_series import PATH, STRESS, series_returns, stress_results
 from checks.registry import even, query, rnd
 from stratafin.functions import text as tx
-from stratafin.operators import alerts
 from stratafin.operators.overlay import reconcile_zero_list
+from stratafin.operators.series import simple_returns
 from stratafin.plans import compare, metrics
-from stratafin.session import stage_folder
+from stratafin.session import stage, stage_folder
 from stratafin.sources import readers, sinks, text_blocks
 
 
@@ -139,16 +140,17 @@ def _consensus_bad(spark, sf):
 TR_SQL = {
     "t": f"select *, event_id // 100 as doc, {LETTERS.format('symbol')} as tk, {DIRECTION_SQL} as direction from trades",
     "x": """select event_id, tk as ticker, 'Ann Lee' as insider_name, case when role = '' then '' else role end as role, trade_type, direction, (case when direction = 'Sell' then -1 else 1 end) * 2.5 as change_shares_millions, 12.25::double as avg_price,
-      round(value, 2) as v, 3000.0::double as shares_owned_millions, strftime(trade_date, '%Y-%m-%d') as trade_date from t where value > 0""",
+      round(round(abs(value), 2) + 0.01, 2) as v, 3000.0::double as shares_owned_millions, strftime(trade_date, '%Y-%m-%d') as trade_date from t""",
     "y": """select event_id, ticker, insider_name, role, trade_type, direction, change_shares_millions::double as change_shares_millions, avg_price, case when direction = 'Sell' then -v else v end as transaction_value_millions, shares_owned_millions, trade_date,
       case when trade_type like '%Tax%' then false when direction = 'Buy' and role in ('CEO', 'CFO', 'Director') then true else v > 1 end as is_informative from x""",
 }
 
 
 def insider_docs(spark, sf):
-    """About a hundred trades per capture; odd captures in the eight-line layout."""
-    t = table(spark, sf, "trades").where("value > 0").withColumn("doc", F.floor(F.col("event_id") / 100))
-    ticker, value = letters(F.col("symbol")), F.concat(F.lit("$"), F.round("value", 2).cast("string"), F.lit("M"))
+    """About a hundred trades per capture; odd captures in the eight-line layout, and every third with
+    its header on line 40."""
+    t = table(spark, sf, "trades").withColumn("doc", F.floor(F.col("event_id") / 100))
+    ticker, value = letters(F.col("symbol")), F.concat(F.lit("$"), F.format_string("%.2f", F.round(F.abs("value"), 2) + 0.01), F.lit("M"))
     date = F.col("trade_date").cast("string")
     title = F.concat(F.lit("id"), F.col("event_id").cast("string"))
     line = F.concat_ws("\t", ticker, F.concat_ws(" ", F.lit("Ann Lee"), F.col("role")), "trade_type", F.lit("2500K"), F.lit("$12.25"), value, F.lit("3B"), title, date, date)
@@ -157,7 +159,8 @@ def insider_docs(spark, sf):
     rows = t.select("doc", "event_id", F.when(F.col("doc") % 2 == 0, line).otherwise(block).alias("piece"))
     docs = rows.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("event_id", "piece"))).alias("p"))
     body = F.array_join(F.transform("p", lambda x: x["piece"]), "\n")
-    text = F.concat(F.lit("Stock\tInsider Trading\n\n"), body, F.when(F.col("doc") % 2 == 0, F.lit("\n---\nbad line")).otherwise(F.lit("\n")))
+    notes = F.when(F.col("doc") % 3 == 0, "a note before the table\n" * 39).otherwise("")
+    text = F.concat(notes, F.lit("Stock\tInsider Trading\n\n"), body, F.when(F.col("doc") % 2 == 0, F.lit("\n---\nbad line")).otherwise(F.lit("\n")))
     return docs.select(F.col("doc").cast("string").alias("doc_id"), text.alias("text"))
 
 
@@ -176,7 +179,7 @@ def _insider(spark, sf):
 
 @query(
     "insider_capture_errors",
-    with_inputs("trades", extra=TR_SQL) + " select 'too few columns' as error, count(distinct doc) as n from t where doc % 2 = 0 and value > 0",
+    with_inputs("trades", extra=TR_SQL) + " select 'too few columns' as error, count(distinct doc) as n from t where doc % 2 = 0",
     "T17",
 )
 def _insider_bad(spark, sf):
@@ -245,7 +248,9 @@ def fund_docs(spark, sf):
     )
     header = F.when(F.col("year") % 2 == 0, F.lit("Stock\tCompany\t%\td\ts\tv\tt\ta\tp\tsector\tdate\n")).otherwise(F.lit(""))
     doc_id = F.concat_ws("/", "fund", F.col("year").cast("string"), F.col("part").cast("string"))
-    return docs.select(doc_id.alias("doc_id"), F.concat(head, header, F.array_join(F.transform("p", lambda x: x["piece"]), "\n")).alias("text"))
+    late = F.when(F.col("part") % 2 == 0, "a note before the facts\n" * 12).otherwise("")
+    later = F.when(F.col("part") % 3 == 0, "a note before the table\n" * 25).otherwise("")
+    return docs.select(doc_id.alias("doc_id"), F.concat(late, head, later, header, F.array_join(F.transform("p", lambda x: x["piece"]), "\n")).alias("text"))
 
 
 @query(
@@ -331,7 +336,7 @@ def _zero(spark, sf):
 @query(
     "portfolio_documents_roundtrip",
     with_inputs("fin", extra=POS) + f" select as_of_date, symbol, sector, {rnd('weight')} as weight, revenue from pw",
-    "S10 S13",
+    "S13",
 )
 def _documents(spark, sf):
     path = folder(spark, "portfolio-json")
@@ -343,7 +348,7 @@ def _documents(spark, sf):
 @query(
     "portfolio_csv_roundtrip",
     with_inputs("fin", extra=POS) + f" select as_of_date, symbol, company, {rnd('weight')} as weight from pw",
-    "S12 S6",
+    "S12",
 )
 def _csv(spark, sf):
     path = folder(spark, "portfolio-csv")
@@ -364,6 +369,44 @@ def _cache(spark, sf):
     return readers.read_fundamentals_cache(spark, path, "1998-12-31").select("symbol", "as_of_date", "revenue", "equity")
 
 
+@query(
+    "snapshot_history",
+    with_inputs("fin", extra=POS) + f" select as_of_date as snapshot_date, symbol, sector, {rnd('weight')} as weight, revenue from pw",
+    "S10 S13",
+)
+def _snapshots(spark, sf):
+    """Two writes of different dates, the first of them rewritten: all dates come back, each once."""
+    path, rows = folder(spark, "snapshots"), stage(positions(spark, sf))
+    early = F.year("as_of_date") < 1996
+    sinks.write_portfolio_json(rows.where(early).withColumn("weight", F.col("weight") / 2), path)
+    sinks.write_portfolio_json(rows.where(~early), path)
+    sinks.write_portfolio_json(rows.where(early), path)
+    back = readers.read_snapshots(spark, path)
+    return back.select("snapshot_date", "symbol", "sector", F.round("weight", 6).alias("weight"), "revenue")
+
+
+@query(
+    "fundamentals_dated_store",
+    with_inputs("fin") + " select symbol, as_of_date, revenue, as_of_date = (select max(as_of_date) from fin) as newest from fin",
+    "S11",
+)
+def _dated_store(spark, sf):
+    """Dates written one after the other; the newest one is found from the markers."""
+    path, rows = folder(spark, "fundamentals-dated"), stage(table(spark, sf, "fin"))
+    for part in (F.year("as_of_date") % 2 == 0, F.year("as_of_date") % 2 == 1):
+        sinks.write_fundamentals(rows.where(part), path)
+    newest = sinks.complete_dates(spark, path)[-1]
+    return readers.read_fundamentals_cache(spark, path).select("symbol", "as_of_date", "revenue", (F.col("as_of_date") == F.lit(newest).cast("date")).alias("newest"))
+
+
+@query("benchmark_series_file", with_inputs("bench") + " select date, close, close / lag(close) over (order by date) - 1 as ret from bench", "S6 W5")
+def _benchmark_file(spark, sf):
+    path = folder(spark, "benchmark") + ".csv"
+    table(spark, sf, "bench").select("date", "close").write.option("header", True).csv(path)
+    back = readers.read_table(spark, path, "date date, close double").withColumn("symbol", F.lit("*"))
+    return simple_returns(back).select("date", "close", "ret")
+
+
 @query(
     "price_documents",
     with_inputs("px") + " select symbol, date, close from px",
@@ -405,11 +448,7 @@ def _consensus_json(spark, sf):
     fin = table(spark, sf, "fin")
     docs = fin.groupBy("as_of_date", F.floor(F.substring("symbol", 2, 10).cast("bigint") / 100)).agg(F.collect_list(stock).alias("stocks"))
     docs.select("as_of_date", "stocks").write.partitionBy("as_of_date").json(path)
-    marked = readers._json(spark, path, readers.CONSENSUS_SCHEMA, True)
-    newest = readers.newest_file(marked, stamp=F.regexp_extract("_file", r"as_of_date=(\d{4}-\d{2}-\d{2})", 1))
-    back = folder(spark, "consensus-newest")
-    newest.drop("_file").write.json(back)
-    return readers.read_consensus(spark, back, newest=False, lines=True).select("symbol", "gp_weight", "gp_buys", "gp_tier", "company", "current_price", "low_52w")
+    return readers.read_consensus(spark, path, newest=True, lines=True).select("symbol", "gp_weight", "gp_buys", "gp_tier", "company", "current_price", "low_52w")
 
 
 @query(
@@ -521,8 +560,50 @@ def _report(spark, sf):
     return back.select("n_configs", F.array_join(F.array_sort(F.map_keys("configs")), ",").alias("configs"))
 
 
-@query("alerts_written", with_inputs("fin") + " select count(*)::bigint as n_dates from (select distinct as_of_date from fin) z", "S14")
+@query(
+    "alerts_written",
+    with_inputs("fin", extra=AL) + f""" select as_of_date, ticker, rule, severity, {rnd('value', 4)} as value, count(*) over w as count, count(*) filter (where severity = 'high') over w as high
+      from al window w as (partition by as_of_date)""",
+    "S14",
+)
 def _alerts_written(spark, sf):
-    path = folder(spark, "alerts")
-    sinks.write_alerts(alerts.position_alerts(metric_positions(spark, sf), BY), path)
-    return spark.read.parquet(f"{path}/severity").agg(F.countDistinct("as_of_date").alias("n_dates"))
+    """Alert rows and their counts, written in two parts and read back together."""
+    path, rows = folder(spark, "alerts"), stage(portfolio_alert_rows(spark, sf))
+    for part in (F.year("as_of_date") < 1996, F.year("as_of_date") >= 1996):
+        sinks.write_alerts(rows.where(part), path)
+    counts = spark.read.parquet(f"{path}/severity").select("as_of_date", "count", "high")
+    return spark.read.parquet(f"{path}/alerts").join(counts, "as_of_date").select("as_of_date", "ticker", "rule", "severity", F.round("value", 4).alias("value"), "count", "high")
+
+
+REPORT = {**STRESS, **PATH, "mt": f"select portfolio_id, count(*) as n, min(date) as d0, {even('(product(1 + ret) - 1) * 100', 2)} as total, {even('min(dd) * 100', 2)} as md from pe group by 1 having count(*) >= 10"}
+
+
+@query(
+    "backtest_report_stress",
+    with_inputs("npx", "bench", extra=REPORT)
+    + """ select mt.portfolio_id, mt.n as num_periods, mt.d0 as start_date, mt.total as total_return, mt.md as max_drawdown, st."window" as stress_window, st.portfolio_return as stress_return, st.passed
+      from mt left join st using (portfolio_id)""",
+    "S15",
+)
+def _report_stress(spark, sf):
+    """The record of each backtest with its stress windows, written and read back."""
+    path = folder(spark, "backtest-report")
+    report = sinks.backtest_report(metrics.performance_metrics(series_returns(spark, sf), ["portfolio_id"]), stress=stress_results(spark, sf))
+    sinks.write_backtest_report(report, path)
+    back = spark.read.schema(report.schema).json(f"{path}/report")
+    rows = back.select("portfolio_id", "period", "returns", "risk", F.explode_outer("stress_tests").alias("s"))
+    return rows.select("portfolio_id", "period.num_periods", "period.start_date", "returns.total_return", "risk.max_drawdown", F.col("s.window").alias("stress_window"), F.col("s.portfolio_return").alias("stress_return"), "s.passed")
+
+
+@query(
+    "backtest_report_holdings",
+    with_inputs("fin", "px", extra=WF_SQL) + f" select rd as rebalance_date, symbol, {rnd('weight')} as weight from qw",
+    "S15",
+)
+def _report_holdings(spark, sf):
+    """The positions of every rebalance as rows beside the record."""
+    path = folder(spark, "backtest-holdings")
+    held = stage(_walk_forward_weights(spark, sf))
+    record = held.groupBy(F.lit("strategy").alias("portfolio_id")).agg(F.min("rebalance_date").alias("start_date"), F.countDistinct("rebalance_date").alias("num_periods"))
+    sinks.write_backtest_report(sinks.backtest_report(record), path, held)
+    return spark.read.parquet(f"{path}/holdings").select("rebalance_date", "symbol", F.round("weight", 6).alias("weight"))

@@ -70,8 +70,8 @@ def universe_warnings(df: DataFrame, by: Sequence[str] = ("as_of_date",)) -> Dat
 
 
 def warnings_per_symbol(df: DataFrame, by: Sequence[str] = ("as_of_date", "symbol")) -> DataFrame:
-    """Valid rows with their own warnings (one row per symbol and date)."""
-    return df.where(F.col("is_valid") & (F.size("warnings") > 0)).select(*by, "warnings")
+    """Valid rows, each with its own warnings, empty or not (one row per symbol and date)."""
+    return df.where(F.col("is_valid")).select(*by, "warnings")
 
 
 def price_anomalies(
@@ -80,8 +80,10 @@ def price_anomalies(
     max_price: float = 10_000.0,
     max_daily_change: float = 0.50,
     min_volume: float | None = None,
+    min_market_cap: float | None = None,
 ) -> DataFrame:
-    """Flag rows outside the price range or with an extreme one-step change."""
+    """Flag rows outside the price range or with an extreme one-step change and, where a limit is
+    given, those below a daily ``volume`` or a ``market_cap``.  A missing value raises no flag."""
     w = Window.partitionBy("symbol").orderBy("date")
     change = F.col("close") / F.nullif(F.lag("close").over(w), F.lit(0.0)) - 1
     reasons = [
@@ -90,6 +92,8 @@ def price_anomalies(
     ]
     if min_volume is not None:
         reasons.append((F.col("volume") < min_volume, "low_volume"))
+    if min_market_cap is not None:
+        reasons.append((F.col("market_cap") < min_market_cap, "low_market_cap"))
     out = prices.withColumn("_change", change)
     return out.withColumn("anomalies", _messages(reasons)).withColumnRenamed("_change", "daily_change")
 

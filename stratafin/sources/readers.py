@@ -75,8 +75,9 @@ def _json(spark: SparkSession, path: str | Sequence[str], schema: str, lines: bo
 
 
 def newest_file(df: DataFrame, by: Sequence[str] = (), stamp: Column | None = None) -> DataFrame:
-    """Rows of the newest file per key, by the date in its name (or ``stamp``)."""
-    when = stamp if stamp is not None else F.regexp_extract("_file", r"(\d{4}-\d{2}-\d{2})[^/]*$", 1)
+    """Rows of the newest file per key, by the date in its name, else in its folder's (or ``stamp``)."""
+    own, above = (F.nullif(F.regexp_extract("_file", p, 1), F.lit("")) for p in (r"(\d{4}-\d{2}-\d{2})[^/]*$", r"(\d{4}-\d{2}-\d{2})[^/]*/[^/]*$"))
+    when = stamp if stamp is not None else F.coalesce(own, above, F.lit(""))
     marked = df.withColumn("_stamp", when)
     newest = marked.groupBy(*by).agg(F.max("_stamp").alias("_stamp"))
     # one row per file and key on the right; the files themselves are never collected
@@ -255,12 +256,13 @@ def read_statements(spark: SparkSession, path, lines: bool = False) -> DataFrame
 
 
 def read_snapshots(spark: SparkSession, folder: str) -> DataFrame:
-    """All dated portfolio snapshots ``<folder>/<yyyy-mm-dd>/portfolio.json``: one row per position.
+    """All dated portfolio snapshots, one row per position: ``<folder>/<yyyy-mm-dd>/portfolio.json`` or
+    the dated store of ``sinks.write_portfolio_json``, ``<folder>/as_of_date=<yyyy-mm-dd>/part-*``.
 
     Undated folders (such as ``latest``) and empty portfolios fall out.
     """
-    docs = _json(spark, f"{folder.rstrip('/')}/*/portfolio.json", SNAPSHOT_SCHEMA)
-    date = F.regexp_extract("_file", r"/(\d{4}-\d{2}-\d{2})/[^/]+$", 1)
+    docs = _json(spark, f"{folder.rstrip('/')}/*/{{portfolio,part-}}*.json", SNAPSHOT_SCHEMA)
+    date = F.regexp_extract("_file", r"[/=](\d{4}-\d{2}-\d{2})/[^/]+$", 1)
     rows = docs.where(date != "").select(date.cast("date").alias("snapshot_date"), F.explode("portfolio").alias("p"))
     out = rows.select("snapshot_date", "p.*")
     return out.withColumn("price", F.coalesce("price", "td_price")).drop("td_price")

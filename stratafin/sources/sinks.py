@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratafin.functions.scalar import half_even
@@ -32,13 +32,50 @@ def finite(df: DataFrame) -> DataFrame:
     return df.withColumns(clean) if clean else df
 
 
+#: Folder of completion markers beside the dates of a store; readers of the store pass over it.
+MARKERS = "_complete"
+
+
+def write_dated(df: DataFrame, path: str, by: Sequence[str], kind: str = "parquet", **options) -> None:
+    """Write the dates (first of ``by``) that ``df`` holds and leave all other dates of the store alone.
+
+    A date that is there already is replaced.  Its marker goes before its files are touched and comes
+    back, with the number of rows, when they are all in place, so a write that fails half way leaves
+    a date without a marker (``complete_dates``).
+    """
+    spark, rows = df.sparkSession, stage(df)
+    counts = stage(rows.groupBy(by[0]).agg(F.count(F.lit(1)).alias("rows")))
+    store = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).options(**options)
+    markers = f"{path.rstrip('/')}/{MARKERS}"
+    for date in [r[0] for r in counts.select(F.col(by[0]).cast("string")).collect()]:  # a row per date written
+        _delete(spark, f"{markers}/{by[0]}={date}")
+    store.format(kind).save(path)
+    counts.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by[0]).json(markers)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def complete_dates(spark: SparkSession, path: str, by: str = "as_of_date") -> list[str]:
+    """Dates of a store that were written to the end, ascending, from the names of their markers;
+    no file is read.  The store holds a folder per date, so the list is short."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{MARKERS}")
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return []
+    names = [f.getPath().getName() for f in files.listStatus(root)]
+    return sorted(n.split("=", 1)[1] for n in names if n.startswith(f"{by}="))
+
+
 def export_rows(portfolio: DataFrame, by: Sequence[str]) -> DataFrame:
     present = [c for c in EXPORT_COLUMNS if c in portfolio.columns]
     return finite(portfolio.select(*by, *[c for c in present if c not in by]))
 
 
 def write_portfolio_csv(portfolio: DataFrame, path: str, by: Sequence[str] = ("as_of_date",)) -> None:
-    export_rows(portfolio, by).write.mode("overwrite").partitionBy(*by).option("header", True).csv(path)
+    write_dated(export_rows(portfolio, by), path, by, "csv", header="true")
 
 
 def portfolio_documents(portfolio: DataFrame, by: Sequence[str] = ("as_of_date",), version: str = "3.0") -> DataFrame:
@@ -77,7 +114,7 @@ def _with_metric_columns(df: DataFrame) -> DataFrame:
 
 
 def write_portfolio_json(portfolio: DataFrame, path: str, by: Sequence[str] = ("as_of_date",), version: str = "3.0") -> None:
-    portfolio_documents(portfolio, by, version).write.mode("overwrite").partitionBy(*by).json(path)
+    write_dated(portfolio_documents(portfolio, by, version), path, by, "json")
 
 
 def read_portfolio_documents(spark, path: str, by: str = "as_of_date") -> DataFrame:
@@ -89,15 +126,15 @@ def read_portfolio_documents(spark, path: str, by: str = "as_of_date") -> DataFr
 
 
 def write_alerts(alerts: DataFrame, path: str, by: Sequence[str] = ("as_of_date",)) -> None:
-    """Alert rows and their severity counts as two tables."""
+    """Alert rows and their severity counts as two tables; dates that are not written stay."""
     alerts = stage(alerts)
-    alerts.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/alerts")
-    severity_counts(alerts, by).write.mode("overwrite").parquet(f"{path}/severity")
+    write_dated(alerts, f"{path}/alerts", by)
+    write_dated(severity_counts(alerts, by), f"{path}/severity", by)
 
 
 def write_fundamentals(df: DataFrame, path: str, date: str = "as_of_date") -> None:
-    """One partition per date; each date's rows are spread over the writers by symbol."""
-    df.write.mode("overwrite").partitionBy(date).parquet(path)
+    """One partition per date; dates that are not written stay."""
+    write_dated(df, path, [date])
 
 
 #: fixed values: sections of a backtest report and the metric columns in each
@@ -112,13 +149,11 @@ REPORT_SECTIONS = {
 }
 
 
-def backtest_report(
-    metrics: DataFrame, keys: Sequence[str] = ("portfolio_id",), stress: DataFrame | None = None, holdings: DataFrame | None = None
-) -> DataFrame:
+def backtest_report(metrics: DataFrame, keys: Sequence[str] = ("portfolio_id",), stress: DataFrame | None = None) -> DataFrame:
     """One nested record per portfolio; sections keep the columns that are present.
 
-    ``stress`` rows (a fixed list of windows) and ``holdings`` rows per rebalance
-    date are attached as arrays, both bounded per portfolio.
+    ``stress`` rows (a fixed list of windows) are attached as an array.  Holdings grow with the number
+    of rebalances and are written as rows of their own (``write_backtest_report``).
     """
     have = set(metrics.columns)
     sections = [
@@ -127,12 +162,18 @@ def backtest_report(
         if have & set(cols)
     ]
     out = metrics.select(*keys, *sections)
-    for name, part in (("stress_tests", stress), ("holdings_history", holdings)):
-        if part is not None:
-            payload = [c for c in part.columns if c not in keys]
-            folded = part.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*payload))).alias(name))
-            out = out.join(folded, list(keys), "left")
-    return out
+    if stress is None:
+        return out
+    payload = [c for c in stress.columns if c not in keys]
+    folded = stress.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*payload))).alias("stress_tests"))
+    return out.join(folded, list(keys), "left")
+
+
+def write_backtest_report(report: DataFrame, path: str, holdings: DataFrame | None = None, by: str = "rebalance_date") -> None:
+    """Records under ``report``; the positions of every rebalance as rows under ``holdings``, by date."""
+    write_report(report, f"{path}/report")
+    if holdings is not None:
+        write_dated(holdings, f"{path}/holdings", [by])
 
 
 def write_report(report: DataFrame, path: str) -> None:

@@ -119,33 +119,42 @@ def _cells_of(line: Column, has_tab: Column, keep_blank_tabs: bool) -> Column:
     return F.when(has_tab, by_tab).otherwise(by_gap)
 
 
-def _insider_body(docs: DataFrame) -> DataFrame:
-    """``doc_id, has_tab, lines`` after the header line, with the detected layout."""
+def _within(lines: Column, n: int | None) -> Column:
+    """All lines, or the first ``n``."""
+    return lines if n is None else F.slice(lines, 1, n)
+
+
+def _insider_body(docs: DataFrame, header_within: int | None, layout_within: int | None) -> DataFrame:
+    """``doc_id, has_tab, lines`` after the header line, with the detected layout.
+
+    The first line that reads like a header is one if no trade line comes before it.
+    """
     rows = docs.select("doc_id", F.contains("text", F.lit("\t")).alias("has_tab"), clean_lines().alias("_all"))
-    lower = F.transform(F.slice("_all", 1, 5), lambda x: F.lower(x))
-    is_header = F.transform(
-        lower, lambda x: F.contains(x, F.lit("stock")) & (F.contains(x, F.lit("insider")) | F.contains(x, F.lit("trade")))
-    )
-    start = F.array_position(is_header, F.lit(True))
-    body = F.slice("_all", start.cast("int") + 1, F.greatest(F.size("_all") - start.cast("int"), F.lit(0)))
-    rows = rows.withColumn("lines", body).drop("_all")
-    wide = F.exists(F.slice("lines", 1, 30), lambda x: F.size(_cells_of(x, F.col("has_tab"), False)) >= 7)
-    return rows.withColumn("row_layout", wide)
+    wide = lambda x: F.size(_cells_of(x, F.col("has_tab"), False)) >= 7
+    like_header = lambda x: F.contains(x, F.lit("stock")) & (F.contains(x, F.lit("insider")) | F.contains(x, F.lit("trade")))
+    kinds = F.transform(_within(F.col("_all"), header_within), lambda x: F.when(like_header(F.lower(x)), 1).when(wide(x), 2).otherwise(0))
+    rows = rows.withColumn("_kinds", kinds)
+    header, trade = F.array_position("_kinds", F.lit(1)).cast("int"), F.array_position("_kinds", F.lit(2)).cast("int")
+    start = F.when((trade > 0) & (header > trade), 0).otherwise(header)
+    body = F.slice("_all", start + 1, F.greatest(F.size("_all") - start, F.lit(0)))
+    rows = rows.withColumn("lines", body).drop("_all", "_kinds")
+    return rows.withColumn("row_layout", F.exists(_within(F.col("lines"), layout_within), wide))
 
 
 _TAB_BLOCK = r"(?m)^[A-Z]{1,6}(?:[ ]*\t[^\n]*)?\n(?:[^\n]*\n){6}[^\n]*$"
 _GAP_BLOCK = r"(?m)^[A-Z]{1,6}(?:[ ]{2,}[^\n]*)?\n(?:[^\n]*\n){6}[^\n]*$"
 
 
-def parse_insider(docs: DataFrame) -> DataFrame:
-    """One trade per line, or eight lines per trade, chosen per capture.
+def parse_insider(docs: DataFrame, header_within: int | None = None, layout_within: int | None = None) -> DataFrame:
+    """One trade per line, or eight lines per trade, chosen per capture from all its lines; the header
+    and the layout may be looked for in the first so many lines only.
 
     In line layout the ticker column is found by its shape.  In block layout the
     expression consumes a whole block per match, so a role such as CEO inside a
     block is never mistaken for a ticker.  Both layouts are cut into pieces
     first and share one explode, so a capture is read and split once.
     """
-    body = _insider_body(docs)
+    body = _insider_body(docs, header_within, layout_within)
     pattern = F.when(F.col("has_tab"), F.lit(_TAB_BLOCK)).otherwise(F.lit(_GAP_BLOCK))
     blocks = F.regexp_extract_all(F.array_join("lines", "\n"), pattern, F.lit(0))
     pieces = body.select(
@@ -233,23 +242,36 @@ def institutional_errors(rows: DataFrame) -> DataFrame:
     return rows.withColumn("errors", F.array_compact(F.array(*[F.when(holds(c), F.lit(m)) for c, m in checks])))
 
 
+#: Cells from which on a line of a fund capture belongs to its table.
+TABLE_CELLS = 10
+
 # --- fund captures ---------------------------------------------------------------------------------------------
 
 
-def parse_fund_headers(docs: DataFrame) -> DataFrame:
-    """Fund name, manager, performance, assets and holdings count from the first ten lines."""
-    rows = docs.select("doc_id", clean_lines().alias("lines")).withColumn("_head", F.slice("lines", 1, 10))
+def _tab_cells(line: Column) -> Column:
+    return F.size(F.split(line, "\t"))
+
+
+def parse_fund_headers(docs: DataFrame, within: int | None = None) -> DataFrame:
+    """Fund name, manager, performance, assets and holdings count, from the first title and the first
+    line of facts of a capture, wherever they are (or among its first ``within`` lines).
+
+    A table row is no line of facts, and what follows the first table row doesn't end the header.
+    """
+    rows = docs.select("doc_id", clean_lines().alias("lines")).withColumn("_head", _within(F.col("lines"), within))
     titles = F.filter("_head", lambda x: F.contains(x, F.lit("13F Portfolio")))
     infos = F.filter(
         "_head",
-        lambda x: (F.contains(x, F.lit("|")) | F.contains(x, F.lit("\t"))) & F.contains(x, F.lit("%")) & ~F.contains(x, F.lit("13F Portfolio")),
+        lambda x: (F.contains(x, F.lit("|")) | F.contains(x, F.lit("\t"))) & F.contains(x, F.lit("%")) & ~F.contains(x, F.lit("13F Portfolio")) & (_tab_cells(x) < TABLE_CELLS),
     )
     info = F.try_element_at(infos, F.lit(1))
+    at = F.coalesce(F.array_position("_head", info), F.lit(0)).cast("int")
+    table = F.array_position(F.transform("_head", lambda x: _tab_cells(x) >= TABLE_CELLS), F.lit(True)).cast("int")
     rows = rows.withColumns(
         {
             "_manager": F.nullif(F.regexp_extract(F.coalesce(F.try_element_at(titles, F.lit(1)), F.lit("")), r"(?i)^(.+?)\s+13F\s+Portfolio$", 1), F.lit("")),
             "_info": info,
-            "header_lines": F.coalesce(F.array_position("_head", info), F.lit(0)).cast("int"),
+            "header_lines": F.when((table > 0) & (at > table), 0).otherwise(at),
         }
     )
     parts = F.transform(F.split(F.coalesce("_info", F.lit("")), F.when(F.contains(F.col("_info"), F.lit("|")), F.lit(r"\|")).otherwise(F.lit("\t"))), lambda x: F.trim(x))
@@ -269,7 +291,7 @@ def parse_fund_headers(docs: DataFrame) -> DataFrame:
         "doc_id",
         F.when(named, first).alias("fund_name"),
         F.coalesce("_manager", F.nullif(_cell("_p", 1), F.lit(""))).alias("portfolio_manager"),
-        last_number(F.slice("_p", 1, 4), r"(\d+\.?\d*)%", lambda v: (v > 0) & (v < 100)).alias("performance_3y"),
+        last_number(F.col("_p"), r"(\d+\.?\d*)%", lambda v: (v > 0) & (v < 100)).alias("performance_3y"),
         F.when(unit == "T", aum * 1000).otherwise(aum).alias("aum_billions"),
         last_number(F.col("_p"), r"^(\d+)$", lambda v: v >= 0).cast("int").alias("total_holdings"),
         "header_lines",
@@ -300,13 +322,14 @@ def _holding_columns(df: DataFrame, keep: list[str]) -> DataFrame:
     )
 
 
-def parse_fund_holdings(docs: DataFrame) -> DataFrame:
-    """Fund holdings in table or block layout, chosen per capture from its first 20 body lines."""
-    heads = parse_fund_headers(docs)
+def parse_fund_holdings(docs: DataFrame, header_within: int | None = None, layout_within: int | None = None) -> DataFrame:
+    """Fund holdings in table or block layout, chosen per capture from all its body lines (or the first
+    ``layout_within``)."""
+    heads = parse_fund_headers(docs, header_within)
     body = heads.select(
         "doc_id", "fund_name", F.slice("lines", F.col("header_lines") + 1, F.greatest(F.size("lines") - F.col("header_lines"), F.lit(0))).alias("body")
     )
-    is_table = F.exists(F.slice("body", 1, 20), lambda x: F.size(F.split(x, "\t")) >= 10)
+    is_table = F.exists(_within(F.col("body"), layout_within), lambda x: _tab_cells(x) >= TABLE_CELLS)
     body = body.withColumn("layout", F.when(is_table, "table").otherwise("vertical"))
     blocks = F.regexp_extract_all(F.array_join("body", "\n"), F.lit(_HOLDING_BLOCK), F.lit(0))
     def is_holding(x: Column) -> Column:

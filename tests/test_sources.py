@@ -163,3 +163,37 @@ def test_captures_stream(spark, tmp_path):
     finally:
         q.stop()
     assert [(r.ticker, r.buys, r.net_value_millions) for r in rows] == [("AAPL", 1, 1.5)]
+
+
+def test_dated_store_keeps_other_dates_and_marks_complete_ones(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = lambda dates, v: spark.createDataFrame([(d, "a", v) for d in dates], "as_of_date string, symbol string, x int").withColumn("as_of_date", F.col("as_of_date").cast("date"))
+    read = lambda: sorted((str(r["as_of_date"]), r["x"]) for r in spark.read.parquet(path).collect())
+    assert sinks.complete_dates(spark, path) == []
+    sinks.write_fundamentals(rows(["2024-01-31", "2024-02-29"], 1), path)
+    sinks.write_fundamentals(rows(["2024-02-29", "2024-03-31"], 2), path)
+    assert read() == [("2024-01-31", 1), ("2024-02-29", 2), ("2024-03-31", 2)]
+    assert sinks.complete_dates(spark, path) == ["2024-01-31", "2024-02-29", "2024-03-31"]
+    broken = rows(["2024-03-31"], 3)
+    with pytest.raises(Exception):
+        sinks.write_dated(broken.withColumn("bad", F.expr("raise_error('stop')")), path, ["as_of_date"])
+    sinks.write_fundamentals(rows([], 0), path)
+    assert read()[-1] == ("2024-03-31", 2) and len(sinks.complete_dates(spark, path)) == 3
+    assert readers.read_fundamentals_cache(spark, path, "2024-02-29").count() == 1
+
+
+def test_late_headers_and_tables_are_found(spark):
+    note = "just a note\n"
+    row = "\t".join(["AAPL", "Apple", "1.5%", "0.1%", "8.57M", "$ 2M", "$ 1M", "-3% (-4M)", "$1 (+2%)", "Tech", "2025-09-30"])
+    facts = "Jane Roe 13F Portfolio\nSome Fund | Someone | a | b | 7.17% | $1.5T | 3\n"
+    texts = [note * 15 + facts + note * 30 + row + "\n" + row.replace("AAPL", "MSFT"), row + "\nfoot\t5%\n", "\n".join([note * 40, facts])]
+    got = text_blocks.parse_fund_holdings(docs(spark, *texts)).collect()
+    assert sorted((r.fund_name, r.ticker) for r in got) == sorted([("Some Fund", "AAPL"), ("Some Fund", "MSFT"), ("foot", "AAPL")])
+    heads = text_blocks.parse_fund_headers(docs(spark, *texts)).collect()
+    assert [h.performance_3y for h in heads] == [7.17, 5.0, 7.17]
+    assert text_blocks.parse_fund_holdings(docs(spark, texts[0]), layout_within=20).count() == 0
+    trade = "AAPL\tAnn Lee CEO\tSale\t2500K\t$12.25\t$1M\t3B\tx\t2025-01-02\t2025-01-03\n"
+    late = note * 40 + "Stock\tInsider trades\n" + trade
+    early = trade + "MSFT\tstock trade\tSale\t2500K\t$12.25\t$1M\t3B\tx\t2025-01-02\t2025-01-03\n"
+    got = text_blocks.parse_insider(docs(spark, late, early)).where("error is null").collect()
+    assert sorted(r.ticker for r in got) == ["AAPL", "AAPL", "MSFT"]
