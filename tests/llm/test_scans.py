@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks.compare import check, duck
-from stratafin.llm import decontaminate, license_scan, secret_scan
+from stratafin.llm import decontaminate, license_scan, license_texts, secret_scan
 from stratafin.llm.queries import ORACLES, QUERIES
 
 from .conftest import ODD, SF
@@ -104,6 +104,55 @@ def test_licences_are_inherited_from_the_nearest_directory(spark, odd, empty):
     assert license_scan.scan(odd.withColumn("path", F.lit("a"))).count() == odd.count()
 
 
+def licence_files():
+    """(expected licence, text) of headers and licence files as they are found in the wild."""
+    L = license_texts
+    mit = f"{L._MIT}\n\n{L._MIT_REST}"
+    bsd2 = f"{L._BSD}\n\n{L._BSD_TWO}\n\n{L._BSD_REST}"
+    bsd3 = f"{L._BSD}\n\n{L._BSD_TWO}\n\n{L._BSD_THIRD}\n\n{L._BSD_REST}"
+    apache = f"{L._APACHE}\n\n{L._APACHE_REST}"
+    gnu = {name: f"{L._GNU}\n\n{L._GNU_REST}".format(what=what, kind=kind, version=v) for name, kind, what, v, _, _ in L._GNU_KINDS}
+    owner = "Copyright (c) 2019 Jane Roe and others. All rights reserved.\n\n"
+    whole = [("MIT", mit), ("ISC", f"{L._ISC}\n\n{L._ISC_REST}"), ("BSD-2-Clause", bsd2), ("BSD-3-Clause", bsd3), ("Apache-2.0", apache), ("MPL-2.0", L._MPL), *gnu.items()]
+    code = "\nimport os\n\n\ndef main(argv):\n    return os.path.join(*argv) if argv else None\n" * 20
+    out = []
+    for name, text in whole:
+        line = " ".join(text.split())
+        out += [(name, owner + text), (name, owner + line), (name, line + "\n\n" + code)]
+        marked = "\n".join(f"# {x}".rstrip() for x in (owner + text).split("\n"))
+        out += [(name, "#!/usr/bin/env python\n" + marked + code), (name, f"/*\n{owner}{text}\n*/\n{code}")]
+    for name, spdx, _ in L.SPDX:
+        out.append((name, f"// SPDX-License-Identifier: {spdx}\n{code}"))
+    for name, kind, _, _, date, _ in L._GNU_KINDS:
+        body = "Preamble\n\nThe licenses for most software are designed to take away your freedom to share and change it.\n\n" * 5
+        out.append((name, f"GNU {kind.upper()} PUBLIC LICENSE\n   {date}\n\n{body}\n13. Use with the GNU Affero General Public License.\n"))
+    out += [
+        ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+        ("GPL-3.0", "Some prose.\nThis work is licensed under the GNU\nGeneral Public License, version 3. More prose."),
+        ("Apache-2.0", "                Apache License\n           Version 2.0, January 2004\n        http://www.apache.org/licenses/\n\n" + "terms and more words of it. " * 50),
+        ("MPL-2.0", "Mozilla Public License Version 2.0\n==================================\n\n" + "1. Definitions and what they mean here\n\n" * 30),
+        (None, "Licensed under the Apache License, Version 1.1."),
+        (None, "This work is licensed under the GNU General Public License, version 1."),
+        (None, "You need a license to drive, and permission is granted by the office. " * 5),
+    ]
+    return out
+
+
+def test_headers_and_licence_files(spark):
+    cases = licence_files()
+    rows = [(i, f"d{i}/x.txt", t) for i, (_, t) in enumerate(cases)] + [(1000 + i, f"z{i}/x.txt", "the plain words of a story and of the people in it " * 9) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = {r["doc_id"]: r["licence"] for r in license_scan.scan(docs).collect()}
+    assert [(i, n, got[i], t[:60]) for i, (n, t) in enumerate(cases) if got[i] != n] == []
+    assert all(got[1000 + i] is None for i in range(60))
+
+
+def test_many_blank_lines_and_comments(spark):
+    long = "\n" * 50_000 + "# a\n" * 50_000 + "/*" * 20_000 + "\nReleased under the MIT License.\n"
+    docs = spark.createDataFrame([(1, "a", long)], "doc_id long, path string, text string")
+    assert license_scan.scan(docs).first()["licence"] == "MIT"
+
+
 def plain_contamination(docs, items, window):
     words = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
     out = []
