@@ -8,8 +8,8 @@ from __future__ import annotations
 
 #: Licence, words that tell it (and its version) from its relatives, and its names in prose.
 NAMES = [
-    ("MIT", ["mit"], ["the MIT License"]),
-    ("ISC", ["isc"], ["the ISC License"]),
+    ("MIT", ["mit", "license"], ["the MIT License"]),
+    ("ISC", ["isc", "license"], ["the ISC License"]),
     ("BSD-2-Clause", ["bsd", "2"], ["the BSD 2-Clause License"]),
     ("BSD-3-Clause", ["bsd", "3"], ["the BSD 3-Clause License"]),
     ("Apache-2.0", ["apache", "2"], ["the Apache License, Version 2.0"]),
