@@ -10,7 +10,7 @@ from checks.q_scores30 import V30, history_table
 from checks.q_series import FACTORS, PATH, QSTARTS, SER, STRESS, W, benchmark_returns, quarter_instants, series_returns, stress_results
 from checks.registry import even, pct, query, rnd, steps
 from stratafin import params as P
-from stratafin.operators import alerts, allocation, scores_v30, weights
+from stratafin.operators import alerts, allocation, rebalance, scores_v30, weights
 from stratafin.operators.ranking import top_k
 from stratafin.operators.series import simple_returns
 from stratafin.params import Constraints, Publication
@@ -245,6 +245,36 @@ def _budget(spark, sf):
     return weights.turnover_budget(per, ["portfolio_id"]).select("year", F.round("turnover", 6).alias("turnover"), "over_budget")
 
 
+HELD = {
+    **POS,
+    "st": "select row_number() over (order by as_of_date) as k, as_of_date as date, map(list(symbol), list(weight)) as t from pw group by as_of_date",
+    "fold": """select k, date, t, t as held, 0.0::double as spent, 0.0::double as used from st where k = 1
+      union all
+      select k, date, t, map([r.s for r in moved if r.w > 0], [r.w for r in moved if r.w > 0]), spent, before + spent from (
+        select k, date, t, before, wanted * part as spent, [{'s': r.s, 'w': case when part = 1 then r.w else r.h + part * (r.w - r.h) end} for r in prop] as moved from (
+          select *, case when wanted > greatest(0.80 - before, 0) then greatest(0.80 - before, 0) / wanted else 1.0::double end as part from (
+            select *, list_sum([abs(r.w - r.h) for r in prop]) / 2 as wanted from (
+              select k, date, t, before, [{'s': r.s, 'h': r.h, 'w': r.w / total} for r in raw] as prop from (
+                select *, list_sum([r.w for r in raw]) as total from (
+                  select k, date, t, before, [{'s': r.s, 'h': r.h, 'w': case when r.h > 0 and r.x > 0 and abs(r.x - r.h) < 0.01 then r.h else r.x end} for r in sides] as raw from (
+                    select st.k, st.date, st.t, case when year(st.date) = year(fold.date) then fold.used else 0 end as before,
+                      [{'s': s, 'h': coalesce(map_extract(fold.held, s)[1], 0), 'x': coalesce(map_extract(st.t, s)[1], 0)} for s in list_distinct(list_concat(map_keys(fold.held), map_keys(st.t)))] as sides
+                    from fold join st on st.k = fold.k + 1) a) b) c) d) e) f) g""",
+    "each": "select date, t, spent, used, unnest(map_entries(held)) as e from fold",
+}
+
+
+@query(
+    "held_weights",
+    with_inputs("fin", extra=HELD).replace("with ", "with recursive ", 1)
+    + f" select date, e.key as symbol, {rnd('e.value')} as weight, {rnd('coalesce(map_extract(t, e.key)[1], 0)')} as target_weight, {rnd('spent')} as turnover, {rnd('used')} as turnover_year from each",
+    "B23",
+)
+def _held(spark, sf):
+    out = rebalance.held_weights(snapshot_rows(spark, sf), ["portfolio_id"])
+    return out.select("date", "symbol", *[F.round(c, 6).alias(c) for c in ("weight", "target_weight", "turnover", "turnover_year")])
+
+
 # --- correlation and allocation --------------------------------------------------------------------------------
 
 MON = {

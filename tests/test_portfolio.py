@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from stratafin.operators import allocation, weights
+from stratafin.operators import allocation, rebalance, weights
 from stratafin.params import Constraints
 from stratafin.plans import backtest, calendar, metrics
 
@@ -289,3 +289,52 @@ def test_rebalance_calendars(spark):
         calendar.rebalance_dates(days, "D")
     starts = [r.date for r in calendar.quarter_starts(days.sparkSession, "2020-01-15", "2020-12-31").collect()]
     assert starts == [dt.date(2020, 4, 1), dt.date(2020, 7, 1), dt.date(2020, 10, 1)]
+
+
+def plain_held(targets, zone, budget):
+    """{date: (held, turnover, used)} of one portfolio; ``targets``: {date: {symbol: weight}}."""
+    held, year, used, out = None, None, 0.0, {}
+    for day in sorted(targets):
+        want, used = targets[day], used if day.year == year else 0.0
+        year, spent = day.year, 0.0
+        if held is None:
+            held = dict(want)
+        else:
+            new = {s: held[s] if s in held and s in want and abs(want[s] - held[s]) < zone else want.get(s, 0.0) for s in {*held, *want}}
+            total = sum(new.values())
+            move = {s: new[s] / total - held.get(s, 0.0) for s in new}
+            spent = sum(map(abs, move.values())) / 2
+            part = min(1.0, max(budget - used, 0.0) / spent) if spent else 1.0
+            held = {s: held.get(s, 0.0) + part * move[s] for s in new}
+            held = {s: w for s, w in held.items() if w > 1e-15}
+            spent *= part
+        used += spent
+        out[day] = (dict(held), spent, used)
+    return out
+
+
+def test_held_weights_carry_state(spark):
+    rng = np.random.default_rng(5)
+    books = {}
+    for p in range(4):
+        books[p] = {}
+        for q in range(12):
+            names = rng.choice(12, size=8, replace=False)
+            w = rng.dirichlet(np.full(8, 30.0))
+            books[p][dt.date(2020 + q // 4, 3 * (q % 4) + 1, 1)] = {f"S{n}": float(x) for n, x in zip(names, w, strict=True)}
+    # below the zone twice in a row: measured against the weight held, not against the last target
+    books[9] = {dt.date(2021, m, 1): {"A": a, "B": 1 - a} for m, a in ((1, 0.500), (4, 0.507), (7, 0.513))}
+    rows = [(p, d, s, w) for p, book in books.items() for d, t in book.items() for s, w in t.items()]
+    rows += [(9, dt.date(2021, 1, 1), None, 1.0), (9, dt.date(2021, 1, 1), "C", None), (9, None, "A", 1.0)]
+    df = spark.createDataFrame(rows, "portfolio_id int, date date, symbol string, weight double")
+    got = rebalance.held_weights(df, ["portfolio_id"]).toPandas()
+    assert got.groupby(["portfolio_id", "date"])["weight"].sum().sub(1).abs().max() < 1e-9
+    assert got["turnover_year"].max() <= 0.80 + 1e-9
+    for p, book in books.items():
+        for day, (held, spent, used) in plain_held(book, 0.01, 0.80).items():
+            mine = got[(got.portfolio_id == p) & (got.date == day)]
+            assert {r.symbol: round(r.weight, 9) for r in mine.itertuples()} == {s: round(w, 9) for s, w in held.items()}
+            assert np.allclose(mine["turnover"], spent) and np.allclose(mine["turnover_year"], used)
+    last = got[(got.portfolio_id == 9) & (got.symbol == "A")].set_index("date")["weight"]
+    assert last[dt.date(2021, 4, 1)] == 0.5 and last[dt.date(2021, 7, 1)] == pytest.approx(0.513)
+    assert rebalance.held_weights(df.limit(0), ["portfolio_id"]).count() == 0
