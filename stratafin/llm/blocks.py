@@ -44,6 +44,17 @@ def unpack_ints(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
+def pack_longs(values: np.ndarray) -> bytes:
+    """64-bit numbers, byte planes compressed; counts of a corpus of any size fit."""
+    planes = np.ascontiguousarray(np.asarray(values).astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return zstandard.compress(planes.tobytes(), 1)
+
+
+def unpack_longs(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<i8").ravel()
+
+
 def pack_words(words: list[bytes]) -> bytes:
     sizes = np.fromiter(map(len, words), dtype="<u4", count=len(words))
     return zstandard.compress(len(words).to_bytes(8, "little") + sizes.tobytes() + b"".join(words), 3)

@@ -17,7 +17,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from tokenizers import Tokenizer  # noqa: E402
 
-from stratafin.llm import backoff_lm, bpe_codec, common, doc_fingerprints, token_files, wordcut  # noqa: E402
+from stratafin.llm import backoff_lm, blocks, bpe_codec, common, doc_fingerprints, token_files, wordcut  # noqa: E402
 from stratafin.llm.common import LOWER_BYTES  # noqa: E402
 
 from .conftest import ODD, SF  # noqa: E402
@@ -109,24 +109,59 @@ def test_codec_query(spark):
         assert r["decoded_sha256"] == hashlib.sha256(TOKENIZER.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
-def plain_scores(rows, trained, prior):
-    words = [(t or "").encode().translate(LOWER_BYTES).split() for _, t in rows]
-    c, arcs, states = Counter(), Counter(), Counter()
-    for w, k in zip(words, trained, strict=True):
-        if k:
-            c.update([*w, b" E"])
-            arcs.update(zip([b" S", *w], [*w, b" E"], strict=True))
-            states.update([b" S", *w])
-    n, v = sum(c.values()), len(c)
-    root = lambda w: (c[w] + 0.5) / (n + 0.5 * (v + 1))
-    for w in words:
-        run = [*w, b" E"]
-        pairs = list(zip([b" S", *w], run, strict=True))
-        yield len(run), sum(c[x] > 0 for x in run), n, sum(math.log10(root(x)) for x in run), sum(math.log10((arcs[p] + prior * root(p[1])) / (states[p[0]] + prior)) for p in pairs)
-
-
-def check_scores(rows, trained, got, prior=backoff_lm.PRIOR):
-    want = sorted(((d, *s) for (d, _), s in zip(rows, plain_scores(rows, trained, prior), strict=True)), key=str)
+class PlainAutomaton:
+    """States as tuples of words, arcs and failure arcs in dictionaries, one token at a time."""
+
+    def __init__(self, runs, priors):
+        self.priors, self.arcs, self.uses, self.single = priors, {}, Counter(), Counter()
+        for run in runs:
+            self.single.update(run)
+            for k in range(1, len(priors) + 1):
+                for i in range(len(run)):
+                    if i - k >= -1:
+                        state = (b" S", *run)[i - k + 1 : i + 1]
+                        self.uses[state] += 1
+                        self.arcs.setdefault(state, Counter())[run[i]] += 1
+        self.n, self.v = sum(self.single.values()), len(self.single)
+
+    def root(self, word):
+        return (self.single[word] + 0.5) / (self.n + 0.5 * (self.v + 1))
+
+    def weight(self, state, word):
+        """Probability of an arc or of the failure arcs that lead to one, and of that."""
+        if not state:
+            return self.root(word)
+        prior, uses, lower = self.priors[len(state) - 1], self.uses[state], self.weight(state[1:], word)
+        if self.arcs.get(state, {}).get(word):
+            return (self.arcs[state][word] + prior * lower) / (uses + prior)
+        return prior / (uses + prior) * lower
+
+    def longest(self, state):
+        while state and (state not in self.uses or len(state) > len(self.priors)):
+            state = state[1:]
+        return state
+
+    def score(self, run):
+        state, total = self.longest((b" S",)), 0.0
+        for word in run:
+            total += math.log10(self.weight(state, word))
+            state = self.longest((*state, word))
+        return total
+
+
+def runs_of(rows):
+    return [[*(t or "").encode().translate(LOWER_BYTES).split(), b" E"] for _, t in rows]
+
+
+def plain_scores(rows, trained, priors):
+    runs = runs_of(rows)
+    model = PlainAutomaton([r for r, k in zip(runs, trained, strict=True) if k], priors)
+    for run in runs:
+        yield len(run), sum(model.single[x] > 0 for x in run), model.n, sum(math.log10(model.root(x)) for x in run), model.score(run)
+
+
+def check_scores(rows, trained, got, priors=backoff_lm.PRIORS):
+    want = sorted(((d, *s) for (d, _), s in zip(rows, plain_scores(rows, trained, priors), strict=True)), key=str)
     found = sorted(((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in got), key=str)
     assert len(want) == len(found)
     for a, b in zip(want, found, strict=True):
@@ -139,6 +174,10 @@ def test_language_model(spark, odd, empty):
     rows = [r[:2] for r in ODD]
     check_scores(rows, [fold(d) for d, _ in rows], backoff_lm.score(odd, common.fold("doc_id", 5) != 1).collect())
     check_scores(rows, [False] * len(rows), backoff_lm.score(odd, F.lit(False)).collect())
+    for priors in [(2.0,), (5.0, 0.5, 3.0)]:  # orders 2 and 4
+        check_scores(rows, [fold(d) for d, _ in rows], backoff_lm.score(odd, common.fold("doc_id", 5) != 1, priors).collect(), priors)
+    with pytest.raises(ValueError):
+        backoff_lm.score(odd, F.lit(True), ())
     assert backoff_lm.score(empty, F.lit(True)).count() == 0
     docs = common.documents(spark, SF)
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
@@ -150,14 +189,27 @@ def test_language_model(spark, odd, empty):
 
 
 def test_arcs_of_every_state_sum_to_one():
-    texts = ["a b a c", "a a b", "c"]
-    c = Counter(w for t in texts for w in [*t.split(), "E"])
-    arcs = Counter(p for t in texts for p in zip(["S", *t.split()], [*t.split(), "E"], strict=True))
-    n, v, m = sum(c.values()), len(c), backoff_lm.PRIOR
-    root = {w: (c[w] + 0.5) / (n + 0.5 * (v + 1)) for w in [*c, "?"]}
-    for state in ["S", "a", "b", "c"]:
-        seen = sum(k for (h, _), k in arcs.items() if h == state)
-        assert sum((arcs[state, w] + m * p) / (seen + m) for w, p in root.items()) == pytest.approx(1)
+    model = PlainAutomaton([t.encode().split() + [b" E"] for t in ["a b a c", "a a b", "c"]], backoff_lm.PRIORS)
+    for state in [(), *model.uses]:
+        assert sum(model.weight(state, w) for w in [*model.single, b"?"]) == pytest.approx(1)
+
+
+def test_blocks_of_the_model_meet(spark, monkeypatch):
+    """Several blocks and buckets ask for the same n-grams; counts are those of the whole corpus."""
+    monkeypatch.setattr(backoff_lm, "BLOCK_BYTES", 200)
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choices(["a", "b", "c", "dd", "é"], k=rng.randrange(40)))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    check_scores(rows, [i % 3 > 0 for i, _ in rows], backoff_lm.score(docs, F.col("doc_id") % 3 > 0).collect())
+
+
+def test_large_counts_and_keys_are_kept():
+    counts = np.array([0, 1, 2**32, 2**62, 5])
+    assert blocks.unpack_longs(blocks.pack_longs(counts)).tolist() == counts.tolist()
+    assert blocks.unpack_longs(blocks.pack_longs(counts[:0])).tolist() == []
+    keys = np.sort(np.random.default_rng(1).integers(0, 2**64, 1000, dtype=np.uint64, endpoint=False))
+    keys = np.concatenate(([np.uint64(0)], keys, [np.uint64(2**64 - 1)]))
+    assert backoff_lm._unpack_keys(backoff_lm._pack_keys(keys)).tolist() == keys.tolist()
 
 
 def check_fingerprints(rows, got):
