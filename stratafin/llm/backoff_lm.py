@@ -36,7 +36,7 @@ from stratafin.llm.common import LOWER_BYTES, mixed, ship
 from stratafin.session import stage
 
 #: Prior weights of states of one word, of two words, and so on; their number gives the order.
-PRIORS = (300.0, 30.0)
+PRIORS = (300.0, 10.0)
 #: Text of a block: its n-grams and their arcs are in one task's memory.
 BLOCK_BYTES = 8 << 20
 #: The start state and the end token; no word holds white space.
