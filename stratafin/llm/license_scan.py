@@ -51,9 +51,13 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(lower_ascii(text), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def document_frequencies(files: DataFrame, text: Column) -> tuple[int, dict[str, int]]:
+def held_words(text: Column) -> Column:
+    """The distinct words of templates in a text."""
+    return F.array_intersect(words_of(text), F.array(*map(F.lit, VOCABULARY)))
+
+
+def document_frequencies(files: DataFrame, held: Column) -> tuple[int, dict[str, int]]:
     """Number of files and, for each template word, of files with it: as many numbers as words."""
-    held = F.array_intersect(words_of(text), F.array(*map(F.lit, VOCABULARY)))
     rows = files.select(F.explode(F.array_append(held, F.lit(""))).alias("word")).groupBy("word").count().collect()
     counts = {r["word"]: r["count"] for r in rows}
     return counts.get("", 0), {w: counts.get(w, 0) for w in VOCABULARY}
@@ -99,14 +103,14 @@ def units_of(text: Column) -> Column:
 def own_licences(files: DataFrame, path_col: str, keep: tuple[str, ...], text_col: str = "text") -> DataFrame:
     """The kept columns, ``__path``, and ``own`` (licence, cosine), null without a licence."""
     text = whole_text(text_col)
-    n, df = document_frequencies(files, text)
+    # words are cut from every text once; a text is kept if it holds any word of the templates
+    rows = files.select(*keep, F.col(path_col).cast("string").alias("__path"), text.alias("__text"), held_words(text).alias("__held"))
+    rows = stage(rows.withColumn("__text", F.when(F.size("__held") > 0, F.col("__text"))).withColumn("__rid", F.monotonically_increasing_id()))
+    n, df = document_frequencies(rows, F.col("__held"))
     weight = {w: idf(n, df[w]) for w in VOCABULARY}
     vecs = vectors(weight)
     needed = F.array(*map(F.lit, needed_words(vecs, weight)))
-    rows = stage(
-        files.select(*keep, F.col(path_col).cast("string").alias("__path"), F.when(F.arrays_overlap(words_of(text), needed), text).alias("__text")).withColumn("__rid", F.monotonically_increasing_id())
-    )
-    units = rows.where("__text is not null").select("__rid", F.posexplode(units_of(F.col("__text"))).alias("__u", "s")).select("__rid", "__u", words_of(F.col("s")).alias("words"))
+    units = rows.where(F.arrays_overlap("__held", needed)).select("__rid", F.posexplode(units_of(F.col("__text"))).alias("__u", "s")).select("__rid", "__u", words_of(F.col("s")).alias("words"))
     units = units.where(F.arrays_overlap("words", needed)).withColumn("known", F.filter("words", lambda w: w.isin(VOCABULARY)))
     strange = F.size("words") - F.size("known")
     # (1 + ln c)^2 is at most 4c/e, and no word weighs more than one that no file holds
@@ -131,7 +135,7 @@ def own_licences(files: DataFrame, path_col: str, keep: tuple[str, ...], text_co
     best = one.select("__rid", F.array_max(fits).alias("b")).where("b is not null").groupBy("__rid").agg(F.max("b").alias("b"))
     names = F.array(*[F.lit(name) for name, _, _ in TEMPLATES])
     best = best.select("__rid", F.struct(F.get(names, -F.col("b.template")).alias("licence"), F.col("b.cosine").alias("cosine")).alias("own"))
-    return rows.drop("__text").join(best, "__rid", "left").drop("__rid")
+    return rows.drop("__text", "__held").join(best, "__rid", "left").drop("__rid")
 
 
 def folder(path: Column) -> Column:
