@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_scores30", "q_screens", "q_scores23", "q_series", "q_portfolio", "q_text", "q_history"]
+MODULES = ["q_scores30", "q_screens", "q_scores23", "q_series", "q_portfolio", "q_text", "q_history", "q_stream"]
 
 
 def all_queries():
