@@ -90,7 +90,6 @@ def price_features(prices: DataFrame, keys: Sequence[str] = ("symbol",), mode: s
     """
     w = _by(keys)
     past = w.rowsBetween(Window.unboundedPreceding, 0)
-    year = Window.partitionBy(*keys, F.year("date")).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     one_year = w.rowsBetween(-(ANNUAL - 1), 0)
     back = 63 if mode == "live" else 62
     n_returns = 30 if mode == "history" else 29
@@ -105,12 +104,15 @@ def price_features(prices: DataFrame, keys: Sequence[str] = ("symbol",), mode: s
             "_base": F.lag("close", back).over(w),
             "high_52w": F.max("close").over(one_year),
             "low_52w": F.min("close").over(one_year),
-            "_year_open": F.first("close").over(year),
-            "_year_rows": F.count(F.lit(1)).over(year),
+            "_same_year": F.year("date").eqNullSafe(F.lag(F.year("date")).over(w)),
         }
     )
+    # a year begins where it differs from the row before: no second order by year, hence one sort for all features
+    base = base.withColumn("_same_year", F.col("_same_year") & (F.col("n_prices") > 1))
+    opening = F.last(F.when(~F.col("_same_year"), F.struct("close")), ignorenulls=True).over(past)
+    base = base.withColumn("_year_open", opening["close"])
     year_to_date = half_even((F.col("close") / F.nullif("_year_open", F.lit(0.0)) - 1) * 100, 2)
-    ytd_known = (F.col("_year_open") != F.col("close")) if mode == "live" else (F.col("_year_rows") > 1)
+    ytd_known = (F.col("_year_open") != F.col("close")) if mode == "live" else F.col("_same_year")
     return base.withColumns(
         {
             "perf_3m": half_even((F.col("close") / F.nullif("_base", F.lit(0.0)) - 1) * 100, 2),
@@ -118,7 +120,7 @@ def price_features(prices: DataFrame, keys: Sequence[str] = ("symbol",), mode: s
             "vol_30d": F.when(F.col("n_prices") >= 30, half_even(deviation.over(frame) * annual, 2)),
             "rsi": _rsi(keys),
         }
-    ).drop("_ret", "_step", "_base", "_year_open", "_year_rows")
+    ).drop("_ret", "_step", "_base", "_year_open", "_same_year")
 
 
 def enough_history(features: DataFrame, min_rows: int = 30) -> DataFrame:
