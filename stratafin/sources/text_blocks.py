@@ -248,8 +248,9 @@ TABLE_CELLS = 10
 # --- fund captures ---------------------------------------------------------------------------------------------
 
 
-def _tab_cells(line: Column) -> Column:
-    return F.size(F.split(line, "\t"))
+def _in_table(line: Column) -> Column:
+    # most lines have no tab and are not split
+    return F.contains(line, F.lit("\t")) & (F.size(F.split(line, "\t")) >= TABLE_CELLS)
 
 
 def parse_fund_headers(docs: DataFrame, within: int | None = None) -> DataFrame:
@@ -262,11 +263,11 @@ def parse_fund_headers(docs: DataFrame, within: int | None = None) -> DataFrame:
     titles = F.filter("_head", lambda x: F.contains(x, F.lit("13F Portfolio")))
     infos = F.filter(
         "_head",
-        lambda x: (F.contains(x, F.lit("|")) | F.contains(x, F.lit("\t"))) & F.contains(x, F.lit("%")) & ~F.contains(x, F.lit("13F Portfolio")) & (_tab_cells(x) < TABLE_CELLS),
+        lambda x: (F.contains(x, F.lit("|")) | F.contains(x, F.lit("\t"))) & F.contains(x, F.lit("%")) & ~F.contains(x, F.lit("13F Portfolio")) & ~_in_table(x),
     )
     info = F.try_element_at(infos, F.lit(1))
     at = F.coalesce(F.array_position("_head", info), F.lit(0)).cast("int")
-    table = F.array_position(F.transform("_head", lambda x: _tab_cells(x) >= TABLE_CELLS), F.lit(True)).cast("int")
+    table = F.array_position(F.transform("_head", _in_table), F.lit(True)).cast("int")
     rows = rows.withColumns(
         {
             "_manager": F.nullif(F.regexp_extract(F.coalesce(F.try_element_at(titles, F.lit(1)), F.lit("")), r"(?i)^(.+?)\s+13F\s+Portfolio$", 1), F.lit("")),
@@ -302,10 +303,10 @@ def parse_fund_headers(docs: DataFrame, within: int | None = None) -> DataFrame:
 _HOLDING_BLOCK = r"(?m)^[A-Z]{1,5}(?:\.[A-Z])?\n(?:[^\n]*\n){8}[^\n]*$"
 
 
-def _holding_columns(df: DataFrame, keep: list[str]) -> DataFrame:
-    c = lambda i: F.col("_c")[i]
-    return df.select(
-        *keep,
+def _holding(cells: Column) -> Column:
+    """The typed fields of a holding from its eleven cells."""
+    c = lambda i: cells[i]
+    return F.struct(
         F.trim(c(0)).alias("ticker"),
         F.trim(c(1)).alias("company_name"),
         tx.leading_number(F.regexp_replace(c(2), "%", "")).alias("portfolio_pct"),
@@ -322,6 +323,19 @@ def _holding_columns(df: DataFrame, keep: list[str]) -> DataFrame:
     )
 
 
+def _block_cells(lines: Column) -> Column:
+    """Nine lines are a cell each; the tenth holds sector and date, with a tab or without."""
+    tail = F.coalesce(F.try_element_at(lines, F.lit(10)), F.lit(""))
+    dated = r"^(.*?)(\d{4}-\d{2}-\d{2})$"
+    halves = F.split(tail, "\t")
+    last_two = (
+        F.when(F.contains(tail, F.lit("\t")), F.slice(halves, 1, 2))
+        .when(tail.rlike(dated), F.array(F.regexp_extract(tail, dated, 1), F.regexp_extract(tail, dated, 2)))
+        .otherwise(F.array(tail, F.lit("")))
+    )
+    return F.concat(F.slice(lines, 1, 9), last_two)
+
+
 def parse_fund_holdings(docs: DataFrame, header_within: int | None = None, layout_within: int | None = None) -> DataFrame:
     """Fund holdings in table or block layout, chosen per capture from all its body lines (or the first
     ``layout_within``)."""
@@ -329,32 +343,21 @@ def parse_fund_holdings(docs: DataFrame, header_within: int | None = None, layou
     body = heads.select(
         "doc_id", "fund_name", F.slice("lines", F.col("header_lines") + 1, F.greatest(F.size("lines") - F.col("header_lines"), F.lit(0))).alias("body")
     )
-    is_table = F.exists(_within(F.col("body"), layout_within), lambda x: _tab_cells(x) >= TABLE_CELLS)
+    is_table = F.exists(_within(F.col("body"), layout_within), _in_table)
     body = body.withColumn("layout", F.when(is_table, "table").otherwise("vertical"))
     blocks = F.regexp_extract_all(F.array_join("body", "\n"), F.lit(_HOLDING_BLOCK), F.lit(0))
-    def is_holding(x: Column) -> Column:
-        cells = F.split(x, "\t")
+
+    def is_holding(cells: Column) -> Column:
         return (F.size(cells) >= 11) & (F.lower(cells[0]) != "stock") & ~F.lower(cells[1]).startswith("company")
 
-    # rows are chosen inside the array and both layouts share one explode, so a
-    # capture is read and split once
-    table_rows = F.filter("body", is_holding)
-    pieces = body.select(
-        "doc_id", "fund_name", "layout", F.posexplode(F.when(F.col("layout") == "table", table_rows).otherwise(blocks)).alias("row_no", "piece")
-    )
-    by_line = F.split("piece", "\n")
-    pieces = pieces.withColumn("_l", F.when(F.col("layout") == "table", F.split("piece", "\t")).otherwise(by_line))
-    tail = _cell("_l", 9)
-    dated = r"^(.*?)(\d{4}-\d{2}-\d{2})$"
-    halves = F.split(tail, "\t")
-    last_two = (
-        F.when(F.size(halves) >= 2, F.slice(halves, 1, 2))
-        .when(tail.rlike(dated), F.array(F.regexp_extract(tail, dated, 1), F.regexp_extract(tail, dated, 2)))
-        .otherwise(F.array(tail, F.lit("")))
-    )
-    cells = F.when(F.col("layout") == "table", F.col("_l")).otherwise(F.concat(F.slice("_l", 1, 9), last_two))
-    rows = pieces.withColumn("_c", cells)
-    return _holding_columns(rows, ["doc_id", "fund_name", "layout", "row_no"])
+    # Cells are parsed inside the array: as columns beside each other their generated method is too long for
+    # the JVM's compiler and every row runs in its interpreter.  The outer form of the explode keeps the
+    # optimizer from parsing every capture a second time to drop empty ones.
+    table_cells = F.filter(F.transform(F.filter("body", lambda x: F.contains(x, F.lit("\t"))), lambda x: F.split(x, "\t")), is_holding)
+    block_cells = F.transform(blocks, lambda x: _block_cells(F.split(x, "\n")))
+    cells = F.when(F.col("layout") == "table", table_cells).otherwise(block_cells)
+    rows = body.select("doc_id", "fund_name", "layout", F.posexplode_outer(F.transform(cells, _holding)).alias("row_no", "_h"))
+    return rows.where(F.col("row_no").isNotNull()).select("doc_id", "fund_name", "layout", "row_no", "_h.*")
 
 
 # --- ticker and metric lists -------------------------------------------------------------------------------------
