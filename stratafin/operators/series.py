@@ -180,11 +180,65 @@ def price_factor_inputs(prices: DataFrame, keys: Sequence[str] = ("symbol",), lo
             "_skipped": F.lag("close", skip).over(w),
         }
     )
-    return base.where(F.col("window_rows") >= min_rows).withColumns(
+    return _price_factors(base.where(F.col("window_rows") >= min_rows)).drop("_ret")
+
+
+def price_factor_inputs_at(
+    prices: DataFrame, instants: DataFrame, keys: Sequence[str] = ("symbol",), lookback: int = 252, skip: int = 20, min_rows: int = 60
+) -> DataFrame:
+    """``price_factor_inputs`` of the last row of each key on or before every listed ``date``, as ``rebalance_date``.
+
+    Only these rows get a look-back window: each price meets the chosen rows that follow within
+    ``lookback`` and is folded into them, in the order by date and without another shuffle.  A key has one
+    such row per listed date at most, and both are bounded by the calendar.
+    """
+    w = _by(keys)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    listed = instants.agg(F.array_sort(F.collect_set(F.col("date").cast("date")))).scalar()
+    extra = [c for c in prices.columns if c not in (*keys, "date", "close")]
+    rows = prices.withColumns(
+        {
+            "_n": F.row_number().over(w),
+            "_ret": F.col("close") / F.nullif(F.lag("close").over(w), F.lit(0.0)) - 1,
+            "_next": F.lead("date").over(w),
+            "_opened": F.first("close").over(so_far),
+            "_back": F.lag("close", lookback).over(w),
+            "_skipped": F.lag("close", skip).over(w),
+        }
+    )
+    in_force = lambda at: (at >= F.col("date")) & (F.col("_next").isNull() | (at < F.col("_next")))
+    asked = (F.col("_n") >= min_rows) & F.exists("_listed", in_force)
+    rows = rows.withColumn("_listed", listed).withColumn("_asked", asked).drop("_listed")
+    # the chosen rows of the key in order, and how many of them lie before this row and up to ``lookback`` behind it
+    marked = F.when(F.col("_asked"), F.col("_n"))
+    rows = rows.withColumns(
+        {
+            "_chosen": F.collect_list(marked).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+            "_before": F.count(marked).over(w.rowsBetween(Window.unboundedPreceding, -1)),
+            "_until": F.count(marked).over(w.rowsBetween(Window.unboundedPreceding, lookback)),
+        }
+    ).where(F.col("_until") > F.col("_before"))
+    followed = F.slice("_chosen", F.col("_before").cast("int") + 1, (F.col("_until") - F.col("_before")).cast("int"))
+    rows = rows.withColumn("_at", F.explode(followed))
+    here = F.col("_n") == F.col("_at")
+    first_close = F.when(F.col("_n") > lookback, F.col("_back")).otherwise(F.col("_opened"))
+    own = {c: F.col(c) for c in ("date", "close", "_next", "_skipped", *extra)} | {"_first": first_close}
+    folded = rows.groupBy(*keys, "_at").agg(
+        F.avg("_ret").alias("_mean"),
+        F.stddev_samp("_ret").alias("_std"),
+        *[F.first(F.when(here, c), ignorenulls=True).alias(n) for n, c in own.items()],
+    )
+    dated = folded.withColumn("_listed", listed).withColumn("rebalance_date", F.explode(F.filter("_listed", in_force))).drop("_listed").withColumn("window_rows", F.least(F.col("_at"), F.lit(lookback + 1)).cast("bigint"))
+    return _price_factors(dated.withColumnRenamed("date", "price_date")).drop("_at", "_next")
+
+
+def _price_factors(rows: DataFrame) -> DataFrame:
+    """Return, Sharpe-like ratio, momentum and volatility from the first close, mean and deviation of a window."""
+    return rows.withColumns(
         {
             "return_1y": F.col("close") / F.nullif("_first", F.lit(0.0)) - 1,
             "sharpe_1y": F.coalesce(F.col("_mean") / F.nullif("_std", F.lit(0.0)), F.lit(0.0)),
             "momentum_12_1": F.when(F.col("window_rows") > 63, F.col("_skipped") / F.nullif("_first", F.lit(0.0)) - 1),
             "vol_1y": F.col("_std") * F.lit(float(ANNUAL**0.5)),
         }
-    ).drop("_ret", "_first", "_mean", "_std", "_skipped")
+    ).drop("_first", "_mean", "_std", "_skipped")

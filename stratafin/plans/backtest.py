@@ -17,7 +17,7 @@ from stratafin.operators.filters import leverage_filter, liquidity_filter
 from stratafin.operators.joins import days_in_periods, period_endpoints, valid_at
 from stratafin.operators.ranking import Rank, pct_ranks, top_k
 from stratafin.operators.scores_v23 import score_pipeline
-from stratafin.operators.series import price_factor_inputs, price_features, simple_returns
+from stratafin.operators.series import price_factor_inputs_at, price_features, simple_returns
 from stratafin.operators.weights import equal_weights, normalise, sector_cap_once, snapshot_changes, turnover
 from stratafin.params import (
     PRICE_FACTOR_CONFIGS,
@@ -185,7 +185,7 @@ def walk_forward(prices: DataFrame, fundamentals: DataFrame, p: WalkForward = Wa
 
 def price_factors_at(prices: DataFrame, instants: DataFrame, min_rows: int = 60, holder: DataFrame | None = None) -> DataFrame:
     """Price-only factor scores per date; missing ranks are neutral."""
-    rows = prices_at(price_factor_inputs(prices, min_rows=min_rows).drop("close"), instants)
+    rows = price_factor_inputs_at(prices, instants, min_rows=min_rows).drop("close")
     ranked = pct_ranks(
         rows,
         ["rebalance_date"],
@@ -225,7 +225,9 @@ def period_results(weights: DataFrame, prices: DataFrame, periods: DataFrame, be
     starting at the rebalance date; ``periods``: ``start, end``.
     """
     named = periods.withColumn("rebalance_date", F.col("start"))
-    moves = period_endpoints(prices, named, ["rebalance_date"]).select("rebalance_date", "symbol", "period_return")
+    weights = stage(weights)  # the held names decide which prices are needed
+    held = prices.join(weights.select("symbol").distinct(), "symbol", "left_semi")
+    moves = period_endpoints(held, named, ["rebalance_date"]).select("rebalance_date", "symbol", "period_return")
     market = period_endpoints(benchmark.withColumn("symbol", F.lit("*")), named, ["rebalance_date"]).select(
         "rebalance_date", F.when(F.col("n_prices") >= 2, F.col("period_return")).otherwise(F.lit(0.0)).alias("_b")
     )
