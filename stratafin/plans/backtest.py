@@ -114,15 +114,17 @@ def portfolio_returns(
     keys: Sequence[str] = ("portfolio_id",),
     cost_bps: float = 12.0,
     effective_lag_days: int = 0,
+    days: DataFrame | None = None,
 ) -> DataFrame:
     """Daily return of each portfolio: weighted returns minus costs on rebalance days.
 
     ``weights``: ``*keys, rebalance_date, symbol, weight``; ``returns``:
     ``symbol, date, ret``.  New weights earn the return of the rebalance day
-    itself unless ``effective_lag_days`` is set; the first set costs nothing.
+    itself unless ``effective_lag_days`` is set; the first set costs nothing.  ``days`` holds the
+    traded days where ``returns`` covers the held names only.
     """
     weights = stage(weights.select(*keys, "rebalance_date", "symbol", "weight"))
-    held = holding_days(weights, returns, keys, effective_lag_days)
+    held = holding_days(weights, returns if days is None else days, keys, effective_lag_days)
     exposed = held.join(weights, [*keys, "rebalance_date"])
     gross = (
         exposed.join(returns.select("symbol", "date", "ret").where(F.col("ret").isNotNull()), ["symbol", "date"], "left")
@@ -171,7 +173,7 @@ class WalkForward:
 
 def fundamental_weights(prices: DataFrame, fundamentals: DataFrame, p: WalkForward = WalkForward()) -> DataFrame:
     """Weights at every successful rebalance date from the fundamental scores."""
-    instants = rebalance_dates(prices, p.frequency, p.calendar)
+    instants = stage(rebalance_dates(prices, p.frequency, p.calendar))  # a short list: prices meet it without a shuffle
     universe = stage(point_in_time_universe(prices, fundamentals, instants, p.publication, p.liquidity, p.leverage))
     scored = score_pipeline(universe, by=["rebalance_date"], value_mode=p.value_mode, with_ranks=False, stored=True)
     return select_positions(scored, ["rebalance_date"], p.constraints, min_score=p.min_score)
@@ -179,8 +181,9 @@ def fundamental_weights(prices: DataFrame, fundamentals: DataFrame, p: WalkForwa
 
 def walk_forward(prices: DataFrame, fundamentals: DataFrame, p: WalkForward = WalkForward(), portfolio_id: str = "strategy") -> DataFrame:
     """Daily net returns of the fundamental strategy."""
-    weights = fundamental_weights(prices, fundamentals, p).withColumn("portfolio_id", F.lit(portfolio_id))
-    return portfolio_returns(weights, simple_returns(prices), ["portfolio_id"], p.cost_bps, p.effective_lag_days)
+    weights = stage(fundamental_weights(prices, fundamentals, p).select(F.lit(portfolio_id).alias("portfolio_id"), "rebalance_date", "symbol", "weight"))
+    held = prices.join(weights.select("symbol").distinct(), "symbol", "left_semi")
+    return portfolio_returns(weights, simple_returns(held), ["portfolio_id"], p.cost_bps, p.effective_lag_days, prices)
 
 
 def price_factors_at(prices: DataFrame, instants: DataFrame, min_rows: int = 60, holder: DataFrame | None = None) -> DataFrame:
