@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratafin.llm import blocks as B
-from stratafin.llm.common import LOWER_BYTES, mixed, ship
+from stratafin.llm.common import LOWER_BYTES, mixed, return_arrays, ship
 from stratafin.session import stage
 
 #: Prior weights of states of one word, of two words, and so on; their number gives the order.
@@ -161,6 +161,7 @@ def _ask_grams(buckets: int, order: int, row: dict):
 
 def _count_words(table: pa.Table) -> pa.Table:
     """Corpus counts of a bucket's words for each block that asks, and a row of the bucket's totals."""
+    return_arrays()
     asked = [B.unpack_words(k.as_py()) for k in table.column("keys")]
     own = [B.unpack_longs(x.as_py()) for x in table.column("extra")]
     total: dict[bytes, int] = {}
@@ -184,6 +185,7 @@ def _count_words(table: pa.Table) -> pa.Table:
 
 def _count_grams(table: pa.Table) -> pa.Table:
     """Corpus counts of a bucket's n-grams for each block that asks."""
+    return_arrays()
     asked = [_unpack_keys(k.as_py()) for k in table.column("keys")]
     own = [B.unpack_longs(x.as_py()) for x in table.column("extra")]
     keys, counts = np.concatenate(asked), np.concatenate(own)
@@ -235,6 +237,7 @@ def score(docs: DataFrame, trained: Column, priors: tuple[float, ...] = PRIORS)
     answers = counted.where("block is not null").select("block", "bucket", F.lit(0).alias("kind"), "counts").unionByName(grams.withColumn("kind", F.lit(1)))
 
     def traverse(documents: pa.Table, found: pa.Table) -> pa.Table:
+        return_arrays()
         row = documents.slice(0, 1).to_pylist()[0]
         found = found.sort_by([("kind", "ascending"), ("bucket", "ascending")])
         kinds = found.column("kind").to_numpy()
@@ -244,13 +247,16 @@ def score(docs: DataFrame, trained: Column, priors: tuple[float, ...] = PRIORS)
         words = B.unpack_words(row["words"])
         levels = _levels(order, codes, offsets, len(words))
         _, place = _keys(words, levels)
+        del words
         arcs = np.empty(len(place), np.int64)
         arcs[place] = np.concatenate([c for c, k in zip(counts, kinds, strict=True) if k == 1])
+        del place, counts, found
         seen = [uses, *np.split(arcs, np.cumsum([len(g.word) for g in levels])[:-1])]
         root = (uses + 0.5) / (n + 0.5 * (v + 1))
         read = np.ones(len(codes), bool)
         read[offsets[:-1]] = False  # the start is a state, not a token
         base, known = np.where(read, np.log10(root)[codes], 0), (uses[codes] > 0) & read
+        del codes
         steps = np.where(read, step_weights(root, seen, levels, priors)[levels[-1].which], 0)
         over = lambda x: np.add.reduceat(x, offsets[:-1])
         size = len(offsets) - 1

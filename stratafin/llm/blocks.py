@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratafin.llm.common import map_batches
+from stratafin.llm.common import map_batches, return_arrays
 from stratafin.llm.token_files import slices
 from stratafin.session import stage_folder
 
@@ -28,6 +28,8 @@ BLOCK_BYTES = 16 << 20
 #: Bytes of text for each bucket.
 BUCKET_BYTES = 16 << 20
 LEAST_BUCKETS = 8
+#: Text that is cut into words at once; its words are Python objects.
+SLICE_BYTES = 2 << 20
 #: Largest number of hash buckets of files of a table of blocks (a limit of the table format).
 MOST_FILES = 50_000
 BLOCK_SCHEMA = "block long, ids binary, sizes binary, codes binary, words binary, marks binary"
@@ -92,6 +94,7 @@ def blocks(docs: DataFrame, coder: Callable[[pa.Array], tuple[np.ndarray, np.nda
     """
 
     def run(batches):
+        return_arrays()
         serial, ids, sizes, codes, marks, number, size = 0, [], [], [], [], {}, 0
 
         def block():
@@ -111,7 +114,7 @@ def blocks(docs: DataFrame, coder: Callable[[pa.Array], tuple[np.ndarray, np.nda
             return pa.RecordBatch.from_arrays(rows, ["block", "ids", "sizes", "codes", "words", "marks"])
 
         for whole in batches:
-            for batch in slices(whole, 2):
+            for batch in slices(whole, 2, SLICE_BYTES):
                 found, offsets, words = coder(batch.column(2))
                 local = np.fromiter((number.setdefault(w, len(number)) for w in words), dtype=np.int64, count=len(words))
                 ids.append(batch.column(0).fill_null(-(2**63)).to_numpy())

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from stratafin.llm import blocks as B
-from stratafin.llm.common import release_memory, ship
+from stratafin.llm.common import return_arrays, ship
 from stratafin.llm.wordcut import cut, encoder, spread
 
 #: Words that are put back at once.
@@ -61,7 +61,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     questions = B.asked(stored, partial(_ask, buckets), ["words"])
 
     def distinct_words(table: pa.Table) -> pa.Table:
-        release_memory()
+        return_arrays()
         asked = [B.unpack_words(k.as_py()) for k in table.column("keys")]
         number: dict[bytes, int] = {}
         places = [np.fromiter((number.setdefault(w, len(number)) for w in words), dtype=np.int64, count=len(words)) for words in asked]
@@ -74,7 +74,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     answers = questions.groupBy("bucket").applyInArrow(distinct_words, "block long, bucket int, sizes binary, ids binary")
 
     def put_back(documents: pa.Table, found: pa.Table) -> pa.Table:
-        release_memory()
+        return_arrays()
         found = found.sort_by("bucket")
         none = [np.zeros(0, np.int64)]
         sizes = np.concatenate(none + [B.unpack_ints(x.as_py()) for x in found.column("sizes")])

@@ -47,6 +47,23 @@ def release_memory() -> None:
         trim(0)
 
 
+#: Arrays of this size and more are mapped one by one, see ``return_arrays``.
+MAPPED_BYTES = 1 << 20
+_M_MMAP_THRESHOLD = -3
+
+
+def return_arrays() -> None:
+    """Free what earlier tasks left, and let every large array go back to the system as soon as it is freed.
+
+    By default the allocator keeps ever larger arrays on its heap once one of their size was freed, where
+    small objects pin them.
+    """
+    release_memory()
+    mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
+    if mallopt is not None:
+        mallopt(_M_MMAP_THRESHOLD, MAPPED_BYTES)
+
+
 def map_batches(df: DataFrame, run, schema) -> DataFrame:
     """Arrow batches of a partition through a Python function of this package."""
     ship(df.sparkSession)
