@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratafin.llm.common import LOWER_BYTES, fold, map_batches
+from stratafin.llm.common import LOWER_BYTES, fold, map_batches, release_memory
 
 WORD_BUCKETS = 1 << 14
 RANK = 8
@@ -157,6 +157,13 @@ def fit(rows: list[tuple], target: np.ndarray, n_dense: int) -> Model:
     return model
 
 
+def views(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The rows of a list column as views of its one array of numbers; the driver makes no object of a number."""
+    lists = column.combine_chunks()
+    values, ends = lists.values.to_numpy(zero_copy_only=True), lists.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, meta: tuple[str, ...] = ("n_chars",), holdout: tuple[int, int] = (5, 0)) -> Model:
     """Learn from labelled rows outside the held-out fold; rows without a label or an id are not used."""
     usable = labels.where(F.col("quality").isin(0, 1) & (fold("doc_id", holdout[0]) != holdout[1])).select("doc_id", "quality").dropDuplicates(["doc_id"])
@@ -176,8 +183,11 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, me
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = map_batches(sample.withColumn("quality", F.col("quality").cast("int")), run, f"doc_id {kind}, quality int, ids array<int>, vals array<float>, dense array<double>")
     table = found.dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
-    rows = [(np.array(i, np.int32), np.array(v, np.float32), d) for i, v, d in zip(*(table.column(n).to_pylist() for n in ("ids", "vals", "dense")), strict=True)]
-    return fit(rows, np.array(table.column("quality").to_pylist(), np.float32), len(STATS) + len(meta))
+    rows = list(zip(*(views(table.column(n)) for n in ("ids", "vals", "dense")), strict=True))
+    model = fit(rows, np.array(table.column("quality").to_pylist(), np.float32), len(STATS) + len(meta))
+    del rows, table
+    release_memory()
+    return model
 
 
 def score(docs: DataFrame, model: Model, meta: tuple[str, ...] = ("n_chars",), keep: tuple[str, ...] = ("doc_id",), out: str = "score") -> DataFrame:
